@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import sharding, simhash, url_rules
+from . import bpe, decontam, sharding, simhash, url_rules
 from .common import table
 
 #: The contract's rules: fixed values.
@@ -21,6 +21,17 @@ def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judge(table(spark, sf_dir, "pages"), RULES)
 
 
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    ranks = bpe.load_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    return bpe.digests(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.kd_shards(table(spark, sf_dir, "documents"))
 
@@ -51,5 +62,11 @@ SELECT page_id, host, path,
 FROM parts
 """
 
-QUERIES = {"op4_url_filters": op4_url_filters, "op9_sharding": op9_sharding, "op10_simhash": op10_simhash}
+QUERIES = {
+    "op4_url_filters": op4_url_filters,
+    "op7_decontamination": op7_decontamination,
+    "op8_bpe": op8_bpe,
+    "op9_sharding": op9_sharding,
+    "op10_simhash": op10_simhash,
+}
 ORACLES = {"op4_url_filters": OP4_SQL}

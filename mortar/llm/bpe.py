@@ -29,6 +29,7 @@ import base64
 import heapq
 import json
 from collections import defaultdict
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -39,7 +40,7 @@ from pyspark.sql import functions as F
 
 from . import common
 
-BLOCK_BYTES, FOLD_BYTES, TABLES, NO_RANK = 8 << 20, 32, 1 << 13, (1 << 31) - 1
+BLOCK_BYTES, FOLD_BYTES, TABLES = 32 << 20, 32, 1 << 13
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -53,6 +54,11 @@ def wide(raw: bytes) -> str:
     return raw.decode("latin-1")
 
 
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 class Merges:
     """Column expressions over literal tables of the ranks."""
 
@@ -71,25 +77,22 @@ class Merges:
         return F.element_at(F.element_at(self.tables, F.pmod(F.xxhash64(piece), F.lit(TABLES)).cast("int") + 1), piece)
 
     def merge_once(self, pieces: Column) -> Column:
-        """The leftmost pair of least rank made one; the same pieces if there is none."""
-        pair = lambda i: F.concat(F.element_at(pieces, i), F.element_at(pieces, i + 1))
-        each = F.transform(F.sequence(F.lit(1), F.size(pieces) - 1), lambda i: F.struct(F.coalesce(self.rank(pair(i)), F.lit(NO_RANK)).alias("r"), i.alias("i")))
-        # a binding: the least pair is computed once and used below
-        least = F.array(F.array_min(each))
-        merged = lambda i: F.concat(F.slice(pieces, F.lit(1), i - 1), F.array(pair(i)), F.slice(pieces, i + 2, F.greatest(F.size(pieces) - i - 1, F.lit(0))))
-        return F.element_at(F.transform(least, lambda b: F.when(b["r"] < NO_RANK, merged(b["i"]))), 1)
+        """The leftmost pair of least rank made one; the same pieces if no pair has a rank."""
+        n = F.size(pieces)
+        ranks = F.zip_with(F.slice(pieces, F.lit(1), n - 1), F.slice(pieces, F.lit(2), n - 1), lambda a, b: self.rank(F.concat(a, b)))
 
-    def encode_word(self, word: Column) -> Column:
-        """The ids of a word held as characters U+0000 to U+00FF."""
+        def at(i: Column) -> Column:
+            pair = F.concat(F.element_at(pieces, i), F.element_at(pieces, i + 1))
+            return F.concat(F.slice(pieces, F.lit(1), i - 1), F.array(pair), F.slice(pieces, i + 2, n))
 
-        def step(state: Column, _: Column) -> Column:
-            next_ = F.when(state["go"] & (F.size(state["p"]) > 1), self.merge_once(state["p"]))
-            bound = F.transform(F.array(next_), lambda n: F.struct(F.coalesce(n, state["p"]).alias("p"), n.isNotNull().alias("go")))
-            return F.element_at(bound, 1)
+        place = lambda r: F.array_position(r, F.array_min(r)).cast("int")
+        return bound(ranks, lambda r: F.when(F.array_min(r).isNull(), pieces).otherwise(bound(place(r), at)))
 
-        start = F.struct(F.split(word, "").alias("p"), F.lit(True).alias("go"))
-        folded = F.aggregate(F.sequence(F.lit(1), F.length(word)), start, step, lambda s: F.transform(s["p"], self.rank))
-        return F.transform(F.array(self.rank(word)), lambda r: F.when(r.isNotNull(), F.array(r)).otherwise(folded))[0]
+    def encode_word(self, word: Column) -> Column:
+        """The ids of a word held as characters U+0000 to U+00FF."""
+        step = lambda pieces, _: F.when(F.size(pieces) < 2, pieces).otherwise(self.merge_once(pieces))
+        folded = F.aggregate(F.sequence(F.lit(1), F.length(word)), F.split(word, ""), step, lambda p: F.transform(p, self.rank))
+        return bound(self.rank(word), lambda r: F.when(r.isNotNull(), F.array(r)).otherwise(folded))
 
     def decode_ids(self, ids: Column) -> Column:
         text = F.array_join(F.transform(ids, lambda i: F.element_at(self.pieces, i + 1)), "")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontam, quality, sharding, simhash, url_rules
+from . import bpe, decontam, pii, quality, sharding, simhash, url_rules
 from .common import table
 
 #: The contract's rules: fixed values.
@@ -21,6 +21,10 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(table(spark, sf_dir, "documents"))
+
+
 def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judge(table(spark, sf_dir, "pages"), RULES)
 
@@ -68,6 +72,7 @@ FROM parts
 
 QUERIES = {
     "op1_quality": op1_quality,
+    "op3_pii": op3_pii,
     "op4_url_filters": op4_url_filters,
     "op7_decontamination": op7_decontamination,
     "op8_bpe": op8_bpe,

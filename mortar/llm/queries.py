@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontam, pii, quality, sharding, simhash, url_rules
+from . import bpe, decontam, embed_dedup, para_dedup, pii, quality, sharding, simhash, url_rules
 from .common import table
 
 #: The contract's rules: fixed values.
@@ -21,6 +21,10 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op2_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed_dedup.near_dedup(table(spark, sf_dir, "embeddings"))
+
+
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(table(spark, sf_dir, "documents"))
 
@@ -29,6 +33,10 @@ def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judge(table(spark, sf_dir, "pages"), RULES)
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return para_dedup.near_paragraphs(table(spark, sf_dir, "documents"))
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -72,8 +80,10 @@ FROM parts
 
 QUERIES = {
     "op1_quality": op1_quality,
+    "op2_embedding_dedup": op2_embedding_dedup,
     "op3_pii": op3_pii,
     "op4_url_filters": op4_url_filters,
+    "op5_substring_dedup": op5_substring_dedup,
     "op7_decontamination": op7_decontamination,
     "op8_bpe": op8_bpe,
     "op9_sharding": op9_sharding,

@@ -164,11 +164,14 @@ def fit(rows: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: s
     mean = s / n
     scale = np.sqrt(np.maximum(q / n - mean**2, 0)) + 1e-3
 
-    def some(df: DataFrame) -> np.ndarray:
-        least = df.select("x", F.xxhash64("id").alias("h")).orderBy("h").limit(sample).select("x").toArrow()
+    def some(df: DataFrame, rows: int) -> np.ndarray:
+        # only hashes low enough to hold the sample, with room, are sorted
+        low = int((min(1.0, 1.2 * (sample + 100) / max(1, rows)) - 0.5) * 2**64)
+        hashed = df.select("x", F.xxhash64("id").alias("h")).where(F.col("h") <= min(low, 2**63 - 1))
+        least = hashed.orderBy("h").limit(sample).select("x").toArrow()
         return np.clip((rows_of(least.column("x")) - mean) / scale, -8, 8)
 
-    p, u = some(positive), some(open_)
+    p, u = some(positive, positive.count()), some(open_, int(n[0]))
     if not len(p):
         return Model(mean, scale, np.zeros(WIDTH), 6.0, 1.0)
     first = Model(mean, scale, *descend(p, u, None), 0.5)

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, decontam, embed_dedup, para_dedup, pii, quality, sharding, simhash, url_rules
+from . import bpe, decontam, embed_dedup, license_scan, para_dedup, pii, quality, sharding, simhash, url_rules
 from .common import table
 
 #: The contract's rules: fixed values.
@@ -37,6 +38,12 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return para_dedup.near_paragraphs(table(spark, sf_dir, "documents"))
 
 
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A document's place is its source, then its language."""
+    docs = table(spark, sf_dir, "documents")
+    return license_scan.scan(docs.withColumn("path", F.concat_ws("/", "source", "lang", F.col("doc_id").cast("string"))))
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -84,6 +91,7 @@ QUERIES = {
     "op3_pii": op3_pii,
     "op4_url_filters": op4_url_filters,
     "op5_substring_dedup": op5_substring_dedup,
+    "op6_license_scan": op6_license_scan,
     "op7_decontamination": op7_decontamination,
     "op8_bpe": op8_bpe,
     "op9_sharding": op9_sharding,

@@ -31,7 +31,8 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common
@@ -198,19 +199,16 @@ def chunked(benchmark: DataFrame, item_col: str, text_col: str, chunk_bytes: int
         yield n, [(r["name"], bytes(r["text"])) for r in part.collect()]
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
-    """One row per row of ``docs``: id, n_words, n_hit, n_items, items_sha256, contaminated."""
-    spark = docs.sparkSession
-    kind = docs.schema[id_col].dataType.simpleString()
-    source = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"), F.monotonically_increasing_id().alias("row"))
-    parts = None
+def tables(source: DataFrame, benchmark: DataFrame, item_col: str, item_text: str, chunk_bytes: int):
+    """For each chunk of the benchmark: how many there are, and the broadcast that ``runs`` needs.
+
+    ``source`` has the documents' ``text`` as binary; the shingles are counted over all of it."""
+    context = source.sparkSession.sparkContext
     for n, rows in chunked(benchmark, item_col, item_text, chunk_bytes):
-        if n > 1 and parts is None:
-            source = common.cut(source)  # the row numbers must hold over the passes
         items = items_of(rows)
         widths = sorted({x.width for x in items})
         known = Known(np.concatenate([shingles(x.hash, x.width) for x in items] or [np.zeros(0, np.uint64)]))
-        sent = spark.sparkContext.broadcast((known, widths))
+        sent = context.broadcast((known, widths))
 
         def count(batches, sent=sent):
             known, widths = sent.value
@@ -227,7 +225,34 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         if items:
             for r in source.select("text").mapInArrow(count, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).collect():
                 counts[r["k"]] = r["n"]
-        held = spark.sparkContext.broadcast((items, *prefixes(items, known, counts), widths))
+        yield n, context.broadcast((items, *prefixes(items, known, counts), widths))
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+    """The rows of ``docs`` without a hit word."""
+    out = docs
+    for _, held in tables(docs.select(F.col(text_col).cast("binary").alias("text")), benchmark, item_col, item_text, chunk_bytes):
+        out = out.where(~has_hit(F.col(text_col).cast("binary"), held))
+    return out
+
+
+def has_hit(text: Column, held: Broadcast) -> Column:
+    @F.arrow_udf("boolean")
+    def hit(texts: pa.Array) -> pa.Array:
+        hasher = Hasher()
+        return pa.array([bool(runs(hasher.words(t.as_py() or b""), *held.value)[0]) for t in texts], pa.bool_())
+
+    return hit(text)
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+    """One row per row of ``docs``: id, n_words, n_hit, n_items, items_sha256, contaminated."""
+    kind = docs.schema[id_col].dataType.simpleString()
+    source = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"), F.monotonically_increasing_id().alias("row"))
+    parts, fixed = None, None
+    for n, held in tables(source, benchmark, item_col, item_text, chunk_bytes):
+        if n > 1 and fixed is None:
+            fixed = common.cut(source)  # the row numbers must hold over the passes
 
         def scan(rows: pa.RecordBatch, held=held) -> pa.RecordBatch:
             hasher = Hasher()
@@ -242,7 +267,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
             columns = [rows.column(0), rows.column(2), pa.array(n_words, pa.int64()), pa.array(hit, pa.list_(run)), pa.array(names, pa.list_(pa.string()))]
             return pa.RecordBatch.from_arrays(columns, names=["id", "row", "n_words", "hit", "names"])
 
-        found = common.map_rows(source, scan, f"id {kind}, row long, n_words long, hit array<struct<s:long,e:long>>, names array<string>")
+        found = common.map_rows(fixed or source, scan, f"id {kind}, row long, n_words long, hit array<struct<s:long,e:long>>, names array<string>")
         parts = found if parts is None else parts.unionByName(found)
     if n > 1:
         parts = parts.groupBy("row").agg(

@@ -133,12 +133,32 @@ def links(fps: DataFrame, distance: int = 3, block: int = BLOCK, segments: int =
     return common.each_cell(dealt, ["t", "k", "bi", "bj"], cell, "a long, b long")
 
 
+def classes(each: DataFrame, distance: int) -> DataFrame:
+    """``(fp, rep, root)``: every fingerprint, its smallest id, and its component's smallest fingerprint."""
+    nodes = each.groupBy("fp").agg(F.min("id").alias("rep"))
+    tree = common.components(links(nodes.select("fp"), distance), "a", "b").withColumnRenamed("node", "fp")
+    return nodes.join(tree, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+
+
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = 3) -> DataFrame:
     """One row per row of ``docs``: id, fingerprint (16 hex digits), component_id (smallest id reachable)."""
     each = common.cut(fingerprints(docs, id_col, text_col))
-    nodes = each.groupBy("fp").agg(F.min("id").alias("rep"))
-    tree = common.components(links(nodes.select("fp"), distance), "a", "b").withColumnRenamed("node", "fp")
-    rooted = nodes.join(tree, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    rooted = classes(each, distance)
     lowest = rooted.groupBy("root").agg(F.min("rep").alias("component_id"))
     named = rooted.join(lowest, "root").select("fp", "component_id")
     return each.join(named, "fp").select(F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = 3) -> DataFrame:
+    """``docs`` with one row of each component: that of the smallest id (one of them, if rows share it)."""
+    rooted = classes(common.cut(fingerprints(docs, id_col, text_col)), distance)
+    first = F.min(F.struct(F.col("rep").isNull().alias("none"), "rep", "fp")).alias("m")
+    kept = rooted.groupBy("root").agg(first).select(F.col("m.rep").alias("_rep"), F.col("m.fp").alias("_kept"))
+
+    @F.arrow_udf("long")
+    def fp(texts: pa.Array) -> pa.Array:
+        return pa.array(np.fromiter((fingerprint(t.as_py()) for t in texts), np.uint64, len(texts)).view(np.int64))
+
+    seen = docs.withColumn("_fp", fp(F.col(text_col).cast("binary")))
+    found = seen.join(kept, (F.col("_fp") == F.col("_kept")) & F.col(id_col).eqNullSafe(F.col("_rep")), "left_semi")
+    return found.dropDuplicates([id_col, "_fp"]).drop("_fp")

@@ -3,8 +3,8 @@
 Encoding is one narrow stage, without a shuffle:
 
 1. A Python function splits texts by the tokenizer's pattern and gives, for each block
-   of about ``BLOCK_BYTES`` of text, the block's distinct words and each text's words as
-   indices into them.
+   of about ``BLOCK_BYTES`` of text, the distinct words that are new to the task, and each
+   text's words as numbers.  After ``CACHE_WORDS`` words the numbers start anew.
 2. Higher-order functions fold the ranked merges over the bytes of each distinct
    word: every step merges the leftmost pair of least rank, until no pair has
    a rank.  The ranks are a literal: 2**13 small maps, picked by the pair's hash, as
@@ -30,6 +30,7 @@ import heapq
 import json
 from collections import defaultdict
 from collections.abc import Callable
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -40,7 +41,7 @@ from pyspark.sql import functions as F
 
 from . import common
 
-BLOCK_BYTES, FOLD_BYTES, TABLES = 32 << 20, 32, 1 << 13
+BLOCK_BYTES, FOLD_BYTES, TABLES, CACHE_WORDS = 4 << 20, 32, 1 << 13, 400_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -138,58 +139,60 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str =
 
     def words(batches):
         split, ranks, id_type = regex.compile(pattern).findall, sent.value, None
-        index: defaultdict[str, int] = defaultdict()
+        index: defaultdict[str, int] = defaultdict()  # the words of this epoch, numbered as they come
         index.default_factory = index.__len__
+        sent_words, fresh = 0, True
         ids, codes, counts, held = [], [], [], 0
 
         def block() -> pa.RecordBatch:
-            short, long, place = [], [], np.empty(len(index), np.int32)
-            for w, k in index.items():
-                raw = w.encode()
-                if len(raw) <= FOLD_BYTES:
-                    place[k] = len(short)
-                    short.append(wide(raw))
-                else:
-                    place[k] = -1 - len(long)
-                    long.append(merge_long(raw, ranks))
-            packed = place[np.concatenate(codes)] if codes else place
+            new = [w.encode() for w in islice(index, sent_words, None)]
+            is_long = np.array([len(w) > FOLD_BYTES for w in new], np.uint8)
             columns = [
-                pa.array([ids], pa.list_(id_type)), pa.array([short], pa.list_(pa.string())), pa.array([long], pa.list_(pa.list_(pa.int32()))),
-                pa.array([packed.astype(np.int32).tobytes()], pa.binary()), pa.array([counts], pa.list_(pa.int32())),
+                pa.array([ids], pa.list_(id_type)), pa.array([[wide(w) for w in new if len(w) <= FOLD_BYTES]], pa.list_(pa.string())),
+                pa.array([[merge_long(w, ranks) for w in new if len(w) > FOLD_BYTES]], pa.list_(pa.list_(pa.int32()))),
+                pa.array([is_long.tobytes()], pa.binary()), pa.array([np.concatenate(codes).tobytes()], pa.binary()),
+                pa.array([counts], pa.list_(pa.int32())), pa.array([fresh]),
             ]
-            return pa.RecordBatch.from_arrays(columns, names=["ids", "words", "long", "codes", "counts"])
+            return pa.RecordBatch.from_arrays(columns, names=["ids", "words", "long", "is_long", "codes", "counts", "fresh"])
 
         for batch in batches:
             id_type = batch.column(0).type
             for i, t in zip(batch.column(0), batch.column(1), strict=True):
-                found = split(t.as_py() or "")
+                text = t.as_py() or ""
+                found = split(text)
                 ids.append(i.as_py())
                 counts.append(len(found))
                 codes.append(np.fromiter(map(index.__getitem__, found), np.int32, len(found)))
-                held += len(t.as_py() or "")
+                held += len(text)
                 if held >= block_bytes:
                     yield block()
-                    index.clear()
+                    sent_words, fresh = len(index), len(index) > CACHE_WORDS
+                    if fresh:
+                        index.clear()
+                        sent_words = 0
                     ids, codes, counts, held = [], [], [], 0
         if ids:
             yield block()
 
     def together(batches):
+        values, first, size = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
         for batch in batches:
             for k in range(batch.num_rows):
-                ids, short, long, packed, counts = (batch.column(c)[k] for c in range(5))
-                lists = [x.values for x in (short, long)]
-                values = np.concatenate([np.zeros(0, np.int32), *(x.flatten().to_numpy(zero_copy_only=False) for x in lists)]).astype(np.int32)
-                size = np.concatenate([np.diff(x.offsets.to_numpy()) for x in lists]).astype(np.int64)
-                first = np.cumsum(size) - size
-                n_short = len(lists[0])
-                code = np.frombuffer(packed.as_py(), np.int32).astype(np.int64)
-                code[code < 0] = n_short - 1 - code[code < 0]
-                ends = np.cumsum(counts.values.to_numpy()).tolist()
+                ids, short, long, kinds, packed, counts, fresh = (batch.column(c)[k] for c in range(7))
+                if fresh.as_py():
+                    values, first, size = values[:0], first[:0], size[:0]
+                # the new words' ids go behind those of the epoch's words so far
+                is_long = np.frombuffer(kinds.as_py(), np.uint8).astype(bool)
+                new_first, new_size = np.zeros(len(is_long), np.int64), np.zeros(len(is_long), np.int64)
+                for lists, mask in ((short.values, ~is_long), (long.values, is_long)):
+                    n = np.diff(lists.offsets.to_numpy())
+                    new_size[mask], new_first[mask] = n, len(values) + np.cumsum(n) - n
+                    values = np.concatenate([values, lists.flatten().to_numpy(zero_copy_only=False).astype(np.int32)])
+                first, size = np.concatenate([first, new_first]), np.concatenate([size, new_size])
+                code = np.frombuffer(packed.as_py(), np.int32)
                 at, offsets, chunks = 0, [0], []
-                for end in ends:  # text by text: no array is longer than a text's tokens
-                    c = code[at:end]
-                    n, f = size[c], first[c]
+                for end in np.cumsum(counts.values.to_numpy()).tolist():  # text by text: no array is longer than a text's tokens
+                    n, f = size[code[at:end]], first[code[at:end]]
                     total = int(n.sum())
                     chunks.append(values[np.repeat(f - (np.cumsum(n) - n), n) + np.arange(total)])
                     offsets.append(offsets[-1] + total)
@@ -198,8 +201,8 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str =
                 yield pa.RecordBatch.from_arrays([ids.values, tokens], names=["id", "tokens"])
 
     merges = Merges(ranks)
-    blocks = docs.select(id_col, F.col(text_col).cast("string").alias("t")).mapInArrow(words, f"ids array<{kind}>, words array<string>, long array<array<int>>, codes binary, counts array<int>")
-    folded = blocks.select("ids", F.transform("words", merges.encode_word).alias("short"), "long", "codes", "counts")
+    blocks = docs.select(id_col, F.col(text_col).cast("string").alias("t")).mapInArrow(words, f"ids array<{kind}>, words array<string>, long array<array<int>>, is_long binary, codes binary, counts array<int>, fresh boolean")
+    folded = blocks.withColumn("words", F.transform("words", merges.encode_word))
     return folded.mapInArrow(together, f"id {kind}, tokens array<int>").withColumnRenamed("id", id_col)
 
 

@@ -1,0 +1 @@
+"""Adaptive-mesh analytics as DataFrame transformations."""

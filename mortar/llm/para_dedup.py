@@ -116,8 +116,8 @@ def shingles_of(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str)
             yield pa.RecordBatch.from_arrays([pa.array(cs, pa.int64()), lists], names=["c", "h"])
 
     by_doc = wanted.groupBy("id").agg(F.collect_list(F.struct("par", "c")).alias("pairs"))
-    # a document's text may stand in several rows of one id: any of them that has the paragraph will do
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("t")).dropDuplicates(["id", "t"])
+    # an id may have several rows: each gives what it has, and repeats go by class; texts are shuffled once
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("t"))
     return texts.join(by_doc, "id").select("t", "pairs").mapInArrow(run, "c long, h array<long>").dropDuplicates(["c"])
 
 

@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 
 from . import common
 
-BLOCK_BYTES, FOLD_BYTES, TABLES, CACHE_WORDS = 4 << 20, 32, 1 << 13, 400_000
+BLOCK_BYTES, FOLD_BYTES, TABLES, CACHE_WORDS = 4 << 20, 32, 1 << 13, 250_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -135,6 +135,7 @@ def merge_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
 def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """One row per row of ``docs``: id and ``tokens``, an array of ids."""
     kind = docs.schema[id_col].dataType.simpleString()
+    common.small_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(ranks)
 
     def words(batches):

@@ -43,6 +43,11 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def small_batches(spark: SparkSession, size: str = "8m") -> None:
+    """Arrow batches of at most ``size`` for the session, so that a batch of long texts stays small in every worker."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
+
+
 def lower_ascii(text: Column) -> Column:
     """A-Z to lower case, all else as it is."""
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

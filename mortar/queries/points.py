@@ -56,7 +56,7 @@ def p01_p04_fold_reflecting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("pid", "x1", "x2", "fold", "inside", "leaf")
 
 
-@query("SELECT range AS pid, (range % 5 + 0.5) * 0.2 AS x1, (range // 5 + 0.5) * 0.25 AS x2 FROM range(20)")
+@query("SELECT range AS pid, CAST((range % 5 + 0.5) * 0.2 AS DOUBLE) AS x1, CAST((range // 5 + 0.5) * 0.25 AS DOUBLE) AS x2 FROM range(20)")
 def p15_uniform_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return locate.uniform_grid(spark, UNIT2, (5, 4))
 

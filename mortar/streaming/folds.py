@@ -21,7 +21,8 @@ def run_to_end(spark: SparkSession, path: str) -> DataFrame:
     """Streams the Parquet files of ``path`` through the fold until all are read; the complete table."""
     schema = spark.read.parquet(path).schema
     name = f"folds_{uuid.uuid4().hex}"
-    stream = fold_events(spark.readStream.schema(schema).parquet(path))
+    pattern = f"{path[:-1]}[{path[-1]}]"  # a pattern may name a single file; a plain path must be a folder
+    stream = fold_events(spark.readStream.schema(schema).parquet(pattern))
     query = stream.writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start()
     query.awaitTermination()
     return spark.table(name)

@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mortar.functions.lineage import cut
-from mortar.operators import exchange, fields, geometry, reduce, regrid
+from mortar.operators import bounded, exchange, fields, geometry, interfaces, reduce, regrid
 from mortar.operators import leaves as tree
 from mortar.plans import transfers
-from mortar.plans.spec import Layout, Operators, cellcentered, vertexcentered
+from mortar.plans.spec import Layout, Operators, cellcentered, facecentered, vertexcentered
 from mortar.queries import sql
 from mortar.queries.mesh import touching
 from mortar.sources import meshes
@@ -248,3 +248,46 @@ def r08_j10_regrid_coarsen(spark: SparkSession, sf_dir: str) -> DataFrame:
     points = meshes.points2d(spark, sf_dir, old)
     new = cut(tree.numbered(tree.coarsen(old, tree.parent(old.where(F.col("level") == LEVELS), 2), 2), 2, LEVELS))
     return regrid.transfer(points, old, new, UNIT2, BARE, FLAT)
+
+
+FACES = Layout(facecentered(2, 0), (0, 0))
+
+
+@query(f"""WITH RECURSIVE {sql.GRADED}, {sql.balanced('leaf', 'bal')},
+flux AS (SELECT leaf, level, c1, c2, CAST(i.range AS INTEGER) AS i1, CAST(j.range AS INTEGER) AS i2, CAST(leaf * 64 + i.range * 8 + j.range AS DOUBLE) AS v1 FROM bal, range(1, 6) i, range(1, 5) j),
+plane AS (SELECT level, c1, c2, i2, CASE i1 WHEN 1 THEN c1 ELSE c1 + 1 END AS pos, i1, v1 FROM flux WHERE i1 IN (1, 5)),
+fine AS (SELECT level - 1 AS level, pos, 5 - (i1 - 1) AS other, (c2 * 4 + i2 - 1) >> 1 AS y, avg(v1) AS v1 FROM plane WHERE pos % 2 = 0 GROUP BY ALL)
+SELECT f.leaf, f.i1, f.i2, coalesce(g.v1, f.v1) AS v1 FROM flux f LEFT JOIN (SELECT *, pos // 2 AS half FROM fine) g
+ON g.level = f.level AND g.y = f.c2 * 4 + f.i2 - 1 AND g.other = f.i1 AND g.half = CASE f.i1 WHEN 1 THEN f.c1 ELSE f.c1 + 1 END""")
+def j09_x17_w18_interfaces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fluxes along the first dimension; coarse planes at finer neighbours become the fine means."""
+    leaves = meshes.balanced2d(spark, sf_dir)
+    flux = fields.grid(leaves, FACES.closed(4)).withColumn("v1", (F.col("leaf") * 64 + F.col("i1") * 8 + F.col("i2")).cast("double"))
+    return interfaces.restrict_interfaces(flux, leaves, UNIT2, FACES)
+
+
+MINMOD = "CASE WHEN least({0}) > 0 THEN least({0}) WHEN greatest({0}) < 0 THEN greatest({0}) ELSE 0 END"
+
+
+def _slope(lo: str, hi: str) -> str:
+    return MINMOD.format(f"2 * (u - {lo}), 2 * ({hi} - u), ({hi} - {lo}) / 2")
+
+
+@query(f"""{WITH}, w AS (SELECT a.leaf, a.i1, a.i2, a.v1 AS u, b.v1 AS l1, c.v1 AS h1, d.v1 AS l2, e.v1 AS h2 FROM val a
+  JOIN val b ON b.leaf = a.leaf AND b.i1 = a.i1 - 1 AND b.i2 = a.i2 JOIN val c ON c.leaf = a.leaf AND c.i1 = a.i1 + 1 AND c.i2 = a.i2
+  JOIN val d ON d.leaf = a.leaf AND d.i1 = a.i1 AND d.i2 = a.i2 - 1 JOIN val e ON e.leaf = a.leaf AND e.i1 = a.i1 AND e.i2 = a.i2 + 1),
+s AS (SELECT *, {_slope("l1", "h1")} AS s1, {_slope("l2", "h2")} AS s2, greatest(u, l1, h1, l2, h2) - u AS up, u - least(u, l1, h1, l2, h2) AS down FROM w),
+f AS (SELECT *, CASE WHEN (abs(s1) + abs(s2)) / 4 > least(up, down) THEN least(up, down) / ((abs(s1) + abs(s2)) / 4) ELSE 1.0 END AS phi FROM s)
+SELECT leaf, CAST(i1 * 2 - 1 + a AS INTEGER) AS i1, CAST(i2 * 2 - 1 + b AS INTEGER) AS i2, round(u + phi * (s1 * (a * 2 - 1) / 4 + s2 * (b * 2 - 1) / 4), 6) AS v1 FROM f, {sql.KIDS}""")
+def x04_w12_bounded_prolongation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Inner cells of every block split with limited slopes."""
+    _, points = mesh_and_points(spark, sf_dir)
+    return bounded.split_cells(points, 2, "v1").withColumn("v1", F.round("v1", 6))
+
+
+@query(f"{WITH}, f AS (SELECT leaf, min(v1) AS lo, max(v1) AS hi, avg(v1) * 1.5 AS t FROM val WHERE i1 <= 2 AND i2 <= 2 GROUP BY leaf) SELECT leaf, greatest(least(t, hi), lo) AS v1 FROM f")
+def x05_bracket_clamp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An overshooting value clamped to its bracket."""
+    _, points = mesh_and_points(spark, sf_dir)
+    box = points.where("i1 <= 2 AND i2 <= 2").groupBy("leaf").agg(F.min("v1").alias("lo"), F.max("v1").alias("hi"), (F.avg("v1") * 1.5).alias("t"))
+    return box.select("leaf", bounded.bracket(F.col("t"), F.col("lo"), F.col("hi")).alias("v1"))

@@ -73,8 +73,8 @@ def listed(values: np.ndarray) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * width, pa.int32()), pa.array(values.ravel()))
 
 
-def parts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``(id, par, n_words, k1, k2, bands)`` of every paragraph that is long enough."""
+def parts(docs: DataFrame, id_col: str, text_col: str, with_bands: bool = True) -> DataFrame:
+    """``(id, par, n_words, k1, k2, bands)`` of every paragraph that is long enough; ``bands`` is empty on request."""
 
     def run(batches):
         mins = MinHash()
@@ -88,11 +88,13 @@ def parts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                     pars.append(par)
                     counts.append(len(words))
                     keys.append((xxhash.xxh64_intdigest(line, 1), xxhash.xxh64_intdigest(line, 2)))
-                    sets.append(shingle_set(words))
+                    if with_bands:
+                        sets.append(shingle_set(words))
                 for at in range(0, len(sets), 256):
                     bands.append(mins.bands(sets[at : at + 256]))
+            lists = listed(np.concatenate(bands).view(np.int64)) if with_bands else pa.array([[]] * len(ids), pa.list_(pa.int64()))
             k = np.array(keys, np.uint64).reshape(-1, 2).view(np.int64)
-            columns = [pa.array(ids, pa.int64()), pa.array(pars, pa.int32()), pa.array(counts, pa.int32()), pa.array(k[:, 0].copy()), pa.array(k[:, 1].copy()), listed(np.concatenate(bands).view(np.int64))]
+            columns = [pa.array(ids, pa.int64()), pa.array(pars, pa.int32()), pa.array(counts, pa.int32()), pa.array(k[:, 0].copy()), pa.array(k[:, 1].copy()), lists]
             yield pa.RecordBatch.from_arrays(columns, names=["id", "par", "n_words", "k1", "k2", "bands"])
 
     known = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long"), F.col(text_col).cast("binary").alias("t"))
@@ -129,6 +131,11 @@ def compare(x: dict) -> list | None:
     sets = [s.values.to_numpy() for s in x["h"]]
     sets = [sets[k] for k in order]
     size, left = len(ids), int(np.searchsorted(own, own[-1]))
+    near = lambda both, i, j: both * 10 >= (len(sets[i]) + len(sets[j]) - both) * round(THRESHOLD * 10)
+    if size <= 4:  # the usual cell
+        pairs = [(i, j) for j in range(size) for i in range(j) if not left or i < left <= j]
+        ok = [p for p in pairs if near(len(np.intersect1d(sets[p[0]], sets[p[1]], assume_unique=True)), *p)]
+        return [ids[[i for i, _ in ok]], ids[[j for _, j in ok]]] if ok else None
     # count common shingles by sorting all shingles of the cell
     flat, who = np.concatenate(sets), np.repeat(np.arange(size), [len(s) for s in sets])
     by = np.argsort(flat, kind="stable")
@@ -168,7 +175,7 @@ def near_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rooted = rows.select("k1", "k2", "c", "rep", "last").join(tree, "c", "left").withColumn("root", F.coalesce("root", "c"))
     clusters = rooted.groupBy("root").agg(F.min("rep").alias("head"), F.max("last").alias("last")).where("head.id <> last")
     named = rooted.join(clusters.drop("last"), "root").select("k1", "k2", "head")
-    out = each.select("id", "par", "n_words", "k1", "k2").join(named, ["k1", "k2"])
+    out = parts(docs, id_col, text_col, with_bands=False).join(named, ["k1", "k2"])
     return out.select(
         F.col("id").alias(id_col), F.col("par").alias("paragraph"), "n_words", F.col("head.id").alias("component_id"),
         F.col("head.par").alias("component_paragraph"), ((F.col("id") == F.col("head.id")) & (F.col("par") == F.col("head.par"))).alias("kept"),

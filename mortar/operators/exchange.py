@@ -117,3 +117,19 @@ def fill_ghosts(points: DataFrame, leaves: DataFrame, mesh: MeshSpec, layout: La
             got = walls(regions.where(F.col("level") == level), filled, mesh, layout)
             filled = cut(filled.unionByName(got.join(filled, ["leaf", *names], "left_anti")))
     return filled
+
+
+def relative_boundary(points: DataFrame, leaves: DataFrame, mesh: MeshSpec, layout: Layout, values: Mapping[str, Callable[..., Column]]) -> DataFrame:
+    """Outer ghosts by u(x) = f(x) + u(r) - f(r), r being the nearest owned point of the same block: (leaf, i1 .., variables)."""
+    names, ds = index_names(mesh.dims), [f"d{d + 1}" for d in range(mesh.dims)]
+    at = region_points(plans.outer_regions(leaves, mesh), mesh, layout).select("leaf", *ds, *names)
+    ghost = positions(at, leaves, mesh, layout)
+    near = []
+    for d, name in enumerate(names):
+        g = layout.ghosts[d]
+        near.append(F.least(F.greatest(F.col(name), F.lit(g + 1)), F.lit(g + mesh.cells)).alias(f"_r{d + 1}"))
+    own = positions(points, leaves, mesh, layout)
+    read = own.select("leaf", *[F.col(n).alias(f"_r{d + 1}") for d, n in enumerate(names)], *[F.col(f"x{d + 1}").alias(f"_x{d + 1}") for d in range(mesh.dims)], *[F.col(v).alias(f"_{v}") for v in layout.variables])
+    both = ghost.select("leaf", *names, *near, *[f"x{d + 1}" for d in range(mesh.dims)]).join(read, ["leaf", *[f"_r{d + 1}" for d in range(mesh.dims)]])
+    here, there = ([F.col(f"{p}{d + 1}") for d in range(mesh.dims)] for p in ("x", "_x"))
+    return both.select("leaf", *names, *[(values[v](*here) + F.col(f"_{v}") - values[v](*there)).alias(v) for v in layout.variables])

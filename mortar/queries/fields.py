@@ -291,3 +291,15 @@ def x05_bracket_clamp(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, points = mesh_and_points(spark, sf_dir)
     box = points.where("i1 <= 2 AND i2 <= 2").groupBy("leaf").agg(F.min("v1").alias("lo"), F.max("v1").alias("hi"), (F.avg("v1") * 1.5).alias("t"))
     return box.select("leaf", bounded.bracket(F.col("t"), F.col("lo"), F.col("hi")).alias("v1"))
+
+
+@query(f"""{WITH}, b AS (SELECT leaf, level, c1, c2, CAST(i.range AS INTEGER) AS i1, CAST(j.range AS INTEGER) AS i2 FROM leaf, range(1, 7) i, range(1, 7) j),
+g AS (SELECT * FROM b WHERE (i1 = 1 AND c1 = 0) OR (i1 = 6 AND c1 = (1 << level) - 1) OR (i2 = 1 AND c2 = 0) OR (i2 = 6 AND c2 = (1 << level) - 1)),
+n AS (SELECT g.*, v1, ((i1 - 1.5) / 4 + c1) / power(2, level) - ((least(greatest(i1, 2), 5) - 1.5) / 4 + c1) / power(2, level) AS dx FROM g JOIN (SELECT leaf, i1 + 1 AS r1, i2 + 1 AS r2, v1 FROM val) v
+  ON v.leaf = g.leaf AND r1 = least(greatest(i1, 2), 5) AND r2 = least(greatest(i2, 2), 5))
+SELECT leaf, i1, i2, round(v1 + 16 * dx, 9) AS v1 FROM n WHERE i1 IN (1, 6) OR i2 IN (1, 6)""")
+def x10_relative_boundary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Outer ghosts by the function 16 x, relative to the nearest owned point."""
+    leaves, points = mesh_and_points(spark, sf_dir)
+    got = exchange.relative_boundary(with_ghosts(points, HALO), leaves, UNIT2, HALO, {"v1": lambda x, y: 16 * x})
+    return got.withColumn("v1", F.round("v1", 9))

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mortar.operators import locate
-from mortar.plans.spec import Layout, MeshSpec, cellcentered
+from mortar.operators import atlas, elements, fields, locate
+from mortar.plans.spec import Layout, MeshSpec, cellcentered, elementcentered
 from mortar.queries import sql
 from mortar.sources import meshes
 from mortar.sources.meshes import LEVELS, PERIODIC2, UNIT2
@@ -80,3 +80,38 @@ def p05_p07_interpolate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = locate.locate(order_points(spark, sf_dir), leaves, UNIT2, LEVELS)
     got = locate.interpolate(found, meshes.points2d(spark, sf_dir, leaves), leaves, UNIT2, Layout(cellcentered(2), (0, 0)), 2, [(0, 0), (1, 0)])
     return got.select("pid", "k", F.round("v1", 6).alias("v1"))
+
+
+ELEMENTS = Layout(elementcentered(2), (0, 0), order=1)
+
+
+@query(f"""WITH {sql.GRADED}, e AS (SELECT leaf, (c1 + (i.range // 2 + i.range % 2) / 2.0) / power(2, level) AS x1, (c2 + (j.range // 2 + j.range % 2) / 2.0) / power(2, level) AS x2, power(0.25 / power(2, level), 2) AS w
+FROM leaf, range(4) i, range(4) j) SELECT round(sum((x1 * x2 + 1) * w), 9) AS integral FROM e""")
+def a08_element_quadrature(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The integral of x y + 1 over linear elements."""
+    leaves = meshes.leaves2d(spark, sf_dir)
+    placed = elements.positions(fields.grid(leaves, ELEMENTS.owned(4)), leaves, UNIT2, ELEMENTS)
+    return elements.quadrature(placed.withColumn("v1", F.col("x1") * F.col("x2") + 1), "v1").select(F.round("integral", 9).alias("integral"))
+
+
+@query(f"SELECT pid, round(x1 * x2 + 1, 9) AS v1 FROM ({POINT})")
+def p06_element_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Linear elements reproduce x y + 1 at orders' points."""
+    leaves = meshes.leaves2d(spark, sf_dir)
+    placed = elements.positions(fields.grid(leaves, ELEMENTS.owned(4)), leaves, UNIT2, ELEMENTS)
+    points = placed.select("leaf", "i1", "i2", (F.col("x1") * F.col("x2") + 1).alias("v1"))
+    found = locate.locate(order_points(spark, sf_dir), leaves, UNIT2, LEVELS)
+    return elements.interpolate(found, points, leaves, UNIT2, ELEMENTS).select("pid", F.round("v1", 9).alias("v1"))
+
+
+@query(f"""SELECT pid, round(2 * (x1 + 1) * cos(x2), 6) AS ux, round((x1 + 1) * sin(x2), 6) AS uy, 2.0::DOUBLE AS uxx, 0.0::DOUBLE AS uxy, 0.0::DOUBLE AS uyy FROM ({POINT})""".replace("round((x1 + 1) * sin(x2), 6) AS uy", "3.0::DOUBLE AS uy"))
+def p12_p13_chain_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """u = X^2 + 3 Y in polar coordinates (radius x1 + 1, angle x2): physical derivatives from logical ones."""
+    rows = order_points(spark, sf_dir)
+    r, a = F.col("x1") + 1, F.col("x2")
+    grad = [2 * r * F.cos(a) ** 2 + 3 * F.sin(a), -2 * r * r * F.cos(a) * F.sin(a) + 3 * r * F.cos(a)]
+    hess = [[2 * F.cos(a) ** 2, -4 * r * F.cos(a) * F.sin(a) + 3 * F.cos(a)], [None, -2 * r * r * (F.cos(a) ** 2 - F.sin(a) ** 2) - 3 * r * F.sin(a)]]
+    hess[1][0] = hess[0][1]
+    d1, d2 = atlas.first(atlas.Polar(), [r, a], grad), atlas.second(atlas.Polar(), [r, a], grad, hess)
+    show = lambda c: F.round(c, 6) + 0.0
+    return rows.select("pid", show(d1[0]).alias("ux"), show(d1[1]).alias("uy"), show(d2[0][0]).alias("uxx"), show(d2[0][1]).alias("uxy"), show(d2[1][1]).alias("uyy"))

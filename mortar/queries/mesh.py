@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mortar.functions import keys
-from mortar.operators import geometry
+from mortar.functions.lineage import cut
+from mortar.operators import geometry, patched
 from mortar.operators import leaves as tree
+from mortar.plans.patches import Glue, PatchMesh, both_ways
 from mortar.plans.spec import MeshSpec, directions
 from mortar.queries import sql
 from mortar.sources import meshes
@@ -187,3 +189,65 @@ def g01_g06_block_geometry(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"{WITH} SELECT max(level) AS maxlevel, min(0.25 / power(2, level)) AS h FROM leaf")
 def g03_minimum_spacing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return geometry.minimum_spacing(meshes.leaves2d(spark, sf_dir), UNIT2)
+
+
+#: Two patches of 2 x 3 and 3 x 2 roots; the first's high x meets the second's high y, axes swapped, so that its y runs backwards
+#: along the second's x.
+PAIR = PatchMesh(((2, 3), (3, 2)), both_ways(Glue(0, 0, 1, 1, 1, 1, (1, 0), (True, True))))
+PAIR_ROOTS = """SELECT CAST(range AS INTEGER) AS root, range + 1 AS leaf, CAST(CASE WHEN range < 6 THEN 0 ELSE 1 END AS INTEGER) AS patch,
+CASE WHEN range < 6 THEN range % 2 ELSE (range - 6) % 3 END AS x, CASE WHEN range < 6 THEN range // 2 ELSE (range - 6) // 3 END AS y FROM range(12)"""
+
+
+@query(f"SELECT root, patch, x AS p1, y AS p2 FROM ({PAIR_ROOTS})")
+def l28_patches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The patch of every root, and its place there."""
+    rows = patched.roots(spark, PAIR).withColumn("patch", patched.patch_of(PAIR))
+    at = F.col("root") - F.when(F.col("patch") == 0, 0).otherwise(6)
+    wide = F.when(F.col("patch") == 0, 2).otherwise(3)
+    return rows.select("root", F.col("patch").cast("int").alias("patch"), (at % wide).cast("long").alias("p1"), F.floor(at / wide).cast("long").alias("p2"))
+
+
+@query(f"""WITH r AS ({PAIR_ROOTS}), s AS (SELECT r.*, d1, d2, x + d1 AS nx, y + d2 AS ny, CASE patch WHEN 0 THEN 2 ELSE 3 END AS w, CASE patch WHEN 0 THEN 3 ELSE 2 END AS h FROM r, {sql.DIRS})
+SELECT s.leaf, d1, d2, CAST(NULL AS INTEGER) AS crossed, t.leaf AS neighbour FROM s JOIN r t ON t.patch = s.patch AND t.x = nx AND t.y = ny
+UNION ALL SELECT s.leaf, d1, d2, 0, t.leaf FROM s JOIN r t ON s.patch = 0 AND nx = 2 AND ny BETWEEN 0 AND 2 AND t.patch = 1 AND t.x = 2 - ny AND t.y = 1
+UNION ALL SELECT s.leaf, d1, d2, 1, t.leaf FROM s JOIN r t ON s.patch = 1 AND ny = 2 AND nx BETWEEN 0 AND 2 AND t.patch = 0 AND t.x = 1 AND t.y = 2 - nx""")
+def l10_l22_glued_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Neighbours inside the two patches and across the glued faces."""
+    leaves = patched.roots(spark, PAIR).withColumn("leaf", (F.col("root") + 1).cast("long"))
+    return patched.neighbours(leaves, PAIR)
+
+
+CELLS3 = """cell AS (SELECT (l_partkey * l_partkey * 8) // (p * p) AS c1, (l_suppkey * l_suppkey * 8) // (s * s) AS c2, CAST((l_linenumber * 8) // (n + 1) AS BIGINT) AS c3, count(*) AS cnt
+FROM lineitem, (SELECT max(l_partkey) + 1 AS p, max(l_suppkey) + 1 AS s, max(l_linenumber) AS n FROM lineitem) GROUP BY ALL)"""
+KIDS3 = sql.KIDS + ", (SELECT CAST(range AS BIGINT) AS c FROM range(2))"
+ALL3 = "(SELECT CAST(x.range - 1 AS INTEGER) AS d1, CAST(y.range - 1 AS INTEGER) AS d2, CAST(z.range - 1 AS INTEGER) AS d3 FROM range(3) x, range(3) y, range(3) z) d"
+IN3 = " AND ".join(f"(n.c{k} >> 1) + d{k} BETWEEN 0 AND (1 << (level - 1)) - 1" for k in (1, 2, 3))
+
+
+@query(f"""WITH RECURSIVE {CELLS3}, tot AS (SELECT l.l AS level, c1 >> (3 - l.l) AS c1, c2 >> (3 - l.l) AS c2, c3 >> (3 - l.l) AS c3, sum(cnt) AS cnt FROM cell, (SELECT CAST(range AS INTEGER) AS l FROM range(4)) l GROUP BY ALL),
+inn AS (SELECT level, c1, c2, c3 FROM tot WHERE cnt * 20 > (SELECT count(*) FROM lineitem) AND level < 3),
+raw AS (SELECT n.* FROM (SELECT 0 AS level, CAST(0 AS BIGINT) AS c1, CAST(0 AS BIGINT) AS c2, CAST(0 AS BIGINT) AS c3 UNION ALL SELECT level + 1, c1 * 2 + a, c2 * 2 + b, c3 * 2 + c FROM inn, {KIDS3}) n ANTI JOIN inn USING (level, c1, c2, c3)),
+need AS (SELECT level, c1, c2, c3 FROM raw UNION SELECT level - 1, (n.c1 >> 1) + d1, (n.c2 >> 1) + d2, (n.c3 >> 1) + d3 FROM need n, {ALL3} WHERE level >= 1 AND {IN3}),
+more AS (SELECT DISTINCT level - 1 AS level, c1 >> 1 AS c1, c2 >> 1 AS c2, c3 >> 1 AS c3 FROM need WHERE level > 0)
+SELECT 0 AS root, n.* FROM (SELECT 0 AS level, CAST(0 AS BIGINT) AS c1, CAST(0 AS BIGINT) AS c2, CAST(0 AS BIGINT) AS c3 UNION ALL SELECT level + 1, c1 * 2 + a, c2 * 2 + b, c3 * 2 + c FROM more, {KIDS3}) n ANTI JOIN more USING (level, c1, c2, c3)""")
+def l27_balance_3d(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The balanced mesh of line items in three dimensions."""
+    mesh = MeshSpec(roots=(1, 1, 1), cells=4)
+    items = meshes.table(spark, sf_dir, "lineitem")
+    p, s, n = (int(x or 1) for x in items.agg(F.max("l_partkey") + 1, F.max("l_suppkey") + 1, F.max("l_linenumber") + 1).first())
+    c1, c2 = F.expr(f"(l_partkey * l_partkey * 8L) div ({p}L * {p}L)"), F.expr(f"(l_suppkey * l_suppkey * 8L) div ({s}L * {s}L)")
+    cells = items.groupBy(c1.alias("c1"), c2.alias("c2"), F.expr(f"(l_linenumber * 8L) div {n}L").alias("c3")).agg(F.count("*").alias("cnt"))
+    totals = cut(tree.occupied(cells, 3, 3, "cnt"))
+    all_ = totals.where("level = 0").agg(F.sum("cnt")).first()[0] or 0
+    leaves = cut(tree.thresholded(totals, F.col("cnt") * 20 > all_, 3, 3, tree.roots(spark, mesh)))
+    return tree.balance(leaves, mesh, 3)
+
+
+@query(f"""WITH c AS (SELECT CAST(date_diff('day', TIMESTAMP '2024-01-01', ts) * 2 + (hour(ts) // 12) AS BIGINT) AS c1, count(*) AS cnt FROM events GROUP BY 1),
+tot AS (SELECT l.l AS level, c1 >> (6 - l.l) AS c1, CAST(sum(cnt) AS BIGINT) AS cnt FROM c, (SELECT CAST(range AS INTEGER) AS l FROM range(7)) l WHERE c1 BETWEEN 0 AND 63 GROUP BY ALL) SELECT 0 AS root, * FROM tot""")
+def l19_occupancy_1d(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events by half days, totalled over every node above."""
+    ts = F.col("ts").cast("timestamp")
+    half = F.datediff(ts, F.lit("2024-01-01")) * 2 + F.floor(F.hour(ts) / 12)
+    cells = meshes.table(spark, sf_dir, "events").groupBy(half.cast("long").alias("c1")).agg(F.count("*").alias("cnt")).where("c1 BETWEEN 0 AND 63")
+    return tree.occupied(cells, 1, 6, "cnt")

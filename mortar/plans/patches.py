@@ -80,4 +80,19 @@ class PatchMesh:
 
 
 def both_ways(*entries: Glue) -> tuple[Glue, ...]:
-    return tuple(x for g in entries for x in (g, g.reverse()))
+    """The entries and their inverses; a face glued to itself by its own inverse stands once."""
+    return tuple(dict.fromkeys(x for g in entries for x in (g, g.reverse())))
+
+
+def quarter_turn(roots: tuple[int, int], cells: int = 4) -> PatchMesh:
+    """A quadrant whose low faces meet by a quarter turn about their common edge."""
+    if roots[0] != roots[1]:
+        raise ValueError("a quarter turn needs as many roots in both dimensions")
+    return PatchMesh((roots,), both_ways(Glue(0, 0, 0, 0, 1, 0, (1, 0), (False, True))), cells)
+
+
+def half_turn(roots: tuple[int, int], cells: int = 4) -> PatchMesh:
+    """A half plane whose low face of the first dimension meets itself by a half turn about its middle."""
+    if roots[1] % 2:
+        raise ValueError("a half turn needs an even number of roots across")
+    return PatchMesh((roots,), both_ways(Glue(0, 0, 0, 0, 0, 0, (0, 1), (True, True))), cells)

@@ -9,7 +9,7 @@ from mortar.functions.lineage import cut
 from mortar.operators import bounded, exchange, fields, geometry, interfaces, reduce, regrid
 from mortar.operators import leaves as tree
 from mortar.plans import transfers
-from mortar.plans.spec import Layout, Operators, cellcentered, facecentered, vertexcentered
+from mortar.plans.spec import Layout, MeshSpec, Operators, cellcentered, facecentered, vertexcentered
 from mortar.queries import sql
 from mortar.queries.mesh import touching
 from mortar.sources import meshes
@@ -303,3 +303,32 @@ def x10_relative_boundary(spark: SparkSession, sf_dir: str) -> DataFrame:
     leaves, points = mesh_and_points(spark, sf_dir)
     got = exchange.relative_boundary(with_ghosts(points, HALO), leaves, UNIT2, HALO, {"v1": lambda x, y: 16 * x})
     return got.withColumn("v1", F.round("v1", 9))
+
+
+WALLED = MeshSpec(roots=(1, 1), cells=4, reflecting=frozenset({(0, 0), (0, 1)}), outflow=frozenset({(1, 0), (1, 1)}))
+ODD = Layout(cellcentered(2), (1, 1), ("v1", "v2"), parity={"v2": {0: -1}})
+
+
+@query(f"""WITH RECURSIVE {sql.GRADED}, {sql.balanced('leaf', 'bal')}, {sql.values('bal')}
+SELECT leaf, 1 AS i1, i2 + 1 AS i2, v1, -v1 AS v2 FROM val JOIN bal USING (leaf) WHERE c1 = 0 AND i1 = 1
+UNION ALL SELECT leaf, 6, i2 + 1, v1, -v1 FROM val JOIN bal USING (leaf) WHERE c1 = (1 << bal.level) - 1 AND i1 = 4
+UNION ALL SELECT leaf, i1 + 1, 1, v1, v1 FROM val JOIN bal USING (leaf) WHERE c2 = 0 AND i2 = 1
+UNION ALL SELECT leaf, i1 + 1, 6, v1, v1 FROM val JOIN bal USING (leaf) WHERE c2 = (1 << bal.level) - 1 AND i2 = 4""")
+def j02_x13_f13_walls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ghosts beyond reflecting and outflow faces, edges left out: mirrored times the parity, and clamped."""
+    leaves = meshes.balanced2d(spark, sf_dir)
+    points = with_ghosts(meshes.points2d(spark, sf_dir, leaves), ODD).withColumn("v2", F.col("v1"))
+    full = exchange.fill_ghosts(points, leaves, WALLED, ODD, FLAT).join(leaves.select("leaf", "level", "c1", "c2"), "leaf")
+    last = F.pow(F.lit(2.0), F.col("level")).cast("long") - 1
+    beyond = [((F.col("c1") == 0) & (F.col("i1") == 1)) | ((F.col("c1") == last) & (F.col("i1") == 6)), ((F.col("c2") == 0) & (F.col("i2") == 1)) | ((F.col("c2") == last) & (F.col("i2") == 6))]
+    inner = [F.col(i).between(2, 5) for i in ("i1", "i2")]
+    return full.where((beyond[0] & inner[1]) | (beyond[1] & inner[0])).select("leaf", "i1", "i2", "v1", "v2")
+
+
+@query(f"{WITH} SELECT leaf, i1, i2, v1, v1 * 2 + leaf AS v2 FROM val")
+def f10_several_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two sets in one state, told apart by ``set_id``, and put side by side."""
+    _, points = mesh_and_points(spark, sf_dir)
+    other = points.withColumn("v1", F.col("v1") * 2 + F.col("leaf"))
+    both = points.withColumn("set_id", F.lit(0)).unionByName(other.withColumn("set_id", F.lit(1)))
+    return both.groupBy("leaf", "i1", "i2").agg(F.max(F.when(F.col("set_id") == 0, F.col("v1"))).alias("v1"), F.max(F.when(F.col("set_id") == 1, F.col("v1"))).alias("v2"))

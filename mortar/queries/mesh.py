@@ -9,7 +9,7 @@ from mortar.functions import keys
 from mortar.functions.lineage import cut
 from mortar.operators import geometry, patched
 from mortar.operators import leaves as tree
-from mortar.plans.patches import Glue, PatchMesh, both_ways
+from mortar.plans.patches import Glue, PatchMesh, both_ways, half_turn, quarter_turn
 from mortar.plans.spec import MeshSpec, directions
 from mortar.queries import sql
 from mortar.sources import meshes
@@ -251,3 +251,29 @@ def l19_occupancy_1d(spark: SparkSession, sf_dir: str) -> DataFrame:
     half = F.datediff(ts, F.lit("2024-01-01")) * 2 + F.floor(F.hour(ts) / 12)
     cells = meshes.table(spark, sf_dir, "events").groupBy(half.cast("long").alias("c1")).agg(F.count("*").alias("cnt")).where("c1 BETWEEN 0 AND 63")
     return tree.occupied(cells, 1, 6, "cnt")
+
+
+def seam_sql(across: str) -> str:
+    """Neighbours on 4 x 4 leaves of one level below 2 x 2 roots, inside and ``across`` a seam."""
+    return f"""WITH r AS (SELECT x.range AS x, y.range AS y, (y.range // 2 * 2 + x.range // 2) * 4 + (x.range % 2) * 2 + y.range % 2 + 1 AS leaf FROM range(4) x, range(4) y),
+s AS (SELECT r.*, d1, d2, x + d1 AS nx, y + d2 AS ny FROM r, {sql.DIRS})
+SELECT s.leaf, d1, d2, t.leaf AS neighbour FROM s JOIN r t ON t.x = nx AND t.y = ny
+UNION ALL {across}"""
+
+
+def refined_once(spark: SparkSession, mesh: PatchMesh) -> DataFrame:
+    first = tree.children(patched.roots(spark, mesh), 2)
+    return first.withColumn("leaf", F.col("root").cast("long") * 4 + F.col("c1") * 2 + F.col("c2") + 1)
+
+
+@query(seam_sql("""SELECT s.leaf, d1, d2, t.leaf FROM s JOIN r t ON nx = -1 AND ny BETWEEN 0 AND 3 AND t.x = ny AND t.y = 0
+UNION ALL SELECT s.leaf, d1, d2, t.leaf FROM s JOIN r t ON ny = -1 AND nx BETWEEN 0 AND 3 AND t.x = 0 AND t.y = nx"""))
+def l13_l21_quarter_turn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mesh = quarter_turn((2, 2))
+    return patched.neighbours(refined_once(spark, mesh), mesh).drop("crossed")
+
+
+@query(seam_sql("SELECT s.leaf, d1, d2, t.leaf FROM s JOIN r t ON nx = -1 AND ny BETWEEN 0 AND 3 AND t.x = 0 AND t.y = 3 - ny"))
+def l13_l21_half_turn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mesh = half_turn((2, 2))
+    return patched.neighbours(refined_once(spark, mesh), mesh).drop("crossed")

@@ -217,6 +217,19 @@ def test_adapt_reaches_a_fixed_point(spark, data):
     assert done and passes == 4 and got.agg(F.max("level")).first()[0] == 3
 
 
+def test_patch_refusals():
+    from mortar.plans.patches import Glue, PatchMesh, both_ways, half_turn, quarter_turn
+
+    fine = Glue(0, 0, 1, 1, 0, 0, (0, 1), (False, False))
+    assert PatchMesh(((2, 1), (2, 1)), both_ways(fine)).n_roots == 4 and fine.reverse().reverse() == fine
+    for shape, glue in ((((2, 1), (2, 1)), (fine,)), (((2, 1), (2, 3)), both_ways(fine)), (((2, 1), (2, 1)), both_ways(Glue(0, 0, 1, 1, 0, 0, (0, 1), (True, False)))), (((2, 2), (2, 2)), both_ways(Glue(0, 0, 1, 1, 0, 0, (1, 0), (False, False))))):
+        with pytest.raises(ValueError):
+            PatchMesh(shape, glue)
+    for turn, roots_ in ((quarter_turn, (2, 3)), (half_turn, (2, 3))):
+        with pytest.raises(ValueError):
+            turn(roots_)
+
+
 def test_refusals():
     for bad in (dict(roots=(0,)), dict(roots=(1, 1), cells=3), dict(roots=(1,), periodic=(True,), reflecting=frozenset({(0, 0)})), dict(roots=(1,), reflecting=frozenset({(0, 0)}), outflow=frozenset({(0, 0)})), dict(roots=(1, 2), extents=((0.0, 1.0), (0.0, 1.0))), dict(roots=(2, 3), rotating=(0, 1)), dict(roots=(2, 3), halfturn=(0, 1))):
         with pytest.raises(ValueError):

@@ -85,6 +85,40 @@ SELECT page_id, host, path,
 FROM parts
 """
 
+LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+WORDS = f"regexp_extract_all({LOWER}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+
+OP7_SQL = f"""
+WITH doc AS (SELECT doc_id, {WORDS} AS ws FROM documents),
+item AS (SELECT item_id, {WORDS} AS ws FROM benchmark),
+win AS (
+  SELECT DISTINCT item_id, n, ws[s:s + n - 1] AS win FROM (
+    SELECT item_id, ws, least(10, len(ws)) AS n, unnest(range(1, len(ws) - least(10, len(ws)) + 2)) AS s FROM item WHERE len(ws) > 0)
+), here AS (
+  SELECT doc_id, n, p, ws[p:p + n - 1] AS win FROM (
+    SELECT doc_id, ws, n, unnest(range(1, len(ws) - n + 2)) AS p FROM doc, (SELECT DISTINCT n FROM win) WHERE len(ws) >= n)
+), hit AS (SELECT doc_id, item_id, p, n FROM here JOIN win USING (n, win)),
+covered AS (SELECT doc_id, count(DISTINCT q) AS n_hit FROM (SELECT doc_id, unnest(range(p, p + n)) AS q FROM hit) GROUP BY doc_id),
+named AS (SELECT doc_id, count(*) AS n_items, string_agg(i, ',' ORDER BY i) AS names FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS i FROM hit) GROUP BY doc_id)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+  sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM doc LEFT JOIN covered USING (doc_id) LEFT JOIN named USING (doc_id)
+"""
+
+OP2_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+  WHERE label IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), link AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+  WHERE list_cosine_similarity(a.e, b.e) >= 0.98
+), reach AS (SELECT vec_id AS a, vec_id AS b FROM v UNION SELECT r.a, l.b FROM reach r JOIN link l ON l.a = r.b),
+root AS (SELECT a AS vec_id, min(b) AS component_id FROM reach GROUP BY a),
+degree AS (SELECT a AS vec_id, count(*) AS n FROM link GROUP BY a)
+SELECT vec_id, coalesce(n, 0) AS n_links, coalesce(component_id, vec_id) AS component_id, coalesce(component_id, vec_id) = vec_id AS kept
+FROM embeddings LEFT JOIN root USING (vec_id) LEFT JOIN degree USING (vec_id)
+"""
+
 QUERIES = {
     "op1_quality": op1_quality,
     "op2_embedding_dedup": op2_embedding_dedup,
@@ -97,4 +131,4 @@ QUERIES = {
     "op9_sharding": op9_sharding,
     "op10_simhash": op10_simhash,
 }
-ORACLES = {"op4_url_filters": OP4_SQL}
+ORACLES = {"op2_embedding_dedup": OP2_SQL, "op4_url_filters": OP4_SQL, "op7_decontamination": OP7_SQL}

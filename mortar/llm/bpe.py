@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 
 from . import common
 
-BLOCK_BYTES, FOLD_BYTES, TABLES, CACHE_WORDS = 4 << 20, 32, 1 << 13, 250_000
+BLOCK_BYTES, FOLD_BYTES, TABLES, CACHE_WORDS = 2 << 20, 32, 1 << 13, 120_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -172,6 +172,7 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str =
                         index.clear()
                         sent_words = 0
                     ids, codes, counts, held = [], [], [], 0
+                    pa.default_memory_pool().release_unused()
         if ids:
             yield block()
 
@@ -200,6 +201,7 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str =
                     at = end
                 tokens = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(chunks)))
                 yield pa.RecordBatch.from_arrays([ids.values, tokens], names=["id", "tokens"])
+                pa.default_memory_pool().release_unused()
 
     merges = Merges(ranks)
     blocks = docs.select(id_col, F.col(text_col).cast("string").alias("t")).mapInArrow(words, f"ids array<{kind}>, words array<string>, long array<array<int>>, is_long binary, codes binary, counts array<int>, fresh boolean")

@@ -77,3 +77,74 @@ def neighbours(leaves: DataFrame, mesh: PatchMesh) -> DataFrame:
     ds = [f"d{d + 1}" for d in range(mesh.dims)]
     known = leaves.select(*node(mesh.dims), F.col("leaf").alias("neighbour"))
     return ancestors(step(leaves, mesh), mesh.dims, "leaf", *ds, "crossed").join(known, node(mesh.dims)).select("leaf", *ds, "crossed", "neighbour")
+
+
+def glued_ghosts(points: DataFrame, leaves: DataFrame, mesh: PatchMesh, ghosts: int, scalars: tuple[str, ...] = (), vector: tuple[str, ...] = ()) -> DataFrame:
+    """Ghosts across glued faces from leaves of the same level: ``(leaf, i1 .., scalars, vector)``.
+
+    A ghost cell's place beyond the face is mapped into the other patch; a vector's components are read through the
+    axis map, with the sign of its flips.  Stored indices count from 1, ``ghosts`` first."""
+    dims, bits, cs = mesh.dims, mesh.cells.bit_length() - 1, coords(mesh.dims)
+    if 1 << bits != mesh.cells:
+        raise ValueError("cells per block must be a power of two")
+    names = [f"i{d + 1}" for d in range(dims)]
+    rows, parts = leaves.withColumn("patch", patch_of(mesh)), None
+    for g in mesh.glue:
+        here, index, stride, at, index_of = rows.where(F.col("patch") == g.p), F.col("root") - mesh.first_roots[g.p], 1, [], []
+        for d, (c, n) in enumerate(zip(cs, mesh.patches[g.p], strict=True)):
+            place = F.floor(index / stride).cast("long") % n
+            whole = shift_left(place, F.col("level")) + F.col(c)  # the leaf's place in the patch
+            if d == g.d:
+                last = shift_left(F.lit(n), F.col("level")) - 1
+                here = here.where(whole == (last if g.side else 0))
+            at.append(whole * mesh.cells)
+            low = (ghosts + mesh.cells + 1 if g.side else 1) if d == g.d else ghosts + 1
+            span = ghosts if d == g.d else mesh.cells
+            index_of.append(F.sequence(F.lit(low), F.lit(low + span - 1)))
+            stride *= n
+        wide = here.select("leaf", "level", *[x.alias(f"_a{d + 1}") for d, x in enumerate(at)], *[x.alias(f"_q{d + 1}") for d, x in enumerate(index_of)])
+        for d, name in enumerate(names):
+            wide = wide.withColumn(name, F.explode(f"_q{d + 1}")).drop(f"_q{d + 1}")
+        cell = [F.col(f"_a{d + 1}") + F.col(names[d]) - ghosts - 1 for d in range(dims)]
+        top = lambda n: shift_left(F.lit(n * mesh.cells), F.col("level")) - 1
+        xs = []
+        for e in range(dims):
+            a = g.perm[e]
+            if e == g.d2:
+                over = cell[a] - top(mesh.patches[g.p][a]) - 1 if g.side else -1 - cell[a]
+                xs.append(over if g.side2 == 0 else top(mesh.patches[g.q][e]) - over)
+            else:
+                xs.append(top(mesh.patches[g.p][a]) - cell[a] if g.flip[e] else cell[a])
+        root, stride, key, read = F.lit(mesh.first_roots[g.q]), 1, [], []
+        for e, (x, n) in enumerate(zip(xs, mesh.patches[g.q], strict=True)):
+            block = F.shiftright(x, bits)
+            whole = shift_right(block, F.col("level"))
+            root, stride = root + whole * stride, stride * n
+            key.append((block - shift_left(whole, F.col("level"))).alias(cs[e]))
+            read.append((x - F.shiftleft(block, bits) + ghosts + 1).cast("int").alias(f"_s{e + 1}"))
+        wanted = wide.select(F.col("leaf").alias("_t"), *[F.col(n).alias(f"_t{n}") for n in names], root.cast("int").alias("root"), "level", *key, *read)
+        source = wanted.join(leaves.select(*node(dims), F.col("leaf").alias("_src")), node(dims))
+        data = points.select(F.col("leaf").alias("_src"), *[F.col(n).alias(f"_s{d + 1}") for d, n in enumerate(names)], *scalars, *vector)
+        got = source.join(data, ["_src", *[f"_s{d + 1}" for d in range(dims)]])
+        turned = [(F.col(vector[g.perm.index(a)]) * (-1 if g.flip[g.perm.index(a)] else 1)).alias(v) for a, v in enumerate(vector)]
+        piece = got.select(F.col("_t").alias("leaf"), *[F.col(f"_t{n}").alias(n) for n in names], *scalars, *turned)
+        parts = piece if parts is None else parts.unionByName(piece)
+    return parts
+
+
+def locate(query: DataFrame, leaves: DataFrame, mesh: PatchMesh, levels: int) -> DataFrame:
+    """``(pid, leaf)`` of points named by patch and position in roots, ``(pid, patch, x1 ..)``; glue is not followed.
+
+    Points outside their patch, or of no patch, have no leaf."""
+    dims, parts = mesh.dims, None
+    for p, shape in enumerate(mesh.patches):
+        inside, xs = F.col("patch") == p, []
+        for d, n in enumerate(shape):
+            x = F.col(f"x{d + 1}")
+            inside = inside & (x >= 0) & (x <= n) & ~F.isnan(x)
+            xs.append(F.least(F.floor(x * (1 << levels)).cast("long"), F.lit((n << levels) - 1)))
+        rows = query.where(inside).select(F.col("pid").alias("leaf"), *[F.lit(0).alias(f"d{d + 1}") for d in range(dims)], F.lit(levels).alias("level"), *[x.alias(f"_x{d + 1}") for d, x in enumerate(xs)])
+        piece = placed(rows, [F.col(f"_x{d + 1}") for d in range(dims)], p, None, mesh).withColumnRenamed("leaf", "pid")
+        parts = piece if parts is None else parts.unionByName(piece)
+    hit = ancestors(parts, dims, "pid").join(leaves.select(*node(dims), "leaf"), node(dims)).select("pid", "leaf")
+    return query.select("pid").join(hit, "pid", "left")

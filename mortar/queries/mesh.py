@@ -277,3 +277,29 @@ def l13_l21_quarter_turn(spark: SparkSession, sf_dir: str) -> DataFrame:
 def l13_l21_half_turn(spark: SparkSession, sf_dir: str) -> DataFrame:
     mesh = half_turn((2, 2))
     return patched.neighbours(refined_once(spark, mesh), mesh).drop("crossed")
+
+
+@query("""WITH r AS (SELECT x.range AS x, y.range AS y, (y.range // 2 * 2 + x.range // 2) * 4 + (x.range % 2) * 2 + y.range % 2 + 1 AS leaf FROM range(4) x, range(4) y),
+p AS (SELECT leaf, x * 4 + i.range AS gx, y * 4 + j.range AS gy, i.range + 2 AS i1, j.range + 2 AS i2, CAST(leaf * 100 + i.range * 10 + j.range AS DOUBLE) AS s, CAST(leaf + i.range AS DOUBLE) AS u, CAST(leaf - j.range AS DOUBLE) AS w FROM r, range(4) i, range(4) j)
+SELECT r.leaf, 1 AS i1, CAST(j.range + 2 AS INTEGER) AS i2, s, -w AS u, u AS w FROM r, range(4) j, p WHERE x = 0 AND gx = y * 4 + j.range AND gy = 0
+UNION ALL SELECT r.leaf, CAST(i.range + 2 AS INTEGER), 1, s, w, -u FROM r, range(4) i, p WHERE y = 0 AND gy = x * 4 + i.range AND gx = 0""")
+def x06_x14_f14_turned_ghosts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ghosts across a quarter turn: a scalar, and a vector (u, w) whose components change places and sign."""
+    mesh = quarter_turn((2, 2))
+    leaves = refined_once(spark, mesh)
+    grid = F.sequence(F.lit(2), F.lit(5))
+    points = leaves.select("leaf", F.explode(grid).alias("i1")).withColumn("i2", F.explode(grid))
+    values = {"s": F.col("leaf") * 100 + (F.col("i1") - 2) * 10 + F.col("i2") - 2, "u": F.col("leaf") + F.col("i1") - 2, "w": F.col("leaf") - F.col("i2") + 2}
+    data = points.withColumns({k: v.cast("double") for k, v in values.items()})
+    return patched.glued_ghosts(data, leaves, mesh, 1, ("s",), ("u", "w"))
+
+
+@query(f"""WITH r AS ({PAIR_ROOTS}), q AS (SELECT o_orderkey AS pid, CAST(o_custkey % 2 AS INTEGER) AS patch, (o_orderkey % 13) / 4.0 AS x1, (o_custkey % 11) / 4.0 AS x2 FROM orders)
+SELECT q.pid, r.leaf FROM q LEFT JOIN r ON r.patch = q.patch AND q.x1 <= (CASE q.patch WHEN 0 THEN 2 ELSE 3 END) AND q.x2 <= (CASE q.patch WHEN 0 THEN 3 ELSE 2 END)
+AND r.x = least(floor(q.x1), CASE q.patch WHEN 0 THEN 1 ELSE 2 END) AND r.y = least(floor(q.x2), CASE q.patch WHEN 0 THEN 2 ELSE 1 END)""")
+def p03_patch_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as points of the two patches, on faces too; a face belongs to the upper root, a patch's own to its last."""
+    orders = meshes.table(spark, sf_dir, "orders")
+    rows = orders.select(F.col("o_orderkey").alias("pid"), (F.col("o_custkey") % 2).cast("int").alias("patch"), ((F.col("o_orderkey") % 13) / 4.0).alias("x1"), ((F.col("o_custkey") % 11) / 4.0).alias("x2"))
+    leaves = patched.roots(spark, PAIR).withColumn("leaf", (F.col("root") + 1).cast("long"))
+    return patched.locate(rows, leaves, PAIR, 4)

@@ -11,12 +11,21 @@ find bands with two classes or more; just those classes' shingles are then made
 from their documents and compared exactly, in cells of two blocks.  A cell gives a spanning forest of
 its links, so no group becomes its list of pairs.  Components of classes are the clusters.
 
-The result lists each paragraph of a cluster that spans two documents or more; the first
+A passage may begin or end inside a line or run over short ones, so windows of ``WINDOW`` (20)
+words of the whole text are compared as well, line ends being white space.  They begin where the
+hash of 5 words is the least of ``REACH`` (20) beginnings in a row, which depends on the words alone:
+every run of 39 words that two documents share holds a window that both have.  Windows with equal
+words (128 bits) in two documents or more are listed.  Windows have no bands: a word that
+differs inside 20 takes up to 5 of 16 shingles of each, which leaves 0.8 only at either end.  Up to 19 words
+at each end of a passage may lie in no window, and a window there may be chosen in some of its documents only.
+
+The result lists each paragraph of a cluster that spans two documents or more, and each such window that
+has ``SHINGLE`` words or more outside the document's listed paragraphs; the first
 (least document id, then place) is kept, the others are removals.
 
 Cases.  Null and empty texts have no paragraphs.  Rows with a null id are left out of the
 clusters.  Repeated rows with one id count as one document.  Empty tables give empty results.
-Other columns are not read.  A long text is taken line by line.
+Other columns are not read.
 """
 
 from __future__ import annotations
@@ -30,6 +39,7 @@ from pyspark.sql import functions as F
 from . import common
 
 MIN_WORDS, SHINGLE, BANDS, ROWS, THRESHOLD, BLOCK, SEED = 20, 5, 12, 3, 0.8, 512, 7
+WINDOW, REACH = 20, 20
 
 
 def paragraphs(text: bytes, min_words: int = MIN_WORDS):
@@ -46,6 +56,32 @@ def shingle_set(words: list[bytes]) -> np.ndarray:
     return np.unique(np.fromiter((digest(b" ".join(g)) for g in grams), np.uint64))
 
 
+def windows(text: bytes):
+    """``(first word's number, its line, words, touched)`` of the chosen windows; ``touched`` has (line, words in it) of paragraphs."""
+    lines = [line.split() for line in text.lower().split(b"\n")]
+    words = [w for line in lines for w in line]
+    size = len(words) - WINDOW + 1
+    if size < 1:
+        return
+    hashes = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+    grams = np.zeros(size, np.uint64)
+    for k in range(SHINGLE):
+        grams = (grams ^ hashes[k : k + size]) * np.uint64(0x9E3779B97F4A7C15)
+        grams ^= grams >> np.uint64(29)
+    reach = min(REACH, size)
+    # the last of equal ones
+    back = np.lib.stride_tricks.sliding_window_view(grams, reach)[:, ::-1].argmin(axis=1)
+    ends = np.cumsum([len(line) for line in lines])
+    for at in np.unique(np.arange(len(back)) + reach - 1 - back).tolist():
+        first, touched = int(np.searchsorted(ends, at, "right")), []
+        par = first
+        while par < len(lines) and ends[par] - len(lines[par]) < at + WINDOW:
+            if len(lines[par]) >= MIN_WORDS:
+                touched.append((par, int(min(ends[par], at + WINDOW) - max(ends[par] - len(lines[par]), at))))
+            par += 1
+        yield at, first, words[at : at + WINDOW], touched
+
+
 class MinHash:
     def __init__(self, bands: int = BANDS, rows: int = ROWS) -> None:
         rng = np.random.default_rng(SEED)
@@ -101,6 +137,40 @@ def parts(docs: DataFrame, id_col: str, text_col: str, with_bands: bool = True)
     return known.mapInArrow(run, "id long, par int, n_words int, k1 long, k2 long, bands array<long>")
 
 
+def window_parts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``(id, word, par, k1, k2, p1, n1, p2, n2)`` of every chosen window; a window touches two paragraphs at most."""
+    names = ["id", "word", "par", "k1", "k2", "p1", "n1", "p2", "n2"]
+
+    def run(batches):
+        for batch in batches:
+            ids, rows, keys = [], [], []
+            for i, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                for at, first, words, touched in windows(t.as_py() or b""):
+                    line = b" ".join(words)
+                    keys.append((xxhash.xxh64_intdigest(line, 1), xxhash.xxh64_intdigest(line, 2)))
+                    (p1, n1), (p2, n2) = (*touched, (-1, 0), (-1, 0))[:2]
+                    ids.append(i)
+                    rows.append((at, first, p1, n1, p2, n2))
+            k = np.array(keys, np.uint64).reshape(-1, 2).view(np.int64)
+            at, first, p1, n1, p2, n2 = (pa.array(c.copy()) for c in np.array(rows, np.int32).reshape(-1, 6).T)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), at, first, pa.array(k[:, 0].copy()), pa.array(k[:, 1].copy()), p1, n1, p2, n2], names=names)
+
+    known = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long"), F.col(text_col).cast("binary").alias("t"))
+    return known.mapInArrow(run, "id long, word int, par int, k1 long, k2 long, p1 int, n1 int, p2 int, n2 int")
+
+
+def equal_windows(docs: DataFrame, listed_lines: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``(id, word, par, head)``: windows that two documents have, less those inside ``listed_lines`` (id, par)."""
+    each = window_parts(docs, id_col, text_col)
+    shared = each.groupBy("k1", "k2").agg(F.min(F.struct("id", "word", "par")).alias("head"), F.max("id").alias("last")).where("head.id <> last").drop("last")
+    found = each.join(shared, ["k1", "k2"])
+    inside = F.lit(0)
+    for k in "12":
+        found = found.join(listed_lines.select("id", F.col("par").alias(f"p{k}"), F.lit(True).alias(f"l{k}")), ["id", f"p{k}"], "left")
+        inside = inside + F.when(F.col(f"l{k}"), F.col(f"n{k}")).otherwise(0)
+    return found.where(inside <= WINDOW - SHINGLE).select("id", "word", "par", "head")
+
+
 def shingles_of(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``(c, h)``: the shingle hashes of the wanted classes, ``wanted`` being (c, id, pars)."""
 
@@ -162,7 +232,8 @@ def compare(x: dict) -> list | None:
 
 def near_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
     """One row per paragraph of a cluster: id, paragraph (line number from 0), n_words, component_id and
-    component_paragraph (the cluster's first paragraph), kept."""
+    component_paragraph (the cluster's first paragraph), kept; word and component_word are null.  One row
+    per window likewise: paragraph is the line it begins in, word its first word's number in the text, from 0."""
     each = parts(docs, id_col, text_col)
     first = F.struct("id", "par")
     rows = common.cut(each.groupBy("k1", "k2").agg(F.min(first).alias("rep"), F.max("id").alias("last"), F.first("bands").alias("bands")).withColumn("c", F.monotonically_increasing_id()))
@@ -175,8 +246,13 @@ def near_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rooted = rows.select("k1", "k2", "c", "rep", "last").join(tree, "c", "left").withColumn("root", F.coalesce("root", "c"))
     clusters = rooted.groupBy("root").agg(F.min("rep").alias("head"), F.max("last").alias("last")).where("head.id <> last")
     named = rooted.join(clusters.drop("last"), "root").select("k1", "k2", "head")
-    out = parts(docs, id_col, text_col, with_bands=False).join(named, ["k1", "k2"])
+    lines = common.cut(parts(docs, id_col, text_col, with_bands=False).join(named, ["k1", "k2"]).select("id", "par", "n_words", "head"))
+    passages = equal_windows(docs, lines.select("id", "par").distinct(), id_col, text_col)
+    none = F.lit(None).cast("int")
+    out = lines.select("id", "par", "n_words", F.struct("head.id", none.alias("word"), "head.par").alias("head"), none.alias("word"))
+    out = out.unionByName(passages.withColumn("n_words", F.lit(WINDOW)))
     return out.select(
-        F.col("id").alias(id_col), F.col("par").alias("paragraph"), "n_words", F.col("head.id").alias("component_id"),
-        F.col("head.par").alias("component_paragraph"), ((F.col("id") == F.col("head.id")) & (F.col("par") == F.col("head.par"))).alias("kept"),
+        F.col("id").alias(id_col), F.col("par").alias("paragraph"), "n_words", F.col("head.id").alias("component_id"), F.col("head.par").alias("component_paragraph"),
+        ((F.col("id") == F.col("head.id")) & (F.col("par") == F.col("head.par")) & F.col("word").eqNullSafe(F.col("head.word"))).alias("kept"),
+        "word", F.col("head.word").alias("component_word"),
     )

@@ -231,6 +231,26 @@ def test_paragraphs(spark, block):
     assert para_dedup.near_paragraphs(documents(spark, [])).count() == 0
 
 
+def test_passages_inside_lines_and_across_short_ones(spark):
+    rng = random.Random(8)
+    text = lambda n: [f"w{rng.randint(0, 10**6)}" for _ in range(n)]
+    passages, docs_ = [text(50) for _ in range(20)], []
+    for k, x in enumerate(passages):
+        docs_.append((3 * k, " ".join(text(90) + x + text(70))))
+        docs_.append((3 * k + 1, " ".join(text(60)) + "\n" + " ".join(text(80) + [w.upper() for w in x] + text(95))))
+        docs_.append((3 * k + 2, "\n".join(" ".join((text(7) + x + text(9))[at : at + 11]) for at in range(0, 66, 11))))
+    docs_ += [(1000 + k, " ".join(text(200))) for k in range(20)] + [(2000, " ".join(text(40) * 3))]
+    got = para_dedup.near_paragraphs(documents(spark, docs_)).collect()
+    assert {r["doc_id"] for r in got} == set(range(60))
+    where = {i: t.lower().split() for i, t in docs_}
+    for r in got:
+        x = passages[r["doc_id"] // 3]
+        run = where[r["doc_id"]][r["word"] : r["word"] + r["n_words"]]
+        assert " ".join(run) in " ".join(x) and run == where[r["component_id"]][r["component_word"] : r["component_word"] + r["n_words"]]
+        assert r["doc_id"] // 3 * 3 <= r["component_id"] <= r["doc_id"] and r["kept"] == (r["component_id"] == r["doc_id"])
+    assert {r["doc_id"] for r in got if r["component_id"] == r["doc_id"] // 3 * 3} == set(range(60))
+
+
 # -- 6 licenses ------------------------------------------------------------------------
 
 

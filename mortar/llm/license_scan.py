@@ -1,11 +1,14 @@
 """License scans by sparse TF-IDF cosine (operator 6), DataFrame functions only.
 
 A file's license text is its lines that hold a cue word ("license", "copyright" and the
-like); every such line is compared.  Lines and templates are bags of
+like); every such line is compared, and so are the windows of ``WINDOWS`` words of the text that hold
+a cue, over line ends, so that a notice counts whatever else stands in its line and however it is wrapped.
+Lines of over 2,000 characters have no windows, only the parts around their cues.  Lines, windows and templates are bags of
 words (runs of letters, digits and dots after A-Z is lowered) weighed by term
 frequency times ln((1 + lines) / (1 + lines with the word)) + 1, the counts being taken over all candidate
-lines and the templates.  A line whose cosine with a template is ``threshold`` (0.6) or
-more names that template's license; a file's license is its best line's (ties: the least name).
+lines and the templates.  A line or window whose cosine with a template is ``threshold`` (0.6) or
+more, and that shares a word with it which at most half of the licenses have, names that template's
+license; a file's license is its best one's (ties: the least name).
 
 A file that names none inherits from the nearest ancestor directory that has a license: that of
 a license file in it.  A license file is named LICENSE, LICENCE or COPYING, or half of
@@ -29,9 +32,11 @@ from pyspark.sql import functions as F
 from . import common
 
 THRESHOLD = 0.6
-CUE = "licen[sc]e|copyright|spdx|public domain|redistribut|all rights reserved"
+CUE = "licen[sc]e|copyright|spdx|public domain|redistribut|all rights reserved|permission is hereby granted|permission to use"
+CUE_WORD = "^(licen[sc]|copyright$|spdx$|domain$|redistribut|reserved$|permission$)"
+WINDOWS = (5, 8, 13, 28)
 
-#: Templates: fixed values, short standard notices.
+#: Templates: fixed values, short standard notices, first sentences of license texts, and SPDX lines.
 TEMPLATES = [
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("MIT", "Released under the MIT License."),
@@ -42,7 +47,17 @@ TEMPLATES = [
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
     ("LGPL-3.0", "This library is licensed under the GNU Lesser General Public License, version 3."),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
+    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction"),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"),
+    ("Apache-2.0", "Apache License Version 2.0, January 2004"),
+    ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2."),
+    ("GPL-3.0", "GNU General Public License Version 3, 29 June 2007"),
+    ("LGPL-3.0", "GNU Lesser General Public License Version 3, 29 June 2007"),
+    ("AGPL-3.0", "GNU Affero General Public License, version 3."),
+    ("MPL-2.0", "Mozilla Public License Version 2.0"),
 ]
+SPDX = ["Apache-2.0", "MIT", "ISC", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "AGPL-3.0", "MPL-2.0", "CC-BY-4.0", "CC-BY-NC-4.0", "CC0-1.0", "BSD-2-Clause", "BSD-3-Clause", "Unlicense"]
+TEMPLATES += [(name, f"SPDX-License-Identifier: {name}") for name in SPDX]
 
 
 def words(line: Column) -> Column:
@@ -58,19 +73,37 @@ def cued_lines(text: Column) -> Column:
     return F.when(F.coalesce(text.rlike(f"(?i){CUE}"), F.lit(False)), found).otherwise(F.array().cast("array<string>"))
 
 
-def weigh(lines: DataFrame, templates: DataFrame) -> DataFrame:
-    """``(line, license, cosine)`` of the distinct lines that share a word with a template."""
-    count = lambda df, key: df.select(key, F.explode(words(F.col("line"))).alias("w")).groupBy(*([key] if isinstance(key, str) else key), "w").agg(F.count("*").alias("tf"))
-    own, ref = count(lines, "line"), count(templates.select("license", F.col("text").alias("line")), "license")
-    n = lines.count() + templates.count()
-    df = own.select("w").unionByName(ref.select("w")).groupBy("w").agg(F.count("*").alias("df"))
-    idf = F.log((F.lit(1.0) + n) / (F.lit(1.0) + F.col("df"))) + 1
-    heavy = lambda t: t.join(df, "w").withColumn("x", F.col("tf") * idf)
-    own, ref = heavy(own), heavy(ref)
-    norm = lambda t, key: t.groupBy(key).agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
-    dots = own.select("line", "w", "x").join(ref.select("license", "w", F.col("x").alias("y")), "w").groupBy("line", "license").agg(F.sum(F.col("x") * F.col("y")).alias("dot"))
-    both = dots.join(norm(own, "line"), "line").join(norm(ref, "license").withColumnRenamed("norm", "other"), "license")
-    return both.select("line", "license", (F.col("dot") / (F.col("norm") * F.col("other"))).alias("cosine"))
+def cued_windows(text: Column) -> Column:
+    """The distinct windows of words that hold a cue, over the ends of lines of at most 2,000 characters."""
+    tokens = words(F.array_join(F.filter(F.split(text, "\n"), lambda s: F.length(s) <= 2000), " "))
+    cues = F.array_compact(F.transform(tokens, lambda w, k: F.when(w.rlike(CUE_WORD), k)))
+
+    def around(ws: Column, k: Column, size: int) -> Column:
+        starts = F.sequence(F.greatest(k - size + 1, F.lit(0)), k, F.lit(max(1, size // 7)))
+        return F.transform(starts, lambda at: F.array_join(F.slice(ws, at + 1, size), " "))
+
+    # tokens and cues stand in a one-element array, so that they are made once a text
+    held = F.transform(F.array(F.struct(tokens.alias("w"), cues.alias("k"))), lambda x: F.flatten(F.transform(x["k"], lambda k: F.concat(*[around(x["w"], k, n) for n in WINDOWS]))))
+    return F.when(F.coalesce(text.rlike(f"(?i){CUE}"), F.lit(False)), F.array_distinct(F.flatten(held))).otherwise(F.array().cast("array<string>"))
+
+
+def weigh(lines: DataFrame, templates: DataFrame, units: DataFrame | None = None) -> DataFrame:
+    """``(line, license, cosine)`` of the distinct ``units`` (the lines where none are given) that share a telling word
+    with a template; words are counted over ``lines`` and templates."""
+    count = lambda df, key: df.select(*key, F.explode(words(F.col("line"))).alias("w")).groupBy(*key, "w").agg(F.count("*").alias("tf"))
+    marked = templates.select("license", F.col("text").alias("line"))
+    ref = count(marked, ["license", "line"]).withColumnRenamed("line", "of")
+    n, names = lines.count() + templates.count(), templates.select("license").distinct().count()
+    seen = count(lines, ["line"]).select("w").unionByName(ref.select("w")).groupBy("w").agg(F.count("*").alias("df"))
+    idf = F.log((F.lit(1.0) + n) / (F.lit(1.0) + F.coalesce("df", F.lit(0)))) + 1
+    heavy = lambda t: t.join(seen, "w", "left").withColumn("x", F.col("tf") * idf)
+    own, ref = heavy(count(units if units is not None else lines, ["line"])), heavy(ref)
+    norm = lambda t, key: t.groupBy(*key).agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
+    telling = ref.groupBy("w").agg((F.count_distinct("license") * 2 <= max(2, names)).alias("telling"))
+    known = ref.join(telling, "w").select("license", "of", "w", F.col("x").alias("y"), "telling")
+    dots = own.select("line", "w", "x").join(known, "w").groupBy("line", "license", "of").agg(F.sum(F.col("x") * F.col("y")).alias("dot"), F.max("telling").alias("telling"))
+    both = dots.where("telling").join(norm(own, ["line"]), "line").join(norm(ref, ["license", "of"]).withColumnRenamed("norm", "other"), ["license", "of"])
+    return both.groupBy("line", "license").agg(F.max(F.col("dot") / (F.col("norm") * F.col("other"))).alias("cosine"))
 
 
 def parent(path: Column) -> Column:
@@ -94,15 +127,16 @@ def scan(files: DataFrame, templates: DataFrame | None = None, id_col: str = "do
     read = files.select(F.col(id_col).alias("id"), F.col(path_col).cast("string").alias("path"), F.col(text_col).cast("string").alias("t"))
     # one pass over the texts; the row numbers are fixed by the checkpoint
     rows = common.cut(
-        read.select("id", "path", F.monotonically_increasing_id().alias("row"), lines.alias("lines"), "t")
+        read.select("id", "path", F.monotonically_increasing_id().alias("row"), lines.alias("lines"), cued_windows(F.col("t")).alias("windows"), "t")
         .withColumn("part", F.when(F.size("lines") > 0, F.size(words(F.array_join("lines", " "))) / size))
         .drop("t")
     )
     cued = rows.where(F.size("lines") > 0).select("row", "path", "part", F.explode("lines").alias("line"))
     distinct = common.cut(cued.select("line").distinct())
-    near = weigh(distinct, templates).where(F.col("cosine") >= threshold)
+    units = rows.where((F.size("lines") > 0) | (F.size("windows") > 0)).select("row", "path", "part", F.explode(F.array_union("lines", "windows")).alias("line"))
+    near = weigh(distinct, templates, units.select("line").distinct()).where(F.col("cosine") >= threshold)
     best_line = near.groupBy("line").agg(F.min(F.struct((-F.round("cosine", 9)).alias("c"), "license")).alias("b"))
-    noticed = cued.join(best_line, "line").groupBy("row").agg(F.min("b").alias("b"), F.first("path").alias("path"), F.first("part").alias("part"))
+    noticed = units.join(best_line, "line").groupBy("row").agg(F.min("b").alias("b"), F.first("path").alias("path"), F.first("part").alias("part"))
     own = common.cut(noticed.select("row", "path", "part", F.col("b.license").alias("license"), (-F.col("b.c")).alias("cosine")))
 
     named = F.coalesce(F.upper(F.regexp_extract("path", "([^/]*)$", 1)).rlike("^(LICENSE|LICENCE|COPYING)"), F.lit(False))

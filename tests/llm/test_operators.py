@@ -273,6 +273,22 @@ def test_licenses(spark):
     assert license_scan.scan(df).count() == len(files) and license_scan.scan(df.limit(0)).count() == 0
 
 
+def test_notices_among_other_text(spark):
+    files = [
+        (1, "a/1", "Copyright (c) 2020 Foo. Released under the MIT License.", "MIT"),
+        (2, "a/2", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.', "Apache-2.0"),
+        (3, "a/3", "// SPDX-License-Identifier: MIT\nint main() {}", "MIT"),
+        (4, "a/4", "# SPDX-License-Identifier: Apache-2.0", "Apache-2.0"),
+        (5, "a/5", "# SPDX-License-Identifier: Foo-Bar", None),
+        (6, "a/6", "# This work is licensed under the GNU\n# General Public License,\n# version 3.\ncode", "GPL-3.0"),
+        (7, "a/7", "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal\nin the Software without restriction, including", "MIT"),
+        (8, "a/8", "all sales are under the license of the seller, as the tenant was told", None),
+    ]
+    df = spark.createDataFrame([f[:3] for f in files], "doc_id long, path string, text string")
+    got = {r["doc_id"]: r["license"] if r["inherited_from"] is None else None for r in license_scan.scan(df).collect()}
+    assert got == {f[0]: f[3] for f in files}
+
+
 # -- 7 benchmark ---------------------------------------------------------------------------
 
 

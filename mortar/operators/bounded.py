@@ -53,3 +53,21 @@ def split_cells(points: DataFrame, dims: int, variable: str) -> DataFrame:
 def bracket(total: Column, low: Column, high: Column) -> Column:
     """``total`` clamped to the bracket's range; NaN in the bracket stays visible."""
     return F.greatest(F.least(total, high), low) + (high - low) * 0.0
+
+
+def bounded_sum(variable: str, dims: int) -> Column:
+    """The aggregate of one target's taps (w, mode, near, role, g1 ..): plain, clamped to its bracket, or by limited slopes."""
+    v = F.col(variable)
+    total = F.sum(F.col("w") * v)
+    low, high = (f(F.when(F.col("near"), v)) for f in (F.min, F.max))
+    clamped = F.when(F.isnan(total), total).otherwise(bracket(total, low, high))
+    at = lambda k: F.max(F.when(F.col("role") == k, v))
+    u, near = at(0), [at(k) for k in range(1, 2 * dims + 1)]
+    top, bottom = F.greatest(u, *near), F.least(u, *near)
+    slopes = [mc_slope(near[2 * d], u, near[2 * d + 1]) for d in range(dims)]
+    reach = sum((F.abs(s) for s in slopes), F.lit(0.0)) / 4
+    room = F.least(top - u, u - bottom)
+    change = sum((s * F.max(f"g{d + 1}") for d, s in enumerate(slopes)), F.lit(0.0)) / 4
+    limited = u + F.when(reach > room, room / reach).otherwise(1.0) * change + (top - bottom) * 0.0
+    mode = F.max("mode")
+    return F.when(mode == "bracket", clamped).when(mode == "slopes", limited).otherwise(total)

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mortar.functions.lineage import cut
+from mortar.operators.bounded import bounded_sum
 from mortar.operators.fields import index_names
 from mortar.operators.geometry import positions
 from mortar.plans import transfers as plans
@@ -20,12 +21,13 @@ from mortar.plans.spec import Layout, MeshSpec, Operators, directions
 
 
 def apply(transfers: DataFrame, taps: DataFrame, points: DataFrame, dims: int, variables: tuple[str, ...]) -> DataFrame:
-    """Target points as weighted sums of source points: one join by group, one by source point, one aggregate."""
+    """Target points as weighted sums of source points, bounded where the taps say so: one join by group, one by
+    source point, one aggregate."""
     names = index_names(dims)
     wanted = transfers.join(taps, "grp")
     read = points.select(F.col("leaf").alias("src"), *[F.col(n).alias(f"s{d + 1}") for d, n in enumerate(names)], *variables)
     terms = wanted.join(read, ["src", *[f"s{d + 1}" for d in range(dims)]])
-    sums = terms.groupBy("tgt", *[f"t{d + 1}" for d in range(dims)]).agg(*[F.sum(F.col("w") * F.col(v)).alias(v) for v in variables])
+    sums = terms.groupBy("tgt", *[f"t{d + 1}" for d in range(dims)]).agg(*[(bounded_sum(v, dims) if "mode" in taps.columns else F.sum(F.col("w") * F.col(v))).alias(v) for v in variables])
     return sums.select(F.col("tgt").alias("leaf"), *[F.col(f"t{d + 1}").alias(n) for d, n in enumerate(names)], *variables)
 
 

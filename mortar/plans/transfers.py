@@ -6,6 +6,7 @@ child offset.  Taps belong to groups, so their number does not depend on the mes
 
 from __future__ import annotations
 
+from dataclasses import replace
 from itertools import product
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -38,18 +39,50 @@ def stencils(kind: str, step: tuple[int, ...], offset: tuple[int, ...], mesh: Me
     return out
 
 
+def bound_mode(kind: str, layout: Layout, ops: Operators) -> str | None:
+    """How a group is bounded: by limited slopes, by its bracket, or not; only what can make a new extremum is."""
+    if not ops.bounded:
+        return None
+    if ops.family == "conservative":
+        return "slopes" if kind == "prolong" and ops.prolongation == 3 else None
+    steep = (kind == "prolong" and ops.prolongation > 2) or (kind == "restrict" and ops.restriction > 2 and not all(layout.stagger))
+    return "bracket" if steep else None
+
+
+def bounds(mode: str, found: list[weights.Stencil], linear: list[weights.Stencil], t: tuple[int, ...], s: tuple[int, ...]) -> tuple[bool, int, list[int]]:
+    """Of one tap: whether it is in the target's bracket; its role (0 the parent, 2 d + 1 and 2 d + 2 its
+    neighbours below and above in dimension d, -1 others); and the target's side of the parent by dimension."""
+    if mode == "bracket":
+        return all(any(x == k and w for x, w in st[j]) for st, j, k in zip(linear, t, s, strict=True)), -1, [0] * len(t)
+    rows = [st[j] for st, j in zip(found, t, strict=True)]
+    off = [k - row[1][0] for row, k in zip(rows, s, strict=True)]
+    out = [d for d, x in enumerate(off) if x]
+    role = 0 if not out else 2 * out[0] + (1 if off[out[0]] < 0 else 2) if len(out) == 1 else -1
+    return False, role, [1 if row[2][1] > row[0][1] else -1 for row in rows]
+
+
 def taps(spark: SparkSession, mesh: MeshSpec, layout: Layout, ops: Operators, steps: list[tuple[int, ...]] | None = None) -> DataFrame:
-    """``(grp, t1 .., s1 .., w)``: every group's weights, zero weights left out."""
+    """``(grp, t1 .., s1 .., w)``: every group's weights, zero weights left out; bounded operators add mode, near, role, g1 .."""
     ops.check(layout, mesh.cells)
+    if ops.bounded and ops.family == "conservative" and any(layout.stagger):
+        raise ValueError("bounded conservative prolongation takes cells in all dimensions")
     rows, zero = [], (0,) * mesh.dims
+    plain = replace(ops, prolongation=2, restriction=2) if ops.family == "point" else ops
     for step in steps or directions(mesh.dims):
         for kind in ("copy", "restrict", "prolong"):
             for offset in [zero] if kind == "copy" else product((0, 1), repeat=mesh.dims):
                 found = stencils(kind, step, offset, mesh, layout, ops)
                 if all(found):
-                    rows += [(group_name(kind, step, offset), *t, *s, w) for t, s, w in weights.tensor(found)]
+                    each = [(group_name(kind, step, offset), *t, *s, w) for t, s, w in weights.tensor(found)]
+                    if ops.bounded:
+                        mode, linear = bound_mode(kind, layout, ops), stencils(kind, step, offset, mesh, layout, plain)
+                        d = mesh.dims
+                        more = [bounds(mode, found, linear, r[1 : 1 + d], r[1 + d : 1 + 2 * d]) if mode else (False, -1, zero) for r in each]
+                        each = [(*r, mode, near, role, *sides) for r, (near, role, sides) in zip(each, more, strict=True)]
+                    rows += each
     names = [f"{x}{d + 1} int" for x in "ts" for d in range(mesh.dims)]
-    return spark.createDataFrame(rows, f"grp string, {', '.join(names)}, w double")
+    extra = ", mode string, near boolean, role int, " + ", ".join(f"g{d + 1} int" for d in range(mesh.dims)) if ops.bounded else ""
+    return spark.createDataFrame(rows, f"grp string, {', '.join(names)}, w double{extra}")
 
 
 def ghost_transfers(leaves: DataFrame, mesh: MeshSpec) -> DataFrame:

@@ -184,6 +184,23 @@ def test_regrids_conserve_mass(spark):
         regrid.transfer(full, old, skipped, mesh, layout, ops)
 
 
+@pytest.mark.parametrize(("family", "p", "r"), [("conservative", 3, 2), ("point", 4, 4)])
+def test_bounded_operators_make_no_new_extrema(spark, family, p, r):
+    mesh, layout = MeshSpec(roots=(2, 2), cells=8, periodic=(True, True)), Layout(cellcentered(2), (2, 2))
+    old = small_mesh(spark, mesh, 2)
+    new = leaves.numbered(leaves.refine(old.where("level = 1 AND root = 3"), old, 2), 2, 4)
+    points = fields.fill_by_coordinates(old, mesh, layout, {"v1": lambda x, y: F.when((x > 0.3) & (y > 0.4) & (x < 1.33), 1.0).otherwise(0.0)})
+    reach = {}
+    for bounded in (False, True):
+        ops = Operators(family, p, r, bounded)
+        full = exchange.fill_ghosts(points, old, mesh, layout, ops)
+        for name, got in (("fill", full), ("regrid", regrid.transfer(full, old, new, mesh, layout, ops))):
+            reach[bounded, name] = got.agg(F.min("v1"), F.max("v1")).first()
+            assert not got.where("v1 IS NULL").count()
+    assert reach[False, "fill"][0] < -1e-3 or reach[False, "fill"][1] > 1.001
+    assert reach[True, "fill"] == reach[True, "regrid"] == (0.0, 1.0)
+
+
 def test_interpolation_is_exact(spark):
     mesh = MeshSpec(roots=(2, 1), cells=8, extents=((-1.0, 1.0), (0.0, 1.0)))
     ls, layout = small_mesh(spark, mesh, 2), Layout(cellcentered(2), (0, 0))

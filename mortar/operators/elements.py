@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from mortar.operators.fields import index_names
 from mortar.operators.geometry import with_geometry
+from mortar.operators.locate import filled
 from mortar.plans import elements
 from mortar.plans.spec import Layout, MeshSpec
 
@@ -48,8 +49,9 @@ def basis_columns(xi: Column, order: int) -> list[Column]:
     return out
 
 
-def interpolate(located: DataFrame, points: DataFrame, leaves: DataFrame, mesh: MeshSpec, layout: Layout) -> DataFrame:
-    """``(pid, variables)``: each point's element polynomial; a shared face belongs to the upper element; no ghosts are read."""
+def interpolate(located: DataFrame, points: DataFrame, leaves: DataFrame, mesh: MeshSpec, layout: Layout, fill: float | None = None) -> DataFrame:
+    """``(pid, variables)``: each point's element polynomial; a shared face belongs to the upper element; no ghosts are read.
+    Points outside have no rows, or with ``fill`` rows of that value, and a column ``inside``."""
     n, dims = layout.order + 1, mesh.dims
     placed = with_geometry(leaves, mesh).select("leaf", "h", *[f"lo{d + 1}" for d in range(dims)])
     rows, per = located.where("inside").join(placed, "leaf"), mesh.cells // n
@@ -64,4 +66,8 @@ def interpolate(located: DataFrame, points: DataFrame, leaves: DataFrame, mesh:
         weight = weight * F.element_at(F.col(f"_w{d + 1}"), F.col(f"_k{d + 1}") + 1)
     index = [(F.col(f"_e{d + 1}") * n + F.col(f"_k{d + 1}") + layout.ghosts[d] + 1).cast("int").alias(name) for d, name in enumerate(index_names(dims))]
     taps = rows.select("pid", "leaf", *index, weight.alias("_w"))
-    return taps.join(points, ["leaf", *index_names(dims)]).groupBy("pid").agg(*[F.sum(F.col("_w") * F.col(v)).alias(v) for v in layout.variables])
+    out = taps.join(points, ["leaf", *index_names(dims)]).groupBy("pid").agg(*[F.sum(F.col("_w") * F.col(v)).alias(v) for v in layout.variables])
+    if fill is None:
+        return out
+    beyond = located.where(~F.coalesce("inside", F.lit(False))).select("pid", *filled(layout, fill))
+    return out.withColumn("inside", F.lit(True)).unionByName(beyond.withColumn("inside", F.lit(False)))

@@ -84,11 +84,12 @@ def lagrange_columns(y: Column, first: Column, n: int, derivative: int = 0) -> l
     return out
 
 
-def interpolate(located: DataFrame, points: DataFrame, leaves: DataFrame, mesh: MeshSpec, layout: Layout, n: int, derivs: list[tuple[int, ...]], exclude=None) -> DataFrame:
+def interpolate(located: DataFrame, points: DataFrame, leaves: DataFrame, mesh: MeshSpec, layout: Layout, n: int, derivs: list[tuple[int, ...]], exclude=None, fill: float | None = None) -> DataFrame:
     """``(pid, k, variables, excluded)``: value or derivative ``derivs[k]`` of the n-point Lagrange polynomial in each dimension.
 
     The stencil is the n stored points around the position, moved inward at the array's ends; ghosts must be
-    filled if it reaches them.  ``exclude(x1, ..)`` flags results whose stencil holds such a point."""
+    filled if it reaches them.  ``exclude(x1, ..)`` flags results whose stencil holds such a point.  Points outside have
+    no rows, or with ``fill`` (NaN, say) rows of that value, not excluded, and a column ``inside``."""
     dims = mesh.dims
     for m in derivs:
         if len(m) != dims or sum(m) > 2 or max(m) >= n:
@@ -129,7 +130,16 @@ def interpolate(located: DataFrame, points: DataFrame, leaves: DataFrame, mesh:
     sums = [F.sum(F.col(f"_d{k}") * F.col(v)).alias(f"_{v}_{k}") for k in range(len(derivs)) for v in layout.variables]
     done = joined.groupBy("pid").agg(F.max("_ex").alias("excluded"), *sums)
     each = F.array(*[F.struct(F.lit(k).alias("k"), *[F.col(f"_{v}_{k}").alias(v) for v in layout.variables]) for k in range(len(derivs))])
-    return done.withColumn("_e", F.explode(each)).select("pid", "_e.*", "excluded")
+    out = done.withColumn("_e", F.explode(each)).select("pid", "_e.*", "excluded")
+    if fill is None:
+        return out
+    every = F.explode(F.array(*[F.lit(k) for k in range(len(derivs))]))
+    beyond = located.where(~F.coalesce("inside", F.lit(False))).select("pid", every.alias("k"), *filled(layout, fill), F.lit(False).alias("excluded"))
+    return out.withColumn("inside", F.lit(True)).unionByName(beyond.withColumn("inside", F.lit(False)))
+
+
+def filled(layout: Layout, fill: float) -> list[Column]:
+    return [F.lit(float(fill)).alias(v) for v in layout.variables]
 
 
 def ellipsoid(centre: tuple[float, ...], axes: tuple[float, ...]):

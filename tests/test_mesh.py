@@ -9,6 +9,7 @@ import duckdb
 import pytest
 from mortar import queries
 from mortar.functions import keys
+from mortar.operators import elements as element_ops
 from mortar.operators import exchange, fields, geometry, leaves, locate, reduce, regrid
 from mortar.plans import elements, transfers, weights
 from mortar.plans.spec import Layout, MeshSpec, Operators, cellcentered, directions, staggers, vertexcentered
@@ -220,6 +221,22 @@ def test_interpolation_is_exact(spark):
         locate.interpolate(found, points, ls, mesh, layout, 4, [(2, 1)])
 
 
+def test_points_outside_are_filled(spark):
+    mesh = MeshSpec(roots=(2, 1), cells=8, extents=((-1.0, 1.0), (0.0, 1.0)))
+    ls = small_mesh(spark, mesh, 2)
+    query = spark.createDataFrame([(0, 0.1, 0.5), (1, 3.0, 0.5), (2, float("nan"), 0.5), (3, -0.7, -1.0)], "pid long, x1 double, x2 double")
+    found = locate.locate(query, ls, mesh, 2)
+    layout = Layout(cellcentered(2), (0, 0))
+    points = fields.fill_by_coordinates(ls, mesh, layout, {"v1": lambda x, y: x + y})
+    got = {(r["pid"], r["k"]): (r["inside"], r["v1"]) for r in locate.interpolate(found, points, ls, mesh, layout, 2, [(0, 0), (1, 0)], fill=-7.0).collect()}
+    assert len(got) == 8 and all(got[p, k] == (False, -7.0) for p in (1, 2, 3) for k in (0, 1))
+    assert got[0, 0][0] and abs(got[0, 0][1] - 0.6) < 1e-12
+    layout = Layout(("element", "element"), (0, 0), order=1)
+    ones = fields.fill_by_coordinates(ls, mesh, Layout(cellcentered(2), (0, 0)), {"v1": lambda x, y: F.lit(1.0)})
+    got = {r["pid"]: r["v1"] for r in element_ops.interpolate(found, ones, ls, mesh, layout, fill=float("nan")).collect()}
+    assert abs(got[0] - 1) < 1e-12 and len(got) == 4 and all(math.isnan(got[p]) for p in (1, 2, 3))
+
+
 def test_sort_keys_agree(spark):
     ls = small_mesh(spark, MeshSpec(roots=(2, 2), cells=4), 3)
     by_binary = [r["leaf"] for r in ls.withColumn("k", keys.skey(2)).orderBy("k").collect()]

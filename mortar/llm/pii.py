@@ -38,7 +38,8 @@ LABELERS = ("regex", "gazetteer", "context", "check")
 ABSTAIN = 2
 AROUND = 48  # characters of context on either side
 
-TRIGGER = re.compile(r"[0-9@]|(?i:\(at\)|\[at\]| at [a-z0-9-]+ dot )")
+# every text with a base span or a loose candidate has one of these
+TRIGGER = re.compile(r"[0-9@]|(?i:\(at\)|\[at\]|\bat\b ?[a-z0-9-]{1,63} ?(?:\(dot\)|\[dot\]|\bdot\b|\.) ?[a-z0-9-])|[A-Fa-f]:[A-Fa-f]{1,4}:")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+")
 IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")

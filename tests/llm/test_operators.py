@@ -157,6 +157,18 @@ def test_base_spans_are_linear():
     assert pii.base_spans(long) is not None
 
 
+def test_pii_trigger_covers_loose_patterns(spark):
+    texts = ["write to john at example.com", "john at example dot com", "john AT example[dot]com", "a.b at c .d", "john (at) example.com", "at abcd:ef:ab:cd:ef:ab:cd:ef now"]
+    assert all(pii.candidates(t, []) and pii.TRIGGER.search(t) for t in texts)
+    rng = random.Random(11)
+    bits = ["john", "at", "AT", " ", ".", "dot", "(dot)", "[DOT]", "[at]", "example", "-", ":", "ab", "f", "é", "\n"]
+    for _ in range(20_000):
+        t = "".join(rng.choice(bits) for _ in range(rng.randint(4, 14)))
+        assert pii.TRIGGER.search(t) or not pii.candidates(t, []), repr(t)
+    found = pii.scan(documents(spark, [(1, texts[0])]), "doc_id", "text").first()["found"]
+    assert [(x["s"], x["e"], x["base"]) for x in found] == [(9, 28, False)]
+
+
 def test_pii_report(spark):
     texts = [None, "", "mail a.b@c.org or 10.0.0.1", "call +1 (509) 555-6973 now", "pay 4111 1111 1111 1111 é", "é 4111-1111-1111-1112 no", "x" * 50_000 + " a@b.co"]
     docs = documents(spark, [*enumerate(texts), (2, texts[2]), (None, texts[3])])

@@ -3,18 +3,17 @@
 Encoding is one narrow stage, without a shuffle:
 
 1. A Python function splits texts by the tokenizer's pattern and gives, for each block
-   of about ``BLOCK_BYTES`` of text, the distinct words that are new to the task, and each
+   of about ``BLOCK_BYTES`` of text, the distinct words that are new to the task as arrays of bytes' tokens, and each
    text's words as numbers.  After ``CACHE_WORDS`` words the numbers start anew.
-2. Higher-order functions fold the ranked merges over the bytes of each distinct
-   word: every step merges the leftmost pair of least rank, until no pair has
-   a rank.  The ranks are a literal: 2**13 small maps, picked by the pair's hash, as
-   Spark searches a map from end to end.  Bytes are held as characters U+0000 to
-   U+00FF, as Spark joins strings and not binaries in a fold.
+2. Higher-order functions fold the ranked merges over each distinct word's array: every
+   step merges the leftmost pair of least rank, until no pair has a rank.  The state carries
+   the ranks of all pairs, so a step looks up only the two pairs beside the merge.
+   The rank map is a literal (see ``Merges``).
 3. A Python function puts each text's token ids together by index.
 
-Folding takes steps by the square of a word's length, so a word of more than
-``FOLD_BYTES`` bytes (a run without a break) is merged in step 1 by a heap, which
-takes n log n; the result is the same.
+A word that is a token needs no merges and is not folded.  A step copies the
+word's array, so words of more than ``FOLD_BYTES`` bytes (long runs without a break) are
+merged in step 1 by a heap, which takes n log n; the result is the same.
 
 Decoding maps ids to their pieces, a literal array, and concatenates them.
 
@@ -35,13 +34,15 @@ from itertools import islice
 import numpy as np
 import pyarrow as pa
 import regex
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common
 
-BLOCK_BYTES, FOLD_BYTES, TABLES, CACHE_WORDS = 2 << 20, 32, 1 << 13, 120_000
+BLOCK_BYTES, FOLD_BYTES, CACHE_WORDS = 2 << 20, 2048, 450_000
+
+#: A pair's value is BIAS + rank, or something greater where the pair has no rank; tokens are not negative.
+BIAS = -(1 << 40)
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -60,44 +61,119 @@ def bound(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def displaced(pairs: dict[tuple[int, int], int], n: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs' ranks as rows of one array that are shifted into each other's gaps: ``(shift, cells)``.
+
+    ``cells[shift[a] + b]`` holds BIAS + (a << bits) + rank for a pair (a, b) that has a rank, and
+    another token's mark otherwise.
+    """
+    rows: dict[int, list[int]] = {}
+    for a, b in pairs:
+        rows.setdefault(a, []).append(b)
+    size = 2 * len(pairs) + 2 * n
+    taken, shift = np.zeros(size + n, bool), np.zeros(n + 1, np.int64)
+    rng, near = np.random.default_rng(1), 0
+    for a, row in sorted(rows.items(), key=lambda x: (-len(x[1]), x[0])):
+        bs = np.array(row)
+        if len(bs) > 16:  # the next place that is free
+            ok = np.zeros(0, np.int64)
+            while not len(ok):
+                if near + 512 > size - n:
+                    size *= 2
+                    taken = np.concatenate([taken, np.zeros(size + n - len(taken), bool)])
+                ok = np.arange(near, near + 512)
+                for k in range(0, len(bs), 64):
+                    ok = ok[~taken[ok[:, None] + bs[k : k + 64]].any(axis=1)]
+                near = int(ok[0]) if len(ok) else near + 512
+            at = near
+        else:
+            while taken[(at := int(rng.integers(0, size - n))) + bs].any():
+                pass
+        taken[at + bs] = True
+        shift[a] = at
+    cells = np.full(int(np.flatnonzero(taken)[-1]) + 1 if pairs else 1, BIAS + (((1 << bits) - 1) << bits), np.int64)
+    for (a, b), rank in pairs.items():
+        cells[shift[a] + b] = BIAS + (a << bits) + rank
+    return shift, cells
+
+
+def one_row(values: pa.Array) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
+
+
+class States:
+    """The arrays that are folded, one a word: token, value of the pair, token, ..., token, with a token that no
+    pair has (``end``) before and behind.  The least element is thus the pair to merge."""
+
+    def __init__(self, pairs: dict[tuple[int, int], int], ranks: dict[bytes, int]) -> None:
+        self.end = max(ranks.values(), default=-1) + 1
+        self.bits = (self.end + 1).bit_length()  # at most 20
+        self.none = BIAS + (1 << self.bits)
+        self.single = np.array([ranks.get(bytes([k]), self.end) for k in range(256)], np.int64)
+        of = lambda a, b: BIAS + pairs[a, b] if (a, b) in pairs else self.none
+        self.of_bytes = np.array([[of(a, b) for b in self.single.tolist()] for a in self.single.tolist()], np.int64)
+
+    def begin(self, words: list[bytes]) -> pa.ListArray:
+        """The states of words before any merge."""
+        text, n = np.frombuffer(b"".join(words), np.uint8), np.array([len(w) for w in words], np.int64)
+        offsets = np.concatenate(([0], np.cumsum(2 * n + 3)))
+        out = np.full(int(offsets[-1]), self.end, np.int64)
+        at = np.repeat(offsets[:-1] + 2 - 2 * (np.cumsum(n) - n), n) + 2 * np.arange(len(text))
+        out[at] = self.single[text]
+        out[at[:-1] + 1] = self.of_bytes[text[:-1], text[1:]]
+        out[offsets[:-1] + 1] = out[offsets[1:] - 2] = self.none
+        return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(out))
+
+    def tokens(self, states: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+        """The tokens of all states in a row, and how many each has."""
+        flat = states.flatten().to_numpy(zero_copy_only=False)
+        return flat[(flat >= 0) & (flat != self.end)], (np.diff(states.offsets.to_numpy()) - 3) // 2
+
+
 class Merges:
-    """Column expressions over literal tables of the ranks."""
+    """Folds and look-ups over literal tables of the ranks."""
 
     def __init__(self, ranks: dict[bytes, int]) -> None:
-        tables: list[dict[str, int]] = [{} for _ in range(TABLES)]
-        pieces: list[str] = [""] * (max(ranks.values(), default=-1) + 1)
+        pairs = {}
         for piece, rank in ranks.items():
-            key = wide(piece)
-            digest = xxhash.xxh64_intdigest(key.encode(), 42)
-            tables[(digest - (digest >> 63 << 64)) % TABLES][key] = rank
-            pieces[rank] = key
-        self.tables = F.from_json(F.lit(json.dumps(tables)), "array<map<string,int>>")
-        self.pieces = F.from_json(F.lit(json.dumps(pieces)), "array<string>")
+            for k in range(1, len(piece)):
+                if (a := ranks.get(piece[:k])) is not None and (b := ranks.get(piece[k:])) is not None:
+                    pairs[a, b] = rank
+        self.states = States(pairs, ranks)
+        self.bits = self.states.bits
+        numbers = lambda x: F.from_json(F.lit(json.dumps(x.tolist())), "array<long>")
+        self.shift, self.cells = map(numbers, displaced(pairs, self.states.end, self.bits))
+
+    def fold(self, states: Column) -> Column:
+        """The states after all merges."""
+        rest, bits = F.lit(1 << 30), self.bits
 
-    def rank(self, piece: Column) -> Column:
-        return F.element_at(F.element_at(self.tables, F.pmod(F.xxhash64(piece), F.lit(TABLES)).cast("int") + 1), piece)
+        def merge(state: Column, shift: Column, cells: Column) -> Column:
+            def beside(a: Column, b: Column) -> Column:
+                return F.get(cells, F.get(shift, a) + b).bitwiseXOR(F.shiftleft(a, bits))
 
-    def merge_once(self, pieces: Column) -> Column:
-        """The leftmost pair of least rank made one; the same pieces if no pair has a rank."""
-        n = F.size(pieces)
-        ranks = F.zip_with(F.slice(pieces, F.lit(1), n - 1), F.slice(pieces, F.lit(2), n - 1), lambda a, b: self.rank(F.concat(a, b)))
+            def at(least: Column, p: Column) -> Column:
+                new = least.bitwiseAND((1 << bits) - 1)
+                left, right = F.get(state, p - 4), F.get(state, p + 2)
+                return F.concat(F.slice(state, F.lit(1), p - 3), F.array(beside(left, new), new, beside(new, right)), F.slice(state, p + 3, rest))
 
-        def at(i: Column) -> Column:
-            pair = F.concat(F.element_at(pieces, i), F.element_at(pieces, i + 1))
-            return F.concat(F.slice(pieces, F.lit(1), i - 1), F.array(pair), F.slice(pieces, i + 2, n))
+            place = lambda least: bound(F.array_position(state, least).cast("int"), lambda p: at(least, p))
+            return bound(F.array_min(state), lambda least: F.when(least < BIAS + (1 << bits), place(least)).otherwise(state))
 
-        place = lambda r: F.array_position(r, F.array_min(r)).cast("int")
-        return bound(ranks, lambda r: F.when(F.array_min(r).isNull(), pieces).otherwise(bound(place(r), at)))
+        def word(state: Column, shift: Column, cells: Column) -> Column:
+            steps = F.sequence(F.lit(5), F.size(state), F.lit(2))  # a state of 2n + 3 elements has n - 1 merges at most
+            return F.aggregate(steps, state, lambda s, _: merge(s, shift, cells))
 
-    def encode_word(self, word: Column) -> Column:
-        """The ids of a word held as characters U+0000 to U+00FF."""
-        step = lambda pieces, _: F.when(F.size(pieces) < 2, pieces).otherwise(self.merge_once(pieces))
-        folded = F.aggregate(F.sequence(F.lit(1), F.length(word)), F.split(word, ""), step, lambda p: F.transform(p, self.rank))
-        return bound(self.rank(word), lambda r: F.when(r.isNotNull(), F.array(r)).otherwise(folded))
+        return bound(self.shift, lambda shift: bound(self.cells, lambda cells: F.transform(states, lambda s: word(s, shift, cells))))
 
-    def decode_ids(self, ids: Column) -> Column:
-        text = F.array_join(F.transform(ids, lambda i: F.element_at(self.pieces, i + 1)), "")
-        return F.encode(text, "ISO-8859-1")
+
+def decode_ids(ids: Column, ranks: dict[bytes, int]) -> Column:
+    """The bytes that tokens stand for, by a literal array of pieces."""
+    pieces = [""] * (max(ranks.values(), default=-1) + 1)
+    for piece, rank in ranks.items():
+        pieces[rank] = wide(piece)
+    known = F.from_json(F.lit(json.dumps(pieces)), "array<string>")
+    return F.encode(F.array_join(F.transform(ids, lambda i: F.element_at(known, i + 1)), ""), "ISO-8859-1")
 
 
 def merge_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
@@ -132,14 +208,18 @@ def merge_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     return out
 
 
-def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def encode(
+    docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str = "doc_id", text_col: str = "text",
+    block_bytes: int = BLOCK_BYTES, cache_words: int = CACHE_WORDS, fold_bytes: int = FOLD_BYTES,
+) -> DataFrame:
     """One row per row of ``docs``: id and ``tokens``, an array of ids."""
     kind = docs.schema[id_col].dataType.simpleString()
     common.small_batches(docs.sparkSession)
-    sent = docs.sparkSession.sparkContext.broadcast(ranks)
+    merges = Merges(ranks)
+    sent = docs.sparkSession.sparkContext.broadcast((ranks, merges.states))
 
     def words(batches):
-        split, ranks, id_type = regex.compile(pattern).findall, sent.value, None
+        (ranks, start), split, id_type = sent.value, regex.compile(pattern).findall, None
         index: defaultdict[str, int] = defaultdict()  # the words of this epoch, numbered as they come
         index.default_factory = index.__len__
         sent_words, fresh = 0, True
@@ -147,14 +227,14 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str =
 
         def block() -> pa.RecordBatch:
             new = [w.encode() for w in islice(index, sent_words, None)]
-            is_long = np.array([len(w) > FOLD_BYTES for w in new], np.uint8)
+            done = np.array([w in ranks or len(w) > fold_bytes for w in new], bool)
             columns = [
-                pa.array([ids], pa.list_(id_type)), pa.array([[wide(w) for w in new if len(w) <= FOLD_BYTES]], pa.list_(pa.string())),
-                pa.array([[merge_long(w, ranks) for w in new if len(w) > FOLD_BYTES]], pa.list_(pa.list_(pa.int32()))),
-                pa.array([is_long.tobytes()], pa.binary()), pa.array([np.concatenate(codes).tobytes()], pa.binary()),
+                pa.array([ids], pa.list_(id_type)), one_row(start.begin([w for w, d in zip(new, done, strict=True) if not d])),
+                pa.array([[merge_long(w, ranks) for w, d in zip(new, done, strict=True) if d]], pa.list_(pa.list_(pa.int32()))),
+                pa.array([done.tobytes()], pa.binary()), pa.array([np.concatenate(codes).tobytes()], pa.binary()),
                 pa.array([counts], pa.list_(pa.int32())), pa.array([fresh]),
             ]
-            return pa.RecordBatch.from_arrays(columns, names=["ids", "words", "long", "is_long", "codes", "counts", "fresh"])
+            return pa.RecordBatch.from_arrays(columns, names=["ids", "words", "done", "is_done", "codes", "counts", "fresh"])
 
         for batch in batches:
             id_type = batch.column(0).type
@@ -167,7 +247,7 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str =
                 held += len(text)
                 if held >= block_bytes:
                     yield block()
-                    sent_words, fresh = len(index), len(index) > CACHE_WORDS
+                    sent_words, fresh = len(index), len(index) > cache_words
                     if fresh:
                         index.clear()
                         sent_words = 0
@@ -177,19 +257,20 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str =
             yield block()
 
     def together(batches):
+        start = sent.value[1]
         values, first, size = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
         for batch in batches:
             for k in range(batch.num_rows):
-                ids, short, long, kinds, packed, counts, fresh = (batch.column(c)[k] for c in range(7))
+                ids, folded, done, kinds, packed, counts, fresh = (batch.column(c)[k] for c in range(7))
                 if fresh.as_py():
                     values, first, size = values[:0], first[:0], size[:0]
                 # the new words' ids go behind those of the epoch's words so far
-                is_long = np.frombuffer(kinds.as_py(), np.uint8).astype(bool)
-                new_first, new_size = np.zeros(len(is_long), np.int64), np.zeros(len(is_long), np.int64)
-                for lists, mask in ((short.values, ~is_long), (long.values, is_long)):
-                    n = np.diff(lists.offsets.to_numpy())
+                is_done = np.frombuffer(kinds.as_py(), bool)
+                new_first, new_size = np.zeros(len(is_done), np.int64), np.zeros(len(is_done), np.int64)
+                whole = done.values.flatten().to_numpy(zero_copy_only=False), np.diff(done.values.offsets.to_numpy())
+                for (flat, n), mask in ((start.tokens(folded.values), ~is_done), (whole, is_done)):
                     new_size[mask], new_first[mask] = n, len(values) + np.cumsum(n) - n
-                    values = np.concatenate([values, lists.flatten().to_numpy(zero_copy_only=False).astype(np.int32)])
+                    values = np.concatenate([values, flat.astype(np.int32)])
                 first, size = np.concatenate([first, new_first]), np.concatenate([size, new_size])
                 code = np.frombuffer(packed.as_py(), np.int32)
                 at, offsets, chunks = 0, [0], []
@@ -203,15 +284,14 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str =
                 yield pa.RecordBatch.from_arrays([ids.values, tokens], names=["id", "tokens"])
                 pa.default_memory_pool().release_unused()
 
-    merges = Merges(ranks)
-    blocks = docs.select(id_col, F.col(text_col).cast("string").alias("t")).mapInArrow(words, f"ids array<{kind}>, words array<string>, long array<array<int>>, is_long binary, codes binary, counts array<int>, fresh boolean")
-    folded = blocks.withColumn("words", F.transform("words", merges.encode_word))
+    blocks = docs.select(id_col, F.col(text_col).cast("string").alias("t")).mapInArrow(words, f"ids array<{kind}>, words array<array<long>>, done array<array<int>>, is_done binary, codes binary, counts array<int>, fresh boolean")
+    folded = blocks.withColumn("words", merges.fold(F.col("words")))
     return folded.mapInArrow(together, f"id {kind}, tokens array<int>").withColumnRenamed("id", id_col)
 
 
 def decode(tokens: DataFrame, ranks: dict[bytes, int], tokens_col: str = "tokens", out: str = "decoded") -> DataFrame:
     """Adds the bytes that a row's tokens stand for."""
-    return tokens.withColumn(out, Merges(ranks).decode_ids(F.col(tokens_col)))
+    return tokens.withColumn(out, decode_ids(F.col(tokens_col), ranks))
 
 
 def digests(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

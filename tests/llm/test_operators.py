@@ -355,7 +355,11 @@ def test_bpe_equals_tiktoken(spark):
         t = (texts[r["doc_id"]] if r["doc_id"] is not None else "null id") or ""
         ids = coder.encode_ordinary(t)
         assert (r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) == (len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(t.encode()).hexdigest()), t[:50]
-    small = bpe.encode(documents(spark, enumerate(texts)), ranks, public_tokenizers.PATTERN, block_bytes=50)
+    texts += ["a" * 700, "zqxj" * 300]
+    # word numbers start anew after every block, and a heap merges what is over 9 bytes
+    small = bpe.encode(documents(spark, enumerate(texts)), ranks, public_tokenizers.PATTERN, block_bytes=50, cache_words=5, fold_bytes=9)
+    assert {r["doc_id"]: r["tokens"] for r in small.collect()} == {k: coder.encode_ordinary(t or "") for k, t in enumerate(texts)}
+    small = bpe.encode(documents(spark, enumerate(texts)), ranks, public_tokenizers.PATTERN, block_bytes=3000)
     assert {r["doc_id"]: r["tokens"] for r in small.collect()} == {k: coder.encode_ordinary(t or "") for k, t in enumerate(texts)}
     assert bpe.digests(documents(spark, []), ranks, public_tokenizers.PATTERN).count() == 0
 

@@ -1,8 +1,8 @@
 """Substring dedup over paragraphs by MinHash banding (operator 5).
 
-Paragraphs are a text's lines; words are the runs between ASCII white space after A-Z is
-lowered, and paragraphs of fewer than ``MIN_WORDS`` (20) words are not compared.  Two paragraphs
-are near copies if the Jaccard similarity of their sets of 5-word shingles is 0.8 or more.
+Words are the runs between ASCII white space after A-Z is lowered.  A paragraph is a line of
+``MIN_WORDS`` (20) words or more, a run of shorter lines joined until it has as many, or a whole text that has fewer.
+Two paragraphs are near copies if the Jaccard similarity of their sets of 5-word shingles (64-bit hashes) is 0.8 or more.
 
 Equal paragraphs (by a 128-bit hash of their words) are one class.  A class's MinHash has
 ``BANDS`` (12) bands of ``ROWS`` (3) minima; a pair at the threshold meets in a
@@ -11,25 +11,26 @@ find bands with two classes or more; just those classes' shingles are then made
 from their documents and compared exactly, in cells of two blocks.  A cell gives a spanning forest of
 its links, so no group becomes its list of pairs.  Components of classes are the clusters.
 
-A passage may begin or end inside a line or run over short ones, so windows of ``WINDOW`` (20)
+A passage may begin or end inside a line, and a few short lines may stand between long ones, so windows of ``WINDOW`` (20)
 words of the whole text are compared as well, line ends being white space.  They begin where the
-hash of 5 words is the least of ``REACH`` (20) beginnings in a row, which depends on the words alone:
-every run of 39 words that two documents share holds a window that both have.  Windows with equal
+hash of 5 words is the least of ``REACH`` (30) beginnings in a row, which depends on the words alone:
+every run of 49 words that two documents share holds a window that both have.  Windows with equal
 words (128 bits) in two documents or more are listed.  Windows have no bands: a word that
-differs inside 20 takes up to 5 of 16 shingles of each, which leaves 0.8 only at either end.  Up to 19 words
-at each end of a passage may lie in no window, and a window there may be chosen in some of its documents only.
+differs inside 20 takes up to 5 of 16 shingles of each, which leaves 0.8 only at either end.
 
-The result lists each paragraph of a cluster that spans two documents or more, and each such window that
-has ``SHINGLE`` words or more outside the document's listed paragraphs; the first
+The result lists each paragraph of a cluster that spans two documents or more, and each such window
+whose first and last word do not both lie in the document's listed paragraphs; the first
 (least document id, then place) is kept, the others are removals.
 
-Cases.  Null and empty texts have no paragraphs.  Rows with a null id are left out of the
-clusters.  Repeated rows with one id count as one document.  Empty tables give empty results.
+Cases.  Null and empty texts have no paragraphs.  Ids may have any type that is ordered; rows with a null id are
+left out of the clusters.  Repeated rows with one id count as one document.  Empty tables give empty results.
 Other columns are not read.
 """
 
 from __future__ import annotations
 
+from itertools import chain
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -39,47 +40,70 @@ from pyspark.sql import functions as F
 from . import common
 
 MIN_WORDS, SHINGLE, BANDS, ROWS, THRESHOLD, BLOCK, SEED = 20, 5, 12, 3, 0.8, 512, 7
-WINDOW, REACH = 20, 20
-
-
-def paragraphs(text: bytes, min_words: int = MIN_WORDS):
-    """``(line number, words)`` of the lines that are long enough."""
-    for k, line in enumerate(text.lower().split(b"\n")):
-        words = line.split()
-        if len(words) >= min_words:
-            yield k, words
-
-
-def shingle_set(words: list[bytes]) -> np.ndarray:
-    digest = xxhash.xxh64_intdigest
-    grams = zip(*(words[k:] for k in range(SHINGLE)), strict=False) if len(words) >= SHINGLE else [tuple(words)]
-    return np.unique(np.fromiter((digest(b" ".join(g)) for g in grams), np.uint64))
-
-
-def windows(text: bytes):
-    """``(first word's number, its line, words, touched)`` of the chosen windows; ``touched`` has (line, words in it) of paragraphs."""
-    lines = [line.split() for line in text.lower().split(b"\n")]
-    words = [w for line in lines for w in line]
-    size = len(words) - WINDOW + 1
-    if size < 1:
-        return
-    hashes = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
-    grams = np.zeros(size, np.uint64)
-    for k in range(SHINGLE):
-        grams = (grams ^ hashes[k : k + size]) * np.uint64(0x9E3779B97F4A7C15)
-        grams ^= grams >> np.uint64(29)
-    reach = min(REACH, size)
-    # the last of equal ones
-    back = np.lib.stride_tricks.sliding_window_view(grams, reach)[:, ::-1].argmin(axis=1)
-    ends = np.cumsum([len(line) for line in lines])
-    for at in np.unique(np.arange(len(back)) + reach - 1 - back).tolist():
-        first, touched = int(np.searchsorted(ends, at, "right")), []
-        par = first
-        while par < len(lines) and ends[par] - len(lines[par]) < at + WINDOW:
-            if len(lines[par]) >= MIN_WORDS:
-                touched.append((par, int(min(ends[par], at + WINDOW) - max(ends[par] - len(lines[par]), at))))
-            par += 1
-        yield at, first, words[at : at + WINDOW], touched
+WINDOW, REACH, KNOWN_WORDS = 20, 30, 200_000
+
+
+class Hashes(dict):
+    """Hashes of words, kept for words that come again."""
+
+    def __missing__(self, word: bytes) -> int:
+        got = self[word] = xxhash.xxh64_intdigest(word)
+        return got
+
+
+class Text:
+    """A text's word hashes, its paragraphs as (line, first word, end) and its shingles' hashes."""
+
+    def __init__(self, text: bytes, known: Hashes) -> None:
+        lines = [line.split() for line in text.lower().split(b"\n")]
+        self.ends = np.cumsum([len(line) for line in lines])
+        self.words = np.fromiter(map(known.__getitem__, chain.from_iterable(lines)), np.uint64, int(self.ends[-1]))
+        self.paragraphs = paragraphs([len(line) for line in lines])
+        size = max(0, len(self.words) - SHINGLE + 1)
+        self.grams = np.zeros(size, np.uint64)
+        for k in range(SHINGLE):
+            self.grams = (self.grams ^ self.words[k : k + size]) * np.uint64(0x9E3779B97F4A7C15)
+            self.grams ^= self.grams >> np.uint64(29)
+
+    def key(self, start: int, end: int) -> bytes:
+        return xxhash.xxh3_128_digest(self.words[start:end].tobytes())
+
+    def shingles(self, start: int, end: int) -> np.ndarray:
+        """The set of a paragraph's shingles; fewer words are one shingle."""
+        if end - start < SHINGLE:
+            return np.array([xxhash.xxh64_intdigest(self.words[start:end].tobytes())], np.uint64)
+        return np.unique(self.grams[start : end - SHINGLE + 1])
+
+    def windows(self) -> np.ndarray:
+        """The first words of the chosen windows."""
+        size = len(self.words) - WINDOW + 1
+        if size < 1:
+            return np.zeros(0, np.int64)
+        reach = min(REACH, size)
+        # the last of equal ones
+        back = np.lib.stride_tricks.sliding_window_view(self.grams[:size], reach)[:, ::-1].argmin(axis=1)
+        return np.unique(np.arange(len(back)) + reach - 1 - back)
+
+    def within(self, word: np.ndarray) -> np.ndarray:
+        """The line that the words' paragraph begins in; -1 for words in no paragraph."""
+        line, start, end = np.array(self.paragraphs, np.int64).T
+        k = np.searchsorted(start, word, "right") - 1
+        return np.where((k >= 0) & (word < end[k]), line[k], -1)
+
+
+def paragraphs(sizes: list[int]) -> list[tuple[int, int, int]]:
+    """``(line, first word, end)`` of the paragraphs of lines with so many words."""
+    out, line, start, at = [], 0, 0, 0  # from start on, words of short lines wait
+    for k, n in enumerate(sizes):
+        if start == at:
+            line = k
+        if n >= MIN_WORDS:
+            line, start = k, at
+        at += n
+        if at - start >= MIN_WORDS:
+            out.append((line, start, at))
+            start = at
+    return out or ([(line, 0, at)] if at else [])
 
 
 class MinHash:
@@ -93,9 +117,11 @@ class MinHash:
         """One row of band hashes for each shingle set."""
         starts = np.concatenate(([0], np.cumsum([len(s) for s in sets])[:-1]))
         h = np.concatenate(sets)
-        mixed = h[None, :] * self.a[:, None] + self.b[:, None]
-        mixed ^= mixed >> np.uint64(31)
-        least = np.minimum.reduceat(mixed, starts, axis=1)
+        least = np.empty((len(self.a), len(sets)), np.uint64)
+        for k in range(len(self.a)):  # one at a time: a paragraph may be long
+            mixed = h * self.a[k] + self.b[k]
+            mixed ^= mixed >> np.uint64(31)
+            least[k] = np.minimum.reduceat(mixed, starts)
         out = np.repeat(np.arange(1, self.shape[0] + 1, dtype=np.uint64), len(sets)).reshape(self.shape[0], -1)
         for r in range(self.shape[1]):
             out = (out ^ least[r :: self.shape[1]]) * np.uint64(0x9E3779B97F4A7C15)
@@ -109,88 +135,103 @@ def listed(values: np.ndarray) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * width, pa.int32()), pa.array(values.ravel()))
 
 
-def parts(docs: DataFrame, id_col: str, text_col: str, with_bands: bool = True) -> DataFrame:
-    """``(id, par, n_words, k1, k2, bands)`` of every paragraph that is long enough; ``bands`` is empty on request."""
+def texts_of(batch: pa.RecordBatch, known: Hashes):
+    """``(row, text)`` of a batch's texts that have words."""
+    if len(known) > KNOWN_WORDS:
+        known.clear()
+    for k, t in enumerate(batch.column(1)):
+        if (x := Text(t.as_py() or b"", known)).paragraphs:
+            yield k, x
+
+
+def halves(keys: list[bytes]) -> list[pa.Array]:
+    """128-bit keys as two columns."""
+    return [pa.array(c.copy()) for c in np.frombuffer(b"".join(keys), np.int64).reshape(-1, 2).T]
+
+
+def each_text(docs: DataFrame, id_col: str, text_col: str, fn, columns: str) -> DataFrame:
+    """``fn(batch, texts)`` over (id, text) of the rows that have an id; it gives the ids' rows and the other columns."""
+    names = ["id", *(x.split()[0] for x in columns.split(","))]
 
     def run(batches):
-        mins = MinHash()
+        known = Hashes()
         for batch in batches:
-            ids, pars, counts, keys, bands = [], [], [], [], [np.zeros((0, BANDS), np.uint64)]
-            for i, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                sets = []
-                for par, words in paragraphs(t.as_py() or b""):
-                    line = b" ".join(words)
-                    ids.append(i)
-                    pars.append(par)
-                    counts.append(len(words))
-                    keys.append((xxhash.xxh64_intdigest(line, 1), xxhash.xxh64_intdigest(line, 2)))
-                    if with_bands:
-                        sets.append(shingle_set(words))
-                for at in range(0, len(sets), 256):
-                    bands.append(mins.bands(sets[at : at + 256]))
-            lists = listed(np.concatenate(bands).view(np.int64)) if with_bands else pa.array([[]] * len(ids), pa.list_(pa.int64()))
-            k = np.array(keys, np.uint64).reshape(-1, 2).view(np.int64)
-            columns = [pa.array(ids, pa.int64()), pa.array(pars, pa.int32()), pa.array(counts, pa.int32()), pa.array(k[:, 0].copy()), pa.array(k[:, 1].copy()), lists]
-            yield pa.RecordBatch.from_arrays(columns, names=["id", "par", "n_words", "k1", "k2", "bands"])
-
-    known = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long"), F.col(text_col).cast("binary").alias("t"))
-    return known.mapInArrow(run, "id long, par int, n_words int, k1 long, k2 long, bands array<long>")
+            rows, *rest = fn(batch, texts_of(batch, known))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int32())), *rest], names=names)
+
+    have = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("t"))
+    return have.mapInArrow(run, f"id {docs.schema[id_col].dataType.simpleString()}, {columns}")
+
+
+def parts(docs: DataFrame, id_col: str, text_col: str, with_bands: bool = True) -> DataFrame:
+    """``(id, par, n_words, k1, k2, bands)`` of every paragraph; ``bands`` is empty on request."""
+
+    def fn(batch, texts):
+        mins, rows, places, keys, sets, bands = MinHash(), [], [], [], [], [np.zeros((0, BANDS), np.uint64)]
+        for k, x in texts:
+            for line, start, end in x.paragraphs:
+                rows.append(k)
+                places.append((line, end - start))
+                keys.append(x.key(start, end))
+                if with_bands:
+                    sets.append(x.shingles(start, end))
+            for at in range(0, len(sets), 256):
+                bands.append(mins.bands(sets[at : at + 256]))
+            sets = []
+        lists = listed(np.concatenate(bands).view(np.int64)) if with_bands else pa.array([[]] * len(rows), pa.list_(pa.int64()))
+        par, n = (pa.array(c.copy()) for c in np.array(places, np.int32).reshape(-1, 2).T)
+        return rows, par, n, *halves(keys), lists
+
+    return each_text(docs, id_col, text_col, fn, "par int, n_words int, k1 long, k2 long, bands array<long>")
 
 
 def window_parts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``(id, word, par, k1, k2, p1, n1, p2, n2)`` of every chosen window; a window touches two paragraphs at most."""
-    names = ["id", "word", "par", "k1", "k2", "p1", "n1", "p2", "n2"]
+    """``(id, word, par, k1, k2, p1, p2)`` of every chosen window: p1 and p2 are the paragraphs of its first and last word."""
 
-    def run(batches):
-        for batch in batches:
-            ids, rows, keys = [], [], []
-            for i, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                for at, first, words, touched in windows(t.as_py() or b""):
-                    line = b" ".join(words)
-                    keys.append((xxhash.xxh64_intdigest(line, 1), xxhash.xxh64_intdigest(line, 2)))
-                    (p1, n1), (p2, n2) = (*touched, (-1, 0), (-1, 0))[:2]
-                    ids.append(i)
-                    rows.append((at, first, p1, n1, p2, n2))
-            k = np.array(keys, np.uint64).reshape(-1, 2).view(np.int64)
-            at, first, p1, n1, p2, n2 = (pa.array(c.copy()) for c in np.array(rows, np.int32).reshape(-1, 6).T)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), at, first, pa.array(k[:, 0].copy()), pa.array(k[:, 1].copy()), p1, n1, p2, n2], names=names)
-
-    known = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long"), F.col(text_col).cast("binary").alias("t"))
-    return known.mapInArrow(run, "id long, word int, par int, k1 long, k2 long, p1 int, n1 int, p2 int, n2 int")
+    def fn(batch, texts):
+        rows, keys, places = [], [], [np.zeros((0, 4), np.int32)]
+        for k, x in texts:
+            at = x.windows()
+            rows += [k] * len(at)
+            keys += [x.key(a, a + WINDOW) for a in at.tolist()]
+            places.append(np.stack([at, np.searchsorted(x.ends, at, "right"), x.within(at), x.within(at + WINDOW - 1)], axis=1).astype(np.int32))
+        word, par, p1, p2 = (pa.array(c.copy()) for c in np.concatenate(places).T)
+        return rows, word, par, *halves(keys), p1, p2
+
+    return each_text(docs, id_col, text_col, fn, "word int, par int, k1 long, k2 long, p1 int, p2 int")
 
 
 def equal_windows(docs: DataFrame, listed_lines: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``(id, word, par, head)``: windows that two documents have, less those inside ``listed_lines`` (id, par)."""
+    """``(id, word, par, head)``: windows that two documents have, less those that begin and end in ``listed_lines`` (id, par)."""
     each = window_parts(docs, id_col, text_col)
     shared = each.groupBy("k1", "k2").agg(F.min(F.struct("id", "word", "par")).alias("head"), F.max("id").alias("last")).where("head.id <> last").drop("last")
-    found = each.join(shared, ["k1", "k2"])
-    inside = F.lit(0)
-    for k in "12":
-        found = found.join(listed_lines.select("id", F.col("par").alias(f"p{k}"), F.lit(True).alias(f"l{k}")), ["id", f"p{k}"], "left")
-        inside = inside + F.when(F.col(f"l{k}"), F.col(f"n{k}")).otherwise(0)
-    return found.where(inside <= WINDOW - SHINGLE).select("id", "word", "par", "head")
+    found = each.join(shared, ["k1", "k2"]).drop("k1", "k2")
+    # a document's lines are one row, as many as it has itself
+    by_doc = listed_lines.groupBy("id").agg(F.collect_set("par").alias("pars"))
+    inside = F.coalesce(F.array_contains("pars", F.col("p1")) & F.array_contains("pars", F.col("p2")), F.lit(False))
+    return found.join(by_doc, "id", "left").where(~inside).select("id", "word", "par", "head")
 
 
 def shingles_of(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``(c, h)``: the shingle hashes of the wanted classes, ``wanted`` being (c, id, pars)."""
+    """``(c, h)``: the shingle hashes of the wanted classes, ``wanted`` being (c, id, par)."""
 
     def run(batches):
+        known = Hashes()
         for batch in batches:
-            cs, sets = [], []
-            for t, pairs in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
-                need = {x["par"]: x["c"] for x in pairs}
-                for par, words in paragraphs(t.as_py() or b""):
-                    if par in need:
-                        cs.append(need[par])
-                        sets.append(shingle_set(words).view(np.int64))
-            offsets = np.concatenate(([0], np.cumsum([len(s) for s in sets]))).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.zeros(0, np.int64), *sets])))
-            yield pa.RecordBatch.from_arrays([pa.array(cs, pa.int64()), lists], names=["c", "h"])
+            cs, sets, pairs = [], [np.zeros(0, np.int64)], batch.column(2).to_pylist()
+            for k, x in texts_of(batch, known):
+                need = {p["par"]: p["c"] for p in pairs[k]}
+                for line, start, end in x.paragraphs:
+                    if line in need:
+                        cs.append(need[line])
+                        sets.append(x.shingles(start, end).view(np.int64))
+            offsets = np.cumsum([len(s) for s in sets]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(cs, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(sets)))], names=["c", "h"])
 
     by_doc = wanted.groupBy("id").agg(F.collect_list(F.struct("par", "c")).alias("pairs"))
     # an id may have several rows: each gives what it has, and repeats go by class; texts are shuffled once
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("t"))
-    return texts.join(by_doc, "id").select("t", "pairs").mapInArrow(run, "c long, h array<long>").dropDuplicates(["c"])
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("t"))
+    return texts.join(by_doc, "id").select("id", "t", "pairs").mapInArrow(run, "c long, h array<long>").dropDuplicates(["c"])
 
 
 def compare(x: dict) -> list | None:

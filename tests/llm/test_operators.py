@@ -220,19 +220,34 @@ def test_url_rules(spark):
 # -- 5 paragraphs -------------------------------------------------------------------
 
 
+def split_paragraphs(text):
+    """Lines of 20 words, or shorter ones joined until they have as many, or a whole short text: by their first line."""
+    found, run, first = {}, [], 0
+    for k, line in enumerate((text or "").lower().split("\n")):
+        words = line.split()
+        if len(words) >= 20:
+            found[k], run = words, []
+        elif words:
+            first = first if run else k
+            run = run + words
+            if len(run) >= 20:
+                found[first], run = run, []
+    return found or ({first: run} if run else {})
+
+
 @pytest.mark.parametrize("block", [4, 512])
 def test_paragraphs(spark, block):
     rng = random.Random(6)
     line = lambda n: " ".join(f"w{rng.randint(0, 400)}" for _ in range(n))
     lines = [line(60) for _ in range(20)]
     edited = [" ".join(x.split()[:-2] + ["new", "end"]) for x in lines[:10]]
-    docs_ = [(k, "\n".join([line(30), rng.choice(lines + edited), "short line", line(25)])) for k in range(60)]
-    docs_ += [(100, None), (101, ""), (102, lines[0] + "\n" + lines[0]), (103, line(20000)), (None, lines[1]), (5, docs_[5][1]), (104, lines[0].upper())]
-    got = {(r["doc_id"], r["paragraph"]): (r["component_id"], r["component_paragraph"], r["kept"]) for r in para_dedup.near_paragraphs(documents(spark, docs_), block=block).collect()}
-    parts = []
-    for i, t in dict((d for d in docs_ if d[0] is not None)).items():
-        for par, words in para_dedup.paragraphs((t or "").encode()):
-            parts.append((i, par, set(zip(*(words[k:] for k in range(5)), strict=False))))
+    short = [line(9) + "\n\n" + line(8) + "\n" + line(7) for _ in range(4)]
+    docs_ = [(f"{k:04}", "\n".join([line(30), rng.choice(lines + edited), "short line", line(25), *rng.choice([short, [], []])])) for k in range(60)]
+    docs_ += [("0100", None), ("0101", ""), ("0102", lines[0] + "\n" + lines[0]), ("0103", line(20000)), (None, lines[1]), ("0005", docs_[5][1]), ("0104", lines[0].upper())]
+    docs_ += [("0105", "Two words"), ("0106", " \n"), ("0107", "two\nwords")]
+    df = spark.createDataFrame([(i, t, "x", "x", 1) for i, t in docs_], "doc_id string, text string, id string, head string, c long")
+    got = {(r["doc_id"], r["paragraph"]): (r["component_id"], r["component_paragraph"], r["kept"]) for r in para_dedup.near_paragraphs(df, block=block).collect() if r["word"] is None}
+    parts = [(i, par, set(zip(*(ws[k:] for k in range(5)), strict=False)) or {tuple(ws)}) for i, t in dict(d for d in docs_ if d[0] is not None).items() for par, ws in split_paragraphs(t).items()]
     parts.sort(key=lambda p: p[:2])
     links = [(a, b) for a, b in combinations(range(len(parts)), 2) if len(parts[a][2] & parts[b][2]) * 10 >= 8 * len(parts[a][2] | parts[b][2])]
     label, groups = smallest_reachable(len(parts), links), defaultdict(list)
@@ -240,7 +255,7 @@ def test_paragraphs(spark, block):
         groups[m].append(k)
     want = {parts[k][:2]: (*parts[m][:2], k == m) for m, ks in groups.items() if len({parts[k][0] for k in ks}) > 1 for k in ks}
     assert got == want and len(want) > 20
-    assert para_dedup.near_paragraphs(documents(spark, [])).count() == 0
+    assert para_dedup.near_paragraphs(df.limit(0)).count() == 0
 
 
 def test_passages_inside_lines_and_across_short_ones(spark):
@@ -281,7 +296,7 @@ def test_licenses(spark):
     ]
     df = spark.createDataFrame([(*f, "x", "x") for f in files], "doc_id long, path string, text string, license string, line string")
     got = sorted({(r["doc_id"], r["license"], r["inherited_from"]) for r in license_scan.scan(df).collect()}, key=str)
-    assert got == [(1, "MIT", None), (2, "MIT", "p/"), (3, "Apache-2.0", None), (4, None, None), (5, "CC-BY-NC-4.0", None), (6, "GPL-3.0", None), (7, "GPL-3.0", "p/src/deep/"), (8, None, None), (9, None, None)]
+    assert got == [(1, "MIT", None), (2, "MIT", "p/"), (3, "Apache-2.0", None), (4, None, None), (5, "CC-BY-NC-4.0", None), (6, "GPL-3.0", None), (7, "GPL-3.0", "p/src/deep/"), (8, None, None), (9, "MIT", None)]
     assert license_scan.scan(df).count() == len(files) and license_scan.scan(df.limit(0)).count() == 0
 
 
@@ -301,6 +316,40 @@ def test_notices_among_other_text(spark):
     assert got == {f[0]: f[3] for f in files}
 
 
+def test_cosines_of_licenses(spark):
+    """Against plain vectors of every window, header and whole file, in which words outside the templates count one by one."""
+    rng, find = random.Random(12), lambda t: re.findall(r"[a-z0-9]+(?:\.[0-9]+)*", t.lower())
+    templates = [("A", "use of the alpha code is free"), ("A", "alpha"), ("B", "the beta terms 2.0 of use and of beta code"), ("C", "use the gamma code")]
+    pool = ["use", "of", "the", "alpha", "code", "is", "free", "beta", "terms", "2.0", "and", "x", "y", "gamma", "other"]
+    texts = ["", None, "nothing here"] + ["".join(rng.choice(pool) + rng.choice([" ", " ", " ", "\n", "\n\n", "; "]) for _ in range(rng.randint(1, 60))) for _ in range(150)]
+    df = spark.createDataFrame([(k, None, t, "x", "x") for k, t in enumerate(texts)], "doc_id long, path string, text string, held string, row string")
+    got = {r["doc_id"]: (r["license"], r["cosine"]) for r in license_scan.scan(df, spark.createDataFrame(templates, "license string, text string")).collect()}
+    vocabulary = {w for _, t in templates for w in find(t)}
+    seen = {w: sum(w in find(t or "") for t in texts) for w in vocabulary}
+    idf = lambda w: np.log((1 + len(texts)) / (1 + seen.get(w, 0))) + 1
+    names = {n for n, _ in templates}
+    tells = {w for w in vocabulary if 2 * len({n for n, t in templates if w in find(t)}) <= max(2, len(names))}
+
+    def square(unit):
+        return sum((unit.count(w) * idf(w)) ** 2 for w in set(unit) & vocabulary) + sum(idf("") ** 2 for w in unit if w not in vocabulary)
+
+    want = {}
+    for k, text in enumerate(texts):
+        ws, head, found = find(text or ""), find(re.split(r"\n[ \t\r]*\n", text or "")[0]), []
+        for name, t in templates:
+            v = find(t)
+            units = [ws[at : at + len(v)] for at in range(len(ws))] + [u for u in (head, ws) if len(u) <= 4 * len(v)]
+            for u in units:
+                if set(u) & set(v) & tells:
+                    c = sum(u.count(w) * v.count(w) * idf(w) ** 2 for w in set(u) & set(v)) / np.sqrt(square(u) * square(v))
+                    found.append((round(c, 9), name))
+        top = max((c for c, _ in found), default=0)
+        want[k] = (min(n for c, n in found if c == top), top) if top >= 0.6 else (None, None)
+    assert {k: n for k, (n, _) in want.items()} == {k: n for k, (n, _) in got.items()}
+    assert all(c is None or abs(c - want[k][1]) < 1e-8 for k, (_, c) in got.items())
+    assert {n for n, _ in want.values()} == {None, "A", "B", "C"}
+
+
 # -- 7 benchmark ---------------------------------------------------------------------------
 
 

@@ -1,14 +1,18 @@
 """License scans by sparse TF-IDF cosine (operator 6), DataFrame functions only.
 
-A file's license text is its lines that hold a cue word ("license", "copyright" and the
-like); every such line is compared, and so are the windows of ``WINDOWS`` words of the text that hold
-a cue, over line ends, so that a notice counts whatever else stands in its line and however it is wrapped.
-Lines of over 2,000 characters have no windows, only the parts around their cues.  Lines, windows and templates are bags of
-words (runs of letters, digits and dots after A-Z is lowered) weighed by term
-frequency times ln((1 + lines) / (1 + lines with the word)) + 1, the counts being taken over all candidate
-lines and the templates.  A line or window whose cosine with a template is ``threshold`` (0.6) or
-more, and that shares a word with it which at most half of the licenses have, names that template's
-license; a file's license is its best one's (ties: the least name).
+Words are runs of letters, digits and dots after A-Z is lowered.  Texts and templates are vectors over the templates'
+words, weighed by term frequency times ln((1 + texts) / (1 + texts with the word)) + 1, counted over all texts; every
+other word of a text is an axis of its own that weighs as a word of no text.  Compared with a template
+are: a file's header (up to its first empty line); the whole file, where it has at most
+``FILE`` (4) times the template's words; and, so that a notice counts whatever else stands around it and however it is
+wrapped, the windows of the template's length that hold a word the template must share: of templates of up to 31
+words all of them, of longer ones those that begin at a multiple of a sixteenth of their length, or where such a word has its place.
+A unit whose cosine with a template is ``threshold`` (0.6) or more, and that shares a word with it which at
+most half of the licenses have, names that template's license; a file's license is its best one's (ties: the least name).
+
+The search leaves nothing out: a unit at the threshold shares words that hold threshold**2 of the template's
+squared norm, and one of its heaviest words, without which the others' norm is below the threshold; texts
+and windows without these are not scored.
 
 A file that names none inherits from the nearest ancestor directory that has a license: that of
 a license file in it.  A license file is named LICENSE, LICENCE or COPYING, or half of
@@ -17,8 +21,8 @@ name, then the least name.  Directories are
 joined by path: each file's ancestors are listed and equi-joined with the
 directories that have a license, and the longest wins.
 
-Only lines with a cue and their words are shuffled; words of templates are few, so
-other words are dropped before the join after giving their line its norm.
+Cosines are computed within a row, so no text or word is shuffled; the driver sees one count for each
+word of the templates, and the literal tables grow with the templates alone.
 
 Cases.  Null and empty texts name no license.  A null path has no directory.  Repeated rows
 give one row each.  Empty tables are fine.  Other columns are not read.
@@ -26,17 +30,20 @@ give one row each.  Empty tables are fine.  Other columns are not read.
 
 from __future__ import annotations
 
+import json
+import math
+import re
+from collections import Counter
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common
 
-THRESHOLD = 0.6
-CUE = "licen[sc]e|copyright|spdx|public domain|redistribut|all rights reserved|permission is hereby granted|permission to use"
-CUE_WORD = "^(licen[sc]|copyright$|spdx$|domain$|redistribut|reserved$|permission$)"
-WINDOWS = (5, 8, 13, 28)
+THRESHOLD, FILE = 0.6, 4
+WORD = "[a-z0-9]+(?:\\.[0-9]+)*"
 
-#: Templates: fixed values, short standard notices, first sentences of license texts, and SPDX lines.
+#: Templates: fixed values, short standard notices, headers, whole licence texts, titles and SPDX lines.
 TEMPLATES = [
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("MIT", "Released under the MIT License."),
@@ -58,52 +65,86 @@ TEMPLATES = [
 ]
 SPDX = ["Apache-2.0", "MIT", "ISC", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "AGPL-3.0", "MPL-2.0", "CC-BY-4.0", "CC-BY-NC-4.0", "CC0-1.0", "BSD-2-Clause", "BSD-3-Clause", "Unlicense"]
 TEMPLATES += [(name, f"SPDX-License-Identifier: {name}") for name in SPDX]
-
-
-def words(line: Column) -> Column:
-    return F.regexp_extract_all(common.lower_ascii(line), F.lit("[a-z0-9]+(?:\\.[0-9]+)*"), 0)
-
-
-def cued_lines(text: Column) -> Column:
-    """The distinct trimmed lines of a text that hold a cue; of lines over 2,000 characters the parts around cues."""
-    short = F.filter(F.split(text, "\n"), lambda s: (F.length(s) <= 2000) & s.rlike(f"(?i){CUE}"))
-    long = F.array_join(F.filter(F.split(text, "\n"), lambda s: F.length(s) > 2000), "\n")
-    near = F.regexp_extract_all(long, F.lit(f"(?i)[^\\n]{{0,200}}(?:{CUE})[^\\n]{{0,200}}"), 0)
-    found = F.array_distinct(F.transform(F.concat(short, near), F.trim))
-    return F.when(F.coalesce(text.rlike(f"(?i){CUE}"), F.lit(False)), found).otherwise(F.array().cast("array<string>"))
-
-
-def cued_windows(text: Column) -> Column:
-    """The distinct windows of words that hold a cue, over the ends of lines of at most 2,000 characters."""
-    tokens = words(F.array_join(F.filter(F.split(text, "\n"), lambda s: F.length(s) <= 2000), " "))
-    cues = F.array_compact(F.transform(tokens, lambda w, k: F.when(w.rlike(CUE_WORD), k)))
-
-    def around(ws: Column, k: Column, size: int) -> Column:
-        starts = F.sequence(F.greatest(k - size + 1, F.lit(0)), k, F.lit(max(1, size // 7)))
-        return F.transform(starts, lambda at: F.array_join(F.slice(ws, at + 1, size), " "))
-
-    # tokens and cues stand in a one-element array, so that they are made once a text
-    held = F.transform(F.array(F.struct(tokens.alias("w"), cues.alias("k"))), lambda x: F.flatten(F.transform(x["k"], lambda k: F.concat(*[around(x["w"], k, n) for n in WINDOWS]))))
-    return F.when(F.coalesce(text.rlike(f"(?i){CUE}"), F.lit(False)), F.array_distinct(F.flatten(held))).otherwise(F.array().cast("array<string>"))
-
-
-def weigh(lines: DataFrame, templates: DataFrame, units: DataFrame | None = None) -> DataFrame:
-    """``(line, license, cosine)`` of the distinct ``units`` (the lines where none are given) that share a telling word
-    with a template; words are counted over ``lines`` and templates."""
-    count = lambda df, key: df.select(*key, F.explode(words(F.col("line"))).alias("w")).groupBy(*key, "w").agg(F.count("*").alias("tf"))
-    marked = templates.select("license", F.col("text").alias("line"))
-    ref = count(marked, ["license", "line"]).withColumnRenamed("line", "of")
-    n, names = lines.count() + templates.count(), templates.select("license").distinct().count()
-    seen = count(lines, ["line"]).select("w").unionByName(ref.select("w")).groupBy("w").agg(F.count("*").alias("df"))
-    idf = F.log((F.lit(1.0) + n) / (F.lit(1.0) + F.coalesce("df", F.lit(0)))) + 1
-    heavy = lambda t: t.join(seen, "w", "left").withColumn("x", F.col("tf") * idf)
-    own, ref = heavy(count(units if units is not None else lines, ["line"])), heavy(ref)
-    norm = lambda t, key: t.groupBy(*key).agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
-    telling = ref.groupBy("w").agg((F.count_distinct("license") * 2 <= max(2, names)).alias("telling"))
-    known = ref.join(telling, "w").select("license", "of", "w", F.col("x").alias("y"), "telling")
-    dots = own.select("line", "w", "x").join(known, "w").groupBy("line", "license", "of").agg(F.sum(F.col("x") * F.col("y")).alias("dot"), F.max("telling").alias("telling"))
-    both = dots.where("telling").join(norm(own, ["line"]), "line").join(norm(ref, ["license", "of"]).withColumnRenamed("norm", "other"), ["license", "of"])
-    return both.groupBy("line", "license").agg(F.max(F.col("dot") / (F.col("norm") * F.col("other"))).alias("cosine"))
+TEMPLATES += [
+    ("MIT", """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"),
+        to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies
+        of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission
+        notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED,
+        INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS
+        BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE
+        USE OR OTHER DEALINGS IN THE SOFTWARE."""),
+    ("ISC", """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice
+        and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED
+        WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER
+        RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR
+        PERFORMANCE OF THIS SOFTWARE."""),
+    ("Apache-2.0", """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the
+        License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an
+        "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under
+        the License."""),
+    ("GPL-3.0", """This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software
+        Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY;
+        without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details."""),
+]
+LOWER = {k: k + 32 for k in range(65, 91)}
+
+
+def words(text: Column) -> Column:
+    return F.regexp_extract_all(common.lower_ascii(text), F.lit(WORD), 0)
+
+
+def bound(value: Column, body) -> Column:
+    """``body`` of a value that is computed once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def telling(templates: list[tuple[str, list[str]]]) -> list[str]:
+    """Words that at most half of the licenses have."""
+    names = {name for name, _ in templates}
+    of = Counter(w for name in names for w in {w for n, ws in templates if n == name for w in ws})
+    return sorted(w for w, k in of.items() if 2 * k <= max(2, len(names)))
+
+
+def weighed(templates: list[tuple[str, list[str]]], vocabulary: list[str], seen: dict[str, int], n: int, threshold: float) -> tuple[list[dict], list[float]]:
+    """The templates as vectors over the vocabulary's numbers (from 1; 0 is any other word), and the words' idf."""
+    idf = [math.log((1 + n) / (1 + seen.get(w, 0))) + 1 for w in ["", *vocabulary]]
+    number, tells, out = {w: k + 1 for k, w in enumerate(vocabulary)}, set(telling(templates)), []
+    for name, ws in templates:
+        x = [0.0] * len(idf)
+        for w in ws:
+            x[number[w]] += idf[number[w]]
+        order = sorted({number[w] for w in ws}, key=lambda k: (-x[k], k))
+        square, rest, must = sum(v * v for v in x), sum(v * v for v in x), []
+        while order and rest >= threshold**2 * square * (1 - 1e-9):
+            must.append(order.pop(0))
+            rest -= x[must[-1]] ** 2
+        places = [{"w": number[w], "at": k} for k, w in enumerate(ws) if number[w] in must]
+        out.append({"license": name, "n": len(ws), "x": x, "norm": math.sqrt(square), "must": must, "step": max(1, len(ws) // 16), "places": places, "tells": [w in tells for w in ["", *vocabulary]]})
+    return out, idf
+
+
+def cosine(unit: Column, template: Column, idf: Column) -> Column:
+    """The cosine of an array of word numbers and a template; null if they share no telling word."""
+    dot = F.aggregate(unit, F.lit(0.0), lambda s, w: s + F.get(idf, w) * F.get(template["x"], w))
+    often = lambda w: F.size(F.filter(unit, lambda v: v == w))
+    own = F.aggregate(F.array_distinct(F.filter(unit, lambda w: w > 0)), F.lit(0.0), lambda s, w: s + F.pow(often(w) * F.get(idf, w), F.lit(2.0)))
+    other = F.size(F.filter(unit, lambda w: w == 0)) * F.pow(F.get(idf, F.lit(0)), F.lit(2.0))
+    shares = F.exists(unit, lambda w: (F.get(template["x"], w) > 0) & F.get(template["tells"], w))
+    return F.when(shares, dot / (F.sqrt(own + other) * template["norm"]))
+
+
+def best(numbers: Column, header: Column, template: Column, idf: Column, threshold: float) -> Column:
+    """``(c, part)``: the greatest cosine of a text's units with a template, and the unit's share of the text."""
+    held = F.array_distinct(F.filter(numbers, lambda w: F.get(template["x"], w) > 0))
+    enough = F.aggregate(held, F.lit(0.0), lambda s, w: s + F.pow(F.get(template["x"], w), F.lit(2.0))) >= F.pow(template["norm"] * threshold, F.lit(2.0)) * (1 - 1e-9)
+    whose = lambda value: F.filter(F.transform(numbers, lambda w, k: F.when(F.array_contains(template["must"], w), value(w, k))), lambda k: k.isNotNull())
+    over = lambda k: F.filter(F.sequence(F.greatest(k - template["n"] + 1, F.lit(0)), k), lambda s: s % template["step"] == 0)
+    placed = lambda w, k: F.transform(F.filter(template["places"], lambda p: p["w"] == w), lambda p: F.greatest(k - p["at"], F.lit(0)))
+    starts = F.array_distinct(F.flatten(whose(lambda w, k: F.concat(over(k), placed(w, k)))))
+    scored = lambda unit: F.struct(cosine(unit, template, idf).alias("c"), (F.size(unit) / F.size(numbers)).alias("part"))
+    units = F.transform(starts, lambda k: F.slice(numbers, k + 1, template["n"]))
+    whole = F.filter(F.array(F.slice(numbers, F.lit(1), header), numbers), lambda u: (F.size(u) > 0) & (F.size(u) <= FILE * template["n"]))
+    return F.when(enough, F.array_max(F.filter(F.transform(F.concat(units, whole), scored), lambda u: u["c"] >= threshold)))
 
 
 def parent(path: Column) -> Column:
@@ -120,24 +161,26 @@ def ancestors(directory: Column) -> Column:
 
 def scan(files: DataFrame, templates: DataFrame | None = None, id_col: str = "doc_id", path_col: str = "path", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """One row per row of ``files``: id, path, license, cosine of its own notice, inherited_from (a directory)."""
-    spark = files.sparkSession
-    templates = templates if templates is not None else spark.createDataFrame(TEMPLATES, "license string, text string")
-    lines = cued_lines(F.col("t"))
-    size = F.greatest(F.size(words(F.col("t"))), F.lit(1))
-    read = files.select(F.col(id_col).alias("id"), F.col(path_col).cast("string").alias("path"), F.col(text_col).cast("string").alias("t"))
-    # one pass over the texts; the row numbers are fixed by the checkpoint
-    rows = common.cut(
-        read.select("id", "path", F.monotonically_increasing_id().alias("row"), lines.alias("lines"), cued_windows(F.col("t")).alias("windows"), "t")
-        .withColumn("part", F.when(F.size("lines") > 0, F.size(words(F.array_join("lines", " "))) / size))
-        .drop("t")
-    )
-    cued = rows.where(F.size("lines") > 0).select("row", "path", "part", F.explode("lines").alias("line"))
-    distinct = common.cut(cued.select("line").distinct())
-    units = rows.where((F.size("lines") > 0) | (F.size("windows") > 0)).select("row", "path", "part", F.explode(F.array_union("lines", "windows")).alias("line"))
-    near = weigh(distinct, templates, units.select("line").distinct()).where(F.col("cosine") >= threshold)
-    best_line = near.groupBy("line").agg(F.min(F.struct((-F.round("cosine", 9)).alias("c"), "license")).alias("b"))
-    noticed = units.join(best_line, "line").groupBy("row").agg(F.min("b").alias("b"), F.first("path").alias("path"), F.first("part").alias("part"))
-    own = common.cut(noticed.select("row", "path", "part", F.col("b.license").alias("license"), (-F.col("b.c")).alias("cosine")))
+    given = TEMPLATES if templates is None else [tuple(r) for r in templates.select("license", "text").collect()]
+    known = [(name, ws) for name, text in given if (ws := re.findall(WORD, (text or "").translate(LOWER)))]
+    vocabulary = sorted({w for _, ws in known for w in ws})
+    literal = lambda value, kind: F.from_json(F.lit(json.dumps(value)), kind)
+    numbered, tells = literal(vocabulary, "array<string>"), literal(telling(known), "array<string>")
+    t = F.col("t")
+    read = files.select(F.col(id_col).alias("id"), F.col(path_col).cast("string").alias("path"), F.monotonically_increasing_id().alias("row"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("t"))
+    # one pass over the texts; the row numbers are fixed by the checkpoint, which holds the texts that have a telling word
+    held = read.select("id", "path", "row", bound(words(t), lambda ws: F.array_intersect(ws, numbered)).alias("held"), "t")
+    rows = common.cut(held.withColumn("t", F.when(F.arrays_overlap("held", tells), t)))
+    counts = rows.select(F.explode("held").alias("w")).groupBy("w").count().collect()
+    vectors, idf = weighed(known, vocabulary, {r["w"]: r["count"] for r in counts}, rows.count(), threshold)
+    kind = "array<struct<license:string,n:int,x:array<double>,norm:double,must:array<int>,step:int,places:array<struct<w:int,at:int>>,tells:array<boolean>>>"
+    header = F.size(words(F.element_at(F.split(t, "\\n[ \\t\\r]*\\n", 2), 1)))
+    numbers = F.transform(words(t), lambda w: F.array_position(numbered, w).cast("int"))
+    one = lambda ns, size, x: lambda p: F.struct(best(ns, size, p, x, threshold).alias("b"), p["license"].alias("license"))
+    every = bound(numbers, lambda ns: bound(header, lambda size: bound(literal(idf, "array<double>"), lambda x: F.transform(literal(vectors, kind), one(ns, size, x)))))
+    found = rows.where(t.isNotNull()).select("row", "path", F.filter(every, lambda m: m["b"].isNotNull()).alias("found"))
+    least = F.array_min(F.transform("found", lambda m: F.struct((-F.round(m["b"]["c"], 9)).alias("c"), m["license"].alias("license"), (-m["b"]["part"]).alias("part"))))
+    own = common.cut(found.where(F.size("found") > 0).withColumn("b", least).select("row", "path", (-F.col("b.part")).alias("part"), F.col("b.license").alias("license"), (-F.col("b.c")).alias("cosine")))
 
     named = F.coalesce(F.upper(F.regexp_extract("path", "([^/]*)$", 1)).rlike("^(LICENSE|LICENCE|COPYING)"), F.lit(False))
     votes = own.withColumn("d", parent(F.col("path"))).where((F.col("d") != "") & (named | (F.col("part") >= 0.5))).groupBy("d", "license").agg(F.count("*").alias("n"), F.max(named).alias("file"))

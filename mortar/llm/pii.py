@@ -24,7 +24,9 @@ long runs of digits, dots or letters.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -139,11 +141,12 @@ def code_of(text: str, span: tuple[str, int, int], base: bool) -> int:
 
 def candidates(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
     """Looser spans that do not overlap a base span."""
-    out, taken = [], [(s, e) for _, s, e in base]
+    out, starts, reach = [], [s for _, s, _ in base], list(accumulate((e for *_, e in base), max))  # base is in order of start
     for kind in KINDS:
         last = -1
         for m in LOOSE[kind].finditer(text):
-            if m.start() >= last and all(m.end() <= s or e <= m.start() for s, e in taken):
+            before = bisect_left(starts, m.end())  # base spans that begin before its end
+            if m.start() >= last and (not before or reach[before - 1] <= m.start()):
                 out.append((kind, m.start(), m.end()))
                 last = m.end()
     return out

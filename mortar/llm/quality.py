@@ -9,8 +9,9 @@ length of words and lines) and minimises the non-negative unbiased risk
 The class prior pi is estimated: a positives-against-unlabelled model scores every
 row, and pi is the least ratio of the unlabelled to the positive score tails, with the
 deviation a tail of that many rows allows.  Means, deviations and tails are computed over all
-rows; the two fits use at most ``SAMPLE`` (20,000) rows of each side, those of least id
-hash, a bounded sample.
+rows.  Trusted positives are a bounded sample, the ``SAMPLE`` (20,000) of least id hash.  As many unlabelled rows
+give the scores for the prior and a first model; its last ``PASSES`` (12) steps take the risk's
+unlabelled part over all rows, summed on the executors.
 
 Labels are learnt only from rows outside the held-out fold (crc32 of the id as text, mod
 5, is 0); id, label, language and source are no inputs of the score.
@@ -23,6 +24,7 @@ Other columns are not read.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from operator import eq
 from typing import NamedTuple
 
@@ -33,7 +35,7 @@ from pyspark.sql import functions as F
 
 from . import common
 
-SAMPLE, FOLDS, BINS, THRESHOLD = 20_000, 5, 1000, 0.3
+SAMPLE, PASSES, FOLDS, BINS, THRESHOLD = 20_000, 12, 5, 1000, 0.3
 PUNCTUATION = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
@@ -64,6 +66,10 @@ def sigmoid(z: np.ndarray) -> np.ndarray:
     return 0.5 * (1 + np.tanh(z / 2))
 
 
+def apart(theta: np.ndarray) -> tuple[np.ndarray, float]:
+    return theta[:-1], float(theta[-1])
+
+
 class Model(NamedTuple):
     mean: np.ndarray
     scale: np.ndarray
@@ -80,7 +86,7 @@ class Model(NamedTuple):
 
         @F.arrow_udf("double")
         def scored(texts: pa.Array) -> pa.Array:
-            return pa.array(model.score(matrix(texts)))
+            return pa.array(model.score(matrix(texts).astype(np.float32).astype(float)))  # as features() stores them
 
         return scored(text.cast("binary"))
 
@@ -89,24 +95,42 @@ def held_out(id_: Column) -> Column:
     return F.crc32(F.coalesce(id_.cast("string"), F.lit("")).cast("binary")) % FOLDS == 0
 
 
-def descend(positive: np.ndarray, unlabelled: np.ndarray, prior: float | None, steps: int = 600, rate: float = 0.05, decay: float = 1e-4) -> tuple[np.ndarray, float]:
-    """Weights and bias.  Without a prior: positives against unlabelled, logistic loss.  With
+Risk = Callable[[np.ndarray], tuple[float, np.ndarray]]
+
+
+def side(x: np.ndarray) -> Risk:
+    """Mean score and mean gradient of the sigmoid loss over rows that end in a one."""
+
+    def at(theta: np.ndarray) -> tuple[float, np.ndarray]:
+        s = sigmoid(x @ theta)
+        return float(s.mean()), x.T @ (s * (1 - s)) / len(x)
+
+    return at
+
+
+def with_one(x: np.ndarray) -> np.ndarray:
+    return np.hstack([x, np.ones((len(x), 1))])
+
+
+def descend(positive: np.ndarray, unlabelled: np.ndarray | Risk, prior: float | None, start: np.ndarray | None = None, steps: int = 600, rate: float = 0.05, decay: float = 1e-4) -> np.ndarray:
+    """Weights and, last, the bias.  Without a prior: positives against unlabelled, logistic loss.  With
     one: the non-negative risk of the sigmoid loss, whose negative part gives no step while it is below 0."""
-    theta, m, v = np.zeros(positive.shape[1] + 1), 0.0, 0.0
-    p, u = (np.hstack([x, np.ones((len(x), 1))]) for x in (positive, unlabelled))
+    p = with_one(positive)
+    of_p, of_u = side(p), unlabelled if callable(unlabelled) else side(with_one(unlabelled))
+    theta, m, v = np.zeros(p.shape[1]) if start is None else start, 0.0, 0.0
     for t in range(1, steps + 1):
-        sp, su = sigmoid(p @ theta), sigmoid(u @ theta)
         if prior is None:
-            g = p.T @ (sp - 1) / len(p) + u.T @ su / len(u)
+            u = with_one(unlabelled)
+            g = p.T @ (sigmoid(p @ theta) - 1) / len(p) + u.T @ sigmoid(u @ theta) / len(u)
         else:
-            toward = p.T @ (sp * (1 - sp)) / len(p)
+            (mean_p, toward), (mean_u, away) = of_p(theta), of_u(theta)
             g = -prior * toward
-            if su.mean() - prior * sp.mean() >= 0:
-                g += u.T @ (su * (1 - su)) / len(u) - prior * toward
+            if mean_u - prior * mean_p >= 0:
+                g = g + away - prior * toward
         g[:-1] += decay * theta[:-1]
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         theta = theta - rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
-    return theta[:-1], float(theta[-1])
+    return theta
 
 
 def prior_of(positive: np.ndarray, unlabelled: np.ndarray) -> float:
@@ -144,7 +168,7 @@ def scores(rows: DataFrame, model: Model) -> DataFrame:
     return rows.withColumn("score", scored("x"))
 
 
-def fit(rows: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality", sample: int = SAMPLE) -> Model:
+def fit(rows: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality", sample: int = SAMPLE, passes: int = PASSES) -> Model:
     """A model from ``features()`` and labels; rows of the held-out fold are not used."""
     open_ = rows.where(~F.col("held_out"))
     trusted = labels.where(F.col(label_col) == 1).select(F.col(id_col).alias("id")).where(F.col("id").isNotNull()).distinct()
@@ -168,13 +192,13 @@ def fit(rows: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: s
         # only hashes low enough to hold the sample, with room, are sorted
         low = int((min(1.0, 1.2 * (sample + 100) / max(1, rows)) - 0.5) * 2**64)
         hashed = df.select("x", F.xxhash64("id").alias("h")).where(F.col("h") <= min(low, 2**63 - 1))
-        least = hashed.orderBy("h").limit(sample).select("x").toArrow()
+        least = hashed.orderBy("h", "x").limit(sample).select("x").toArrow()
         return np.clip((rows_of(least.column("x")) - mean) / scale, -8, 8)
 
     p, u = some(positive, positive.count()), some(open_, int(n[0]))
     if not len(p):
         return Model(mean, scale, np.zeros(WIDTH), 6.0, 1.0)
-    first = Model(mean, scale, *descend(p, u, None), 0.5)
+    first = Model(mean, scale, *apart(descend(p, u, None)), 0.5)
 
     def tails(df: DataFrame) -> np.ndarray:
         out = np.zeros(BINS)
@@ -184,7 +208,24 @@ def fit(rows: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: s
         return out
 
     prior = prior_of(tails(positive), tails(open_))
-    return Model(mean, scale, *descend(p, u, prior), prior)
+
+    def of_all(theta: np.ndarray) -> tuple[float, np.ndarray]:
+        """Mean score and gradient over all rows: one row a task, then one sum."""
+
+        def part(batches):
+            total = np.zeros(WIDTH + 2)
+            for b in batches:
+                x = with_one(np.clip((rows_of(b.column(0)) - mean) / scale, -8, 8))
+                s = sigmoid(x @ theta)
+                total += [s.sum(), *(x.T @ (s * (1 - s)))]
+            yield pa.RecordBatch.from_arrays([pa.array(range(WIDTH + 2), pa.int32()), pa.array(total)], names=["k", "s"])
+
+        got = open_.select("x").mapInArrow(part, "k int, s double").groupBy("k").agg(F.sum("s")).orderBy("k").collect()
+        total = np.array([r[1] for r in got]) / n[0]
+        return float(total[0]), total[1:]
+
+    theta = descend(p, u, prior)
+    return Model(mean, scale, *apart(descend(p, of_all, prior, theta, passes, 0.005)), prior)
 
 
 def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", threshold: float = THRESHOLD) -> DataFrame:

@@ -33,6 +33,8 @@ def shared_folder(spark: SparkSession) -> str:
     context = spark.sparkContext
     if not context.getCheckpointDir():
         named = context.getConf().get("spark.checkpoint.dir")
+        if not named and not context.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="mortar-"))
     return context.getCheckpointDir()
 
@@ -43,6 +45,14 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def unused(df: DataFrame, stem: str) -> str:
+    """A column name that ``df`` does not have."""
+    name = f"_{stem}"
+    while name.lower() in {c.lower() for c in df.columns}:
+        name = f"_{name}"
+    return name
+
+
 def small_batches(spark: SparkSession, size: str = "8m") -> None:
     """Arrow batches of at most ``size`` for the session, so that a batch of long texts stays small in every worker."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)

@@ -150,15 +150,25 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = 3) -> DataFrame:
-    """``docs`` with one row of each component: that of the smallest id (one of them, if rows share it)."""
-    rooted = classes(common.cut(fingerprints(docs, id_col, text_col)), distance)
+    """``docs`` with one row of each component: that of the smallest id (of rows that share it and the fingerprint, the first by content).
+
+    Whole rows are shuffled once, by id; only rows whose id is null or comes again are hashed once more."""
+    each = common.cut(fingerprints(docs, id_col, text_col))
+    rooted = classes(each, distance)
     first = F.min(F.struct(F.col("rep").isNull().alias("none"), "rep", "fp")).alias("m")
-    kept = rooted.groupBy("root").agg(first).select(F.col("m.rep").alias("_rep"), F.col("m.fp").alias("_kept"))
+    rep, kept_fp, fp = (common.unused(docs, x) for x in ("rep", "kept", "fp"))
+    kept = common.cut(rooted.groupBy("root").agg(first).select(F.col("m.rep").alias(rep), F.col("m.fp").alias(kept_fp)))
+    again = common.cut(each.groupBy("id").count().where("count > 1 or id is null").select(F.col("id").alias(rep)))
+    single = docs.join(kept.join(again, rep, "left_anti").where(F.col(rep).isNotNull()), F.col(id_col) == F.col(rep), "left_semi")
+    if again.isEmpty():
+        return single
 
     @F.arrow_udf("long")
-    def fp(texts: pa.Array) -> pa.Array:
+    def hashed(texts: pa.Array) -> pa.Array:
         return pa.array(np.fromiter((fingerprint(t.as_py()) for t in texts), np.uint64, len(texts)).view(np.int64))
 
-    seen = docs.withColumn("_fp", fp(F.col(text_col).cast("binary")))
-    found = seen.join(kept, (F.col("_fp") == F.col("_kept")) & F.col(id_col).eqNullSafe(F.col("_rep")), "left_semi")
-    return found.dropDuplicates([id_col, "_fp"]).drop("_fp")
+    shared = docs.join(again, F.col(id_col).eqNullSafe(F.col(rep)), "left_semi").withColumn(fp, hashed(F.col(text_col).cast("binary")))
+    found = shared.join(kept, (F.col(fp) == F.col(kept_fp)) & F.col(id_col).eqNullSafe(F.col(rep)), "left_semi")
+    row = F.struct(*docs.columns)
+    one = found.groupBy(id_col, fp).agg(F.min_by(row, F.struct(F.col(text_col), F.xxhash64(F.to_json(row)))).alias(rep))
+    return single.unionByName(one.select(f"{rep}.*"))

@@ -26,6 +26,7 @@ import math
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 from pyspark.sql.window import Window
 
 from . import common
@@ -42,12 +43,13 @@ def ordinal(text: Column) -> Column:
 def metadata(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     raw = F.col(text_col).cast("binary")
     named = {c: F.col(c) if c in docs.columns else F.lit(None).cast("string") for c in ("lang", "source")}
+    number = F.col(id_col).cast("long") if isinstance(docs.schema[id_col].dataType, NumericType) else ordinal(F.col(id_col).cast("string"))
     rows = docs.select(
         F.col(id_col).alias("_id"),
         (F.coalesce(F.octet_length(raw), F.lit(0)).cast("long") + 1).alias("size"),
         F.coalesce(F.crc32(raw), F.lit(0)).cast("long").alias("text_crc32"),
         *[F.coalesce(ordinal(c.cast("string")), F.lit(-1)).alias(name) for name, c in named.items()],
-        F.coalesce(F.col(id_col).cast("long"), F.lit(-1)).alias("id"),
+        F.coalesce(number, F.lit(-1)).alias("id"),
         F.monotonically_increasing_id().alias("_row"),
     )
     tie = F.pmod(F.xxhash64("_id", "text_crc32", "_row"), F.lit(1 << TIE_BITS))

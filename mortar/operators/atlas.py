@@ -67,3 +67,8 @@ def second(chart: Chart, x: list[Column], grad: list[Column], hess: list[list[Co
             row.append(v)
         out.append(row)
     return out
+
+
+def mapped(region, chart: Chart):
+    """A physical region as a predicate over logical positions, for the stencil points of ``locate.interpolate``."""
+    return lambda *xs: region(*chart.map(list(xs)))

@@ -51,14 +51,20 @@ def ancestors(nodes: DataFrame, dims: int, *keep: str, strict: bool = False) ->
 def numbered(leaves: DataFrame, dims: int, levels: int) -> DataFrame:
     """Adds ``skey`` (the place on the curve) and ``leaf`` (the rank along it, from 1).
 
-    Ranks come from the counts of buckets of the curve's high bits and a window within each bucket,
-    so no task holds all leaves."""
-    low = dims * max(0, levels - 4)
-    rows = leaves.withColumn("skey", morton(dims, levels)).withColumn("_b", F.shiftright("skey", low))
-    counts = rows.groupBy("root", "_b").agg(F.count("*").alias("_n"))
-    before = counts.withColumn("_from", F.sum("_n").over(Window.orderBy("root", "_b")) - F.col("_n")).drop("_n")
-    rank = F.row_number().over(Window.partitionBy("root", "_b").orderBy("skey"))
-    return rows.withColumn("_r", rank).join(before, ["root", "_b"]).withColumn("leaf", (F.col("_from") + F.col("_r")).cast("long")).drop("_b", "_r", "_from")
+    Ranks are sums of counts: buckets of the curve's first levels, buckets of the next levels inside each, and so on, then a
+    window inside the last.  A window holds one row a bucket of one tier, 2**12 at most (times the roots in the first),
+    so neither many leaves nor a mesh refined into one corner meet in a task."""
+    tier = 6 if dims < 3 else 4
+    rows, keys, rank = leaves.withColumn("skey", morton(dims, levels)), ["root"], F.lit(0).cast("long")
+    for k, depth in enumerate(range(tier, max(levels, 1) + tier, tier)):
+        name = f"_b{k}"
+        rows = rows.withColumn(name, F.shiftright("skey", dims * max(0, levels - depth)))
+        counts = rows.groupBy(*keys, name).agg(F.count("*").alias("_n"))
+        ahead = Window.orderBy("root", name) if k == 0 else Window.partitionBy(*keys).orderBy(name)
+        rows = rows.join(counts.withColumn(f"_f{k}", F.sum("_n").over(ahead) - F.col("_n")).drop("_n"), [*keys, name])
+        keys, rank = [*keys, name], rank + F.col(f"_f{k}")
+    within = F.row_number().over(Window.partitionBy(*keys).orderBy("skey"))
+    return rows.withColumn("leaf", (rank + within).cast("long")).select(*leaves.columns, "skey", "leaf")
 
 
 def occupied(cells: DataFrame, dims: int, levels: int, *sums: str) -> DataFrame:
@@ -99,6 +105,7 @@ def covering(leaves: DataFrame, keys: DataFrame, dims: int, key_id: str) -> Data
 def step(nodes: DataFrame, mesh: MeshSpec, *keep: str) -> DataFrame:
     """Each node's same-level neighbours ``n_root, level, n_c1 ..`` across every direction ``d1 ..``; steps beyond
     a face that is not periodic are left out."""
+    mesh.without_seam()
     dims = mesh.dims
     dirs = F.array(*[F.struct(*[F.lit(x).alias(f"d{d + 1}") for d, x in enumerate(s)]) for s in directions(dims)])
     rows = nodes.withColumn("_dir", F.explode(dirs)).select(*keep, *node(dims), *[F.col(f"_dir.d{d + 1}").alias(f"d{d + 1}") for d in range(dims)])
@@ -169,19 +176,22 @@ def is_balanced(leaves: DataFrame, mesh: MeshSpec) -> DataFrame:
 
 
 def check_tiling(leaves: DataFrame, mesh: MeshSpec, levels: int) -> DataFrame:
-    """One row: leaves, leaves that overlap the one before on the curve, and whether they tile the brick exactly.
+    """One row: leaves, leaves that stand twice or below another leaf, and whether they tile the brick exactly.
 
-    Volumes are counted in finest cells, exactly."""
+    Volumes are counted in finest cells, exactly; overlaps are equi-joins with the leaves' ancestors."""
     dims = mesh.dims
-    size = F.call_function("shiftleft", F.lit(1).cast("long"), (F.lit(levels) - F.col("level")) * dims)
-    rows = leaves.withColumn("skey", morton(dims, levels)).withColumn("_v", size)
-    before = F.lag(F.col("skey") + F.col("_v")).over(Window.partitionBy("root").orderBy("skey"))
-    total = 1
+    keys, total = node(dims), 1
     for r in mesh.roots:
         total *= r
-    gaps = rows.withColumn("_bad", (F.coalesce(before, F.lit(0)) != F.col("skey")).cast("long"))
+    size = F.call_function("shiftleft", F.lit(1).cast("long"), (F.lit(levels) - F.col("level")) * dims)
+    each = leaves.groupBy(*keys).agg(F.count("*").alias("_k"))
+    tagged = each.withColumns({f"_{c}": F.col(c) for c in keys})
+    below = ancestors(tagged, dims, *[f"_{c}" for c in keys], strict=True).join(each.select(*keys), keys, "left_semi").select(*[F.col(f"_{c}").alias(c) for c in keys]).distinct()
+    marked = each.join(below.withColumn("_below", F.lit(1)), keys, "left")
+    bad = F.when(F.col("_below") == 1, F.col("_k")).otherwise(F.col("_k") - 1)
+    sums = marked.withColumns({"_bad": bad.cast("long"), "_v": size * F.col("_k")})
     full = F.sum("_v") == total * (1 << (dims * levels))
-    return gaps.agg(F.count("*").alias("n_leaves"), F.coalesce(F.sum("_bad"), F.lit(0)).alias("n_misplaced"), (full & (F.sum("_bad") == 0)).alias("tiles"))
+    return sums.agg(F.coalesce(F.sum("_k"), F.lit(0)).alias("n_leaves"), F.coalesce(F.sum("_bad"), F.lit(0)).alias("n_misplaced"), F.coalesce(full & (F.sum("_bad") == 0), F.lit(False)).alias("tiles"))
 
 
 def split_parts(leaves: DataFrame, parts: int) -> DataFrame:

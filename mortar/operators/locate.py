@@ -59,6 +59,13 @@ def locate(query: DataFrame, leaves: DataFrame, mesh: MeshSpec, levels: int, out
     return out
 
 
+def multi_indices(dims: int, order: int) -> list[tuple[int, ...]]:
+    """The derivatives of total order ``order`` (2 at most) and less, lower orders first."""
+    if not 0 <= order <= 2:
+        raise ValueError("derivatives of total order 2 at most")
+    return sorted((m for m in product(range(order + 1), repeat=dims) if sum(m) <= order), key=lambda m: (sum(m), [-k for k in m]))
+
+
 def lagrange_columns(y: Column, first: Column, n: int, derivative: int = 0) -> list[Column]:
     """Weights of ``n`` nodes at ``first`` + k for the value, first or second derivative at ``y`` (in cells)."""
     t, out = y - first, []
@@ -160,6 +167,34 @@ def uniform_grid(spark, mesh: MeshSpec, counts: tuple[int, ...]) -> DataFrame:
     return out
 
 
+def box_grid(spark, lo: tuple[float, ...], hi: tuple[float, ...], counts: tuple[int, ...]) -> DataFrame:
+    """``(pid, x1 ..)``: a regular grid that fills the box, both corners included; one point along a dimension lies at ``lo``."""
+    if not len(lo) == len(hi) == len(counts) or min(counts) < 1:
+        raise ValueError("a corner, a corner and a positive count for each dimension")
+    zero = [0.0] * len(lo)
+    steps = [(b - a) / (n - 1) if n > 1 else 0.0 for a, b, n in zip(lo, hi, counts, strict=True)]
+    return affine_grid(spark, lo, tuple(tuple(s if d == k else 0.0 for d in range(len(zero))) for k, s in enumerate(steps)), counts)
+
+
+def affine_grid(spark, origin: tuple[float, ...], axes: tuple[tuple[float, ...], ...], counts: tuple[int, ...]) -> DataFrame:
+    """``(pid, x1 ..)``: the points origin + sum of i_k axes[k], i_k from 0, the first axis fastest: a line, plane or box at any angle."""
+    if not 1 <= len(axes) <= len(origin) or any(len(a) != len(origin) for a in axes) or len(counts) != len(axes) or min(counts) < 1:
+        raise ValueError("one to D axes of D components, and a positive count for each")
+    total = 1
+    for n in counts:
+        total *= n
+    out, stride, xs = spark.range(total).withColumnRenamed("id", "pid"), 1, [F.lit(float(o)) for o in origin]
+    for axis, n in zip(axes, counts, strict=True):
+        k = (F.floor(F.col("pid") / stride) % n).cast("double")
+        xs, stride = [x + k * F.lit(float(a)) for x, a in zip(xs, axis, strict=True)], stride * n
+    return out.select("pid", *[x.alias(f"x{d + 1}") for d, x in enumerate(xs)])
+
+
+def patch_grid(grid: DataFrame, patch: int) -> DataFrame:
+    """A grid's points as points of a patch of a forest: ``(pid, patch, x1 ..)``."""
+    return grid.select("pid", F.lit(patch).alias("patch"), *[c for c in grid.columns if c != "pid"])
+
+
 def lattice(leaves: DataFrame, mesh: MeshSpec, k: int) -> DataFrame:
     """``(pid, leaf, x1 ..)``: the k**D sub-centres of every cell, located without a search."""
     rows = with_geometry(leaves, mesh)

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mortar.functions.keys import coords, node, shift_left, shift_right
+from mortar.functions.lineage import cut
+from mortar.operators import leaves as tree
 from mortar.operators.leaves import ancestors
 from mortar.plans.patches import PatchMesh
 from mortar.plans.spec import directions
@@ -56,35 +58,85 @@ def step(leaves: DataFrame, mesh: PatchMesh) -> DataFrame:
                     xs.append(F.lit(0).cast("long") if g.side2 == 0 else top(mesh.patches[g.q][e]))
                 else:
                     xs.append(top(mesh.patches[p][a]) - x if g.flip[e] else x)
-            pieces.append(placed(across, xs, g.q, k, mesh))
+            there = [F.lit(1 if g.side2 == 0 else -1) if e == g.d2 else F.col(f"d{g.perm[e] + 1}") * (-1 if g.flip[e] else 1) for e in range(dims)]
+            pieces.append(placed(across, xs, g.q, k, mesh, there))
         for piece in pieces:
             parts = piece if parts is None else parts.unionByName(piece)
     return parts
 
 
-def placed(rows: DataFrame, xs: list[Column], patch: int, glue: int | None, mesh: PatchMesh) -> DataFrame:
-    """Positions in a patch, in cells of the level, to root and coordinates."""
+def placed(rows: DataFrame, xs: list[Column], patch: int, glue: int | None, mesh: PatchMesh, there: list[Column] | None = None) -> DataFrame:
+    """Positions in a patch, in cells of the level, to root and coordinates; ``there`` is the direction seen in that patch."""
     root, stride, out = F.lit(mesh.first_roots[patch]), 1, []
     for x, n, c in zip(xs, mesh.patches[patch], coords(mesh.dims), strict=True):
         whole = shift_right(x, F.col("level"))
         root, stride = root + whole * stride, stride * n
         out.append((x - shift_left(whole, F.col("level"))).alias(c))
-    return rows.select("leaf", *[f"d{d + 1}" for d in range(mesh.dims)], F.lit(glue).cast("int").alias("crossed"), root.cast("int").alias("root"), "level", *out)
+    ds = [F.col(f"d{d + 1}") for d in range(mesh.dims)]
+    seen = [t.cast("int").alias(f"t{d + 1}") for d, t in enumerate(there or ds)]
+    return rows.select("leaf", *ds, *seen, F.lit(glue).cast("int").alias("crossed"), root.cast("int").alias("root"), "level", *out)
 
 
 def neighbours(leaves: DataFrame, mesh: PatchMesh) -> DataFrame:
-    """``(leaf, d1 .., crossed, neighbour)``: the leaf that is, or covers, each stepped node."""
-    ds = [f"d{d + 1}" for d in range(mesh.dims)]
-    known = leaves.select(*node(mesh.dims), F.col("leaf").alias("neighbour"))
-    return ancestors(step(leaves, mesh), mesh.dims, "leaf", *ds, "crossed").join(known, node(mesh.dims)).select("leaf", *ds, "crossed", "neighbour")
+    """``(leaf, d1 .., crossed, neighbour)``: the leaf that is, or covers, each stepped node, else all leaves inside
+    it that touch the shared face, edge or corner."""
+    dims = mesh.dims
+    ds, ts, cs = ([f"{x}{d + 1}" for d in range(dims)] for x in "dtc")
+    anchors = step(leaves, mesh)
+    known = leaves.select(*node(dims), F.col("leaf").alias("neighbour"))
+    above = ancestors(anchors, dims, "leaf", *ds, "crossed").join(known, node(dims)).select("leaf", *ds, "crossed", "neighbour")
+    fine = leaves.select(*node(dims), F.col("leaf").alias("neighbour"), F.col("level").alias("_l"), *[F.col(c).alias(f"_f_{c}") for c in cs])
+    under = ancestors(fine, dims, "neighbour", "_l", *[f"_f_{c}" for c in cs], strict=True)
+    both, near = anchors.join(under, node(dims)), F.lit(True)
+    for t, c in zip(ts, cs, strict=True):
+        gap = F.col("_l") - F.col("level")
+        low, high = F.col(f"_f_{c}") == shift_left(F.col(c), gap), F.col(f"_f_{c}") == shift_left(F.col(c) + 1, gap) - 1
+        near = near & F.when(F.col(t) == 1, low).when(F.col(t) == -1, high).otherwise(True)
+    return above.unionByName(both.where(near).select("leaf", *ds, "crossed", "neighbour"))
+
+
+def across_faces(nodes: DataFrame, mesh: PatchMesh) -> DataFrame:
+    """The same-level nodes that ``nodes`` meet across glued faces, with the ``leaf`` they were met from."""
+    flat = sum((F.abs(F.col(f"d{d + 1}")) for d in range(mesh.dims)), F.lit(0)) == 1
+    return step(nodes, mesh).where(F.col("crossed").isNotNull() & flat).select("leaf", *node(mesh.dims))
+
+
+def balance(leaves: DataFrame, mesh: PatchMesh, levels: int) -> DataFrame:
+    """The coarsest refinement in which touching leaves differ by one level at most, and by none across a glued face.
+
+    A sweep from the finest level; a level's nodes are closed under siblings and images across glue before their parents' are made."""
+    dims, keys, inner = mesh.dims, leaves.select(*node(mesh.dims)), None
+    need = cut(keys.where(F.col("level") == levels))
+    for level in range(levels, 0, -1):
+        n = need.count()
+        while n:
+            whole = tree.children(tree.parent(need, dims).distinct(), dims).withColumn("leaf", F.lit(0))
+            more = cut(need.unionByName(across_faces(whole, mesh).select(*node(dims))).distinct())
+            if (grown := more.count()) == n:
+                break
+            need, n = more, grown
+        up = cut(tree.parent(need, dims).distinct())
+        inner = up if inner is None else inner.unionByName(up)
+        around = step(up.withColumn("leaf", F.lit(0)), mesh).select(*node(dims))
+        need = cut(keys.where(F.col("level") == level - 1).unionByName(up).unionByName(around).distinct())
+    if inner is None:
+        return keys
+    return roots(leaves.sparkSession, mesh).unionByName(tree.children(inner, dims)).join(inner, node(dims), "left_anti")
+
+
+def mismatched(leaves: DataFrame, mesh: PatchMesh) -> DataFrame:
+    """``(leaf)``: leaves that meet no leaf of their own level across a glued face."""
+    return across_faces(leaves, mesh).join(leaves.select(*node(mesh.dims)), node(mesh.dims), "left_anti").select("leaf").distinct()
 
 
 def glued_ghosts(points: DataFrame, leaves: DataFrame, mesh: PatchMesh, ghosts: int, scalars: tuple[str, ...] = (), vector: tuple[str, ...] = ()) -> DataFrame:
-    """Ghosts across glued faces from leaves of the same level: ``(leaf, i1 .., scalars, vector)``.
+    """Ghosts across glued faces, where all leaves must be of one level: ``(leaf, i1 .., scalars, vector)``.
 
     A ghost cell's place beyond the face is mapped into the other patch; a vector's components are read through the
     axis map, with the sign of its flips.  Stored indices count from 1, ``ghosts`` first."""
     dims, bits, cs = mesh.dims, mesh.cells.bit_length() - 1, coords(mesh.dims)
+    if not mismatched(leaves, mesh).isEmpty():
+        raise ValueError("leaves of two levels meet across a glued face; balance the forest")
     if 1 << bits != mesh.cells:
         raise ValueError("cells per block must be a power of two")
     names = [f"i{d + 1}" for d in range(dims)]

@@ -125,3 +125,25 @@ def solve(a: Matrix, b: Matrix) -> Matrix:
             if r != k and rows[r][k]:
                 rows[r] = [x - rows[r][k] * y for x, y in zip(rows[r], rows[k], strict=True)]
     return [r[n:] for r in rows]
+
+
+def stencil(kind: str, n: int, g: int, order: int, step: int, offset: int, whole: bool) -> dict[int, list[tuple[int, float]]]:
+    """One dimension of a transfer between blocks of ``n`` points.  Across a face the source's face node is copied; along it
+    parents are interpolated and children restricted, or, when whole blocks move (``whole``), projected."""
+    if step:
+        return {g + n + 1: [(g + 1, 1.0)]} if step > 0 else {g: [(g + n, 1.0)]}
+    width = order + 1
+    if kind == "copy":
+        return {g + 1 + k: [(g + 1 + k, 1.0)] for k in range(n)}
+    half, out = n // width // 2, {}  # of the block's elements
+    if kind == "prolong":
+        table = interpolation(order)
+        for k in range(n):
+            parent, side = divmod(offset * n // width + k // width, 2)
+            out[g + 1 + k] = [(g + 1 + parent * width + b, float(w)) for b, w in enumerate(table[side * width + k % width])]
+        return out
+    table = coarsening(order) if whole else restriction(order)
+    for k in range(half * width):
+        first = g + 1 + k // width * 2 * width
+        out[g + 1 + offset * half * width + k] = [(first + f, float(w)) for f, w in enumerate(table[k % width])]
+    return out

@@ -7,6 +7,8 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from mortar.plans.spec import MeshSpec
+
 
 @dataclass(frozen=True)
 class Glue:
@@ -60,6 +62,11 @@ class PatchMesh:
     def dims(self) -> int:
         return len(self.patches[0])
 
+    @property
+    def corners(self) -> list[int]:
+        """Patches glued along two dimensions or more: an edge of theirs is met through two faces."""
+        return [p for p in range(len(self.patches)) if len({g.d for g in self.glue if g.p == p}) > 1]
+
     @property
     def first_roots(self) -> list[int]:
         out, at = [], 0
@@ -96,3 +103,19 @@ def half_turn(roots: tuple[int, int], cells: int = 4) -> PatchMesh:
     if roots[1] % 2:
         raise ValueError("a half turn needs an even number of roots across")
     return PatchMesh((roots,), both_ways(Glue(0, 0, 0, 0, 0, 0, (0, 1), (True, True))), cells)
+
+
+def of_brick(mesh: MeshSpec) -> PatchMesh:
+    """The forest of one patch whose glue is a brick's seam: the low faces of the two dimensions meet by a quarter turn, or
+    the first one's low face meets itself by a half turn."""
+    axes = list(range(mesh.dims))
+    if mesh.rotating:
+        a, b = mesh.rotating
+        axes[a], axes[b] = b, a
+        seam = Glue(0, a, 0, 0, b, 0, tuple(axes), tuple(d == b for d in range(mesh.dims)))
+    elif mesh.halfturn:
+        a, b = mesh.halfturn
+        seam = Glue(0, a, 0, 0, a, 0, tuple(axes), tuple(d in (a, b) for d in range(mesh.dims)))
+    else:
+        return PatchMesh((mesh.roots,), (), mesh.cells)
+    return PatchMesh((mesh.roots,), both_ways(seam), mesh.cells)

@@ -68,6 +68,11 @@ class MeshSpec:
     def dims(self) -> int:
         return len(self.roots)
 
+    def without_seam(self) -> None:
+        """Refuses a brick with a seam where steps across it are not followed; ``patches.of_brick`` gives the forest that follows them."""
+        if self.rotating or self.halfturn:
+            raise ValueError("a brick with a seam is stepped through as a forest of patches")
+
     @property
     def root_spacing(self) -> float:
         lo, hi = self.extents[0]
@@ -167,19 +172,22 @@ def staggers(dims: int) -> list[tuple[str, ...]]:
 
 @dataclass(frozen=True)
 class Operators:
-    """An operator family and its orders; there are no default orders."""
+    """An operator family and its orders; there are no default orders.
+
+    ``vertex_prolongation`` is the even order that a conservative set takes along its vertex dimensions."""
 
     family: str
     prolongation: int = 0
     restriction: int = 0
     bounded: bool = False
+    vertex_prolongation: int = 0
 
     def __post_init__(self) -> None:
         p, r = self.prolongation, self.restriction
         if self.family not in FAMILIES:
             raise ValueError("unknown family")
         if self.family == "element":
-            if p or r or self.bounded:
+            if p or r or self.bounded or self.vertex_prolongation:
                 raise ValueError("the element family takes no orders")
         elif self.family == "point":
             if p < 2 or r < 2 or p % 2 or r % 2:
@@ -187,19 +195,30 @@ class Operators:
         elif p < 1 or p % 2 == 0 or r != 2 or (self.bounded and p > 3):
             raise ValueError("the conservative family needs an odd prolongation (1 or 3 if bounded) and restriction 2")
 
+        if v := self.vertex_prolongation:
+            if self.family != "conservative" or v < 2 or v % 2 or self.bounded:
+                raise ValueError("vertex_prolongation is an even order of the unbounded conservative family")
+
+    def order_along(self, stagger: int) -> int:
+        """The order of prolongation along a cell (0) or vertex (1) dimension."""
+        return self.vertex_prolongation if stagger and self.family == "conservative" else self.prolongation
+
     def check(self, layout: Layout, cells: int) -> None:
         """Whether a layout has the ghosts and cells that the orders need."""
         layout.check(cells)
         p, r = self.prolongation, self.restriction
         for g, kind in zip(layout.ghosts, layout.centering, strict=True):
+            if (kind == "element") != (self.family == "element"):
+                raise ValueError("element sets take the element family, and no other sets do")
             if kind == "element":
-                if self.family != "element":
-                    raise ValueError("element sets take the element family")
-            elif self.family == "point" and kind == "cell":
+                continue
+            if kind == "vertex" and not self.order_along(1):
+                raise ValueError("a conservative set with a vertex dimension needs vertex_prolongation")
+            if self.family == "point" and kind == "cell":
                 if g < p // 2 or cells < 2 * g + r // 2 - 1 or cells < r:
                     raise ValueError("too few ghosts or cells for these orders")
             elif self.family == "conservative" and kind == "cell":
                 if g < (p - 1) // 2:
                     raise ValueError("too few ghosts for this prolongation")
-            elif kind == "vertex" and g < p // 2 - 1:
+            elif kind == "vertex" and g < self.order_along(1) // 2 - 1:
                 raise ValueError("too few ghosts for this prolongation")

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from mortar.functions.keys import coords, node
 from mortar.operators import leaves as tree
-from mortar.plans import weights
+from mortar.plans import elements, weights
 from mortar.plans.spec import Layout, MeshSpec, Operators, directions
 
 
@@ -28,6 +28,10 @@ def group_column(kind: Column, steps: list[Column], offsets: list[Column]) -> Co
 
 def stencils(kind: str, step: tuple[int, ...], offset: tuple[int, ...], mesh: MeshSpec, layout: Layout, ops: Operators) -> list[weights.Stencil]:
     out = []
+    if layout.centering[0] == "element":
+        if sum(map(abs, step)) > 1:
+            return [{}]  # only face ghosts of elements are filled
+        return [elements.stencil(kind, mesh.cells, g, layout.order, s, o, not any(step)) for g, s, o in zip(layout.ghosts, step, offset, strict=True)]
     for d, s, o in zip(range(mesh.dims), step, offset, strict=True):
         shape = mesh.cells, layout.ghosts[d], layout.stagger[d]
         if kind == "copy":
@@ -35,7 +39,7 @@ def stencils(kind: str, step: tuple[int, ...], offset: tuple[int, ...], mesh: Me
         elif kind == "restrict":
             out.append(weights.restrict(*shape, s, o, ops.restriction))
         else:
-            out.append(weights.prolong(*shape, s, o, ops.prolongation, ops.family == "conservative"))
+            out.append(weights.prolong(*shape, s, o, ops.order_along(layout.stagger[d]), ops.family == "conservative"))
     return out
 
 
@@ -61,11 +65,13 @@ def bounds(mode: str, found: list[weights.Stencil], linear: list[weights.Stencil
     return False, role, [1 if row[2][1] > row[0][1] else -1 for row in rows]
 
 
-def taps(spark: SparkSession, mesh: MeshSpec, layout: Layout, ops: Operators, steps: list[tuple[int, ...]] | None = None) -> DataFrame:
+def tap_rows(mesh: MeshSpec, layout: Layout, ops: Operators, steps: list[tuple[int, ...]] | None = None) -> list[tuple]:
     """``(grp, t1 .., s1 .., w)``: every group's weights, zero weights left out; bounded operators add mode, near, role, g1 .."""
     ops.check(layout, mesh.cells)
     if ops.bounded and ops.family == "conservative" and any(layout.stagger):
         raise ValueError("bounded conservative prolongation takes cells in all dimensions")
+    if layout.centering[0] == "element" and not all(layout.ghosts) and steps is None:
+        raise ValueError("an element set without ghosts has none to fill")
     rows, zero = [], (0,) * mesh.dims
     plain = replace(ops, prolongation=2, restriction=2) if ops.family == "point" else ops
     for step in steps or directions(mesh.dims):
@@ -80,9 +86,22 @@ def taps(spark: SparkSession, mesh: MeshSpec, layout: Layout, ops: Operators, st
                         more = [bounds(mode, found, linear, r[1 : 1 + d], r[1 + d : 1 + 2 * d]) if mode else (False, -1, zero) for r in each]
                         each = [(*r, mode, near, role, *sides) for r, (near, role, sides) in zip(each, more, strict=True)]
                     rows += each
+    return rows
+
+
+def taps(spark: SparkSession, mesh: MeshSpec, layout: Layout, ops: Operators, steps: list[tuple[int, ...]] | None = None, rows: list[tuple] | None = None) -> DataFrame:
+    """``tap_rows`` as a table."""
     names = [f"{x}{d + 1} int" for x in "ts" for d in range(mesh.dims)]
     extra = ", mode string, near boolean, role int, " + ", ".join(f"g{d + 1} int" for d in range(mesh.dims)) if ops.bounded else ""
-    return spark.createDataFrame(rows, f"grp string, {', '.join(names)}, w double{extra}")
+    return spark.createDataFrame(tap_rows(mesh, layout, ops, steps) if rows is None else rows, f"grp string, {', '.join(names)}, w double{extra}")
+
+
+def waiting(rows: list[tuple], mesh: MeshSpec, layout: Layout) -> list[str]:
+    """Groups that read ghosts, so that they must wait for the stage that fills them; all others read owned points alone
+    and go into one stage, whatever their level."""
+    owned = layout.owned(mesh.cells)
+    first = 1 + mesh.dims
+    return sorted({r[0] for r in rows if any(x not in o for x, o in zip(r[first : first + mesh.dims], owned, strict=True))})
 
 
 def ghost_transfers(leaves: DataFrame, mesh: MeshSpec) -> DataFrame:

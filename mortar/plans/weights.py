@@ -10,7 +10,7 @@ from __future__ import annotations
 from fractions import Fraction
 from functools import cache
 from itertools import product
-from math import ceil, floor
+from math import floor
 
 Stencil = dict[int, list[tuple[int, Fraction]]]
 
@@ -54,55 +54,55 @@ def copy(n: int, g: int, c: int, step: int) -> Stencil:
     return {j: [(j - n * step, Fraction(1))] for j in targets(n, g, c, step)}
 
 
+def window(order: int, at: Fraction, first: int, last: int) -> list[tuple[int, Fraction]]:
+    """The ``order`` rows around ``at``, moved into ``first`` .. ``last``, and their weights; a place outside them is refused."""
+    low = min(max(floor(at) - order // 2 + 1, first), last - order + 1)
+    if low < first or not low <= at <= low + order - 1:
+        raise ValueError("the stencil would extrapolate")
+    return [(low + k, w) for k, w in enumerate(lagrange(order, at - low))]
+
+
 def restrict(n: int, g: int, c: int, step: int, offset: int, order: int) -> Stencil:
     """From a finer source with child offset ``offset``; windows stay inside the fine interior."""
-    rows = targets(n, g, c, step, "restrict", offset)
-    if step:  # only the part of the ghosts that this source covers
-        rows = [j for j in rows if covers(n, g, c, j, step, offset)]
     out = {}
-    for j in rows:
-        fine = g + 1 + 2 * (j - n * step - g - 1) - offset * n
-        if c:
-            out[j] = [(fine, Fraction(1))]
-        else:
-            low = min(max(fine - order // 2 + 1, g + 1), g + n - order + 1)
-            out[j] = [(low + k, w) for k, w in enumerate(lagrange(order, Fraction(2 * (fine - low) + 1, 2)))]
-    return {j: row for j, row in out.items() if all(g < s <= g + n + c for s, _ in row)}
-
-
-def covers(n: int, g: int, c: int, j: int, step: int, offset: int) -> bool:
-    """Whether the fine source with this offset holds the coarse row ``j`` across ``step``."""
-    q = j - n * step - g - 1
-    return offset * n // 2 <= q < offset * n // 2 + n // 2 + c
-
-
-def source_step(step: int, offset: int) -> int:
-    """The coarse source's own step, seen from the target's parent."""
-    return 1 if step > 0 and offset == 1 else -1 if step < 0 and offset == 0 else 0
+    for j in targets(n, g, c, step, "restrict", offset):
+        place = j - n * step - g - 1  # in the source's parent, from 0
+        if 0 <= place - offset * n // 2 < n // 2 + c:
+            fine = Fraction(2 * place - offset * n + g + 1)
+            row = [(int(fine), Fraction(1))] if c else window(order, fine + Fraction(1, 2), g + 1, g + n)
+            if all(g < s <= g + n + c for s, _ in row):
+                out[j] = row
+    return out
 
 
 def prolong(n: int, g: int, c: int, step: int, offset: int, order: int, conservative: bool) -> Stencil:
-    """From a coarser source, for a target with child offset ``offset``."""
-    origin = -n * source_step(step, offset) + g + 1
-    last = n + 2 * g + c
-    out = {}
+    """From a coarser source, for a target with child offset ``offset``; ``conservative`` by averages of cells."""
+    across = step if (step > 0) == bool(offset) else 0  # the source's step, seen from the target's parent
+    first, out = g + 1 - n * across, {}
     for j in targets(n, g, c, step):
-        fine = offset * n + j - g - 1
+        fine = offset * n + j - g - 1  # in half cells of the parent, from 0
         if conservative and not c:
-            k = fine // 2
-            out[j] = [(k - (order - 1) // 2 + origin + i, w) for i, w in enumerate(subcell(order)[fine % 2])]
-            continue
-        if c:
-            at = Fraction(fine, 2) + origin
-            low = floor(Fraction(fine, 2)) - order // 2 + 1 + origin
+            low = first + fine // 2 - order // 2
+            out[j] = [(low + k, w) for k, w in enumerate(subcell(order)[fine % 2])]
         else:
-            at = Fraction(fine, 2) - Fraction(1, 4) + origin
-            low = ceil(Fraction(fine, 2)) - order // 2 + origin
-        low = min(max(low, 1), last - order + 1)
-        out[j] = [(low + k, w) for k, w in enumerate(lagrange(order, at - low))]
+            out[j] = window(order, first + Fraction(fine, 2) - Fraction(1 - c, 4), 1, n + 2 * g + c)
     return out
 
 
+def wall_plane(n: int, g: int, order: int, side: int) -> list[tuple[int, Fraction]]:
+    """A vertex dimension's wall plane from the ``order / 2`` rows on its inner side: the symmetric interpolant, folded."""
+    half = order // 2
+    places = [k for k in range(-half, half + 1) if k]
+    plane, out = (g + n + 1, []) if side else (g + 1, [])
+    for k in range(1, half + 1):
+        w = Fraction(2)
+        for other in places:
+            if other != k:
+                w *= Fraction(-other, k - other)
+        out.append((plane - k if side else plane + k, w))
+    return sorted(out)
+
+
 def tensor(stencils: list[Stencil]) -> list[tuple[tuple[int, ...], tuple[int, ...], float]]:
     """(target index, source index, weight) rows of the product; zero weights are left out."""
     rows = []

@@ -46,6 +46,29 @@ def balanced2d(spark: SparkSession, sf_dir: str, mesh: MeshSpec = UNIT2) -> Data
     return cut(tree.numbered(tree.balance(leaves2d(spark, sf_dir), mesh, LEVELS), 2, LEVELS))
 
 
+def two_levels(spark: SparkSession, sf_dir: str, base: int = 3) -> DataFrame:
+    """The nodes of level ``base``, split where they hold more rows than an equal share; numbered."""
+    totals = cut(totals2d(spark, sf_dir))
+    n = totals.where("level = 0").agg(F.sum("cnt")).first()[0] or 0
+    grid = F.sequence(F.lit(0), F.lit((1 << base) - 1))
+    flat = spark.range(1).select(F.lit(0).alias("root"), F.lit(base).alias("level"), F.explode(grid).alias("c1")).withColumn("c2", F.explode(grid))
+    flat = flat.withColumns({"c1": F.col("c1").cast("long"), "c2": F.col("c2").cast("long")})
+    heavy = totals.where((F.col("level") == base) & (F.col("cnt") * (1 << 2 * base) > n)).select("root", "level", "c1", "c2")
+    return cut(tree.numbered(tree.refine(flat, heavy, 2), 2, base + 1))
+
+
+#: Four roots of [0, 1]^2 x [0, 0.5], blocks of 4 cells a side.
+BRICK3 = MeshSpec(roots=(2, 2, 1), cells=4, extents=((0.0, 1.0), (0.0, 1.0), (0.0, 0.5)))
+
+
+def leaves3d(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four roots, of which those that get a quarter or more of the orders by customer key are split; numbered."""
+    share = table(spark, sf_dir, "orders").groupBy((F.col("o_custkey") % 4).cast("int").alias("root")).agg(F.count("*").alias("n"))
+    total = share.agg(F.sum("n")).first()[0] or 0
+    split = tree.roots(spark, BRICK3).join(share.where(F.col("n") * 4 >= total), "root", "left_semi")
+    return cut(tree.numbered(tree.refine(tree.roots(spark, BRICK3), split, 3), 3, 1))
+
+
 def points2d(spark: SparkSession, sf_dir: str, leaves: DataFrame, mesh: MeshSpec = UNIT2) -> DataFrame:
     """The field ``v1``: the quantity in each owned cell of each block, 0 where there is none: (leaf, i1, i2, v1), no ghosts."""
     bits = LEVELS + mesh.cells.bit_length() - 1

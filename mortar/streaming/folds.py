@@ -7,6 +7,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from mortar.functions.lineage import shared_folder
+
 
 def fold_events(events: DataFrame, window: str = "1 day", late: str = "2 days") -> DataFrame:
     """Count, sum and extremes by window and type; a streaming or a static frame."""
@@ -18,11 +20,21 @@ def fold_events(events: DataFrame, window: str = "1 day", late: str = "2 days")
 
 
 def run_to_end(spark: SparkSession, path: str) -> DataFrame:
-    """Streams the Parquet files of ``path`` through the fold until all are read; the complete table."""
+    """Streams the Parquet files of ``path`` through the fold until all are read; the complete table.
+
+    Every batch appends the windows that it changed to a table in the shared folder, and a window's last row counts; the
+    watermark frees the state of windows that are over."""
     schema = spark.read.parquet(path).schema
-    name = f"folds_{uuid.uuid4().hex}"
+    place = f"{shared_folder(spark)}/folds-{uuid.uuid4().hex}"
     pattern = f"{path[:-1]}[{path[-1]}]"  # a pattern may name a single file; a plain path must be a folder
     stream = fold_events(spark.readStream.schema(schema).parquet(pattern))
-    query = stream.writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start()
+
+    def put(batch: DataFrame, number: int) -> None:
+        # a batch that is run again writes its own folder again
+        batch.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{place}/rows/b={number}")
+
+    query = stream.writeStream.outputMode("update").foreachBatch(put).option("checkpointLocation", f"{place}/state").trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.table(name)
+    rows = spark.read.parquet(f"{place}/rows")
+    last = F.max_by(F.struct("n", "high", "low"), "batch").alias("x")
+    return rows.groupBy("start", "event_type").agg(last).select("start", "event_type", "x.*")

@@ -29,8 +29,6 @@ Other columns are not read.
 
 from __future__ import annotations
 
-from itertools import chain
-
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -40,49 +38,72 @@ from pyspark.sql import functions as F
 from . import common
 
 MIN_WORDS, SHINGLE, BANDS, ROWS, THRESHOLD, BLOCK, SEED = 20, 5, 12, 3, 0.8, 512, 7
-WINDOW, REACH, KNOWN_WORDS = 20, 30, 200_000
+WINDOW, REACH = 20, 30
+
+
+# Words are hashed as polynomials of their bytes modulo 2**64, from sums over the whole text.
+STEP = 0x9E3779B97F4A7C15
+BACK = pow(STEP, -1, 1 << 64)
+OF_BYTE = np.random.default_rng(SEED).integers(0, 1 << 64, 256, dtype=np.uint64)
+SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+
 
+class Powers:
+    """Powers of STEP and of its inverse, as many as the longest text needs."""
 
-class Hashes(dict):
-    """Hashes of words, kept for words that come again."""
+    up, down = np.ones(1, np.uint64), np.ones(1, np.uint64)
 
-    def __missing__(self, word: bytes) -> int:
-        got = self[word] = xxhash.xxh64_intdigest(word)
-        return got
+    @classmethod
+    def grow(cls, n: int) -> None:
+        while len(cls.up) < n:
+            k = len(cls.up)
+            cls.up = np.concatenate([cls.up, cls.up * np.uint64(pow(STEP, k, 1 << 64))])
+            cls.down = np.concatenate([cls.down, cls.down * np.uint64(pow(BACK, k, 1 << 64))])
 
 
 class Text:
     """A text's word hashes, its paragraphs as (line, first word, end) and its shingles' hashes."""
 
-    def __init__(self, text: bytes, known: Hashes) -> None:
-        lines = [line.split() for line in text.lower().split(b"\n")]
-        self.ends = np.cumsum([len(line) for line in lines])
-        self.words = np.fromiter(map(known.__getitem__, chain.from_iterable(lines)), np.uint64, int(self.ends[-1]))
-        self.paragraphs = paragraphs([len(line) for line in lines])
+    def __init__(self, text: bytes) -> None:
+        raw = np.frombuffer(text.lower(), np.uint8)
+        edges = np.flatnonzero(np.diff(SPACE[raw], prepend=True, append=True))
+        starts, stops = edges[::2], edges[1::2]
+        Powers.grow(len(raw) + 1)
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(OF_BYTE[raw] * Powers.up[: len(raw)])])
+        self.words = (sums[stops] - sums[starts]) * Powers.down[starts]
+        self.words = (self.words ^ (self.words >> np.uint64(29))) * np.uint64(STEP)
+        self.ends = np.append(np.searchsorted(starts, np.flatnonzero(raw == 10)), len(starts))
+        self.paragraphs = paragraphs(np.diff(self.ends, prepend=0).tolist())
         size = max(0, len(self.words) - SHINGLE + 1)
         self.grams = np.zeros(size, np.uint64)
         for k in range(SHINGLE):
-            self.grams = (self.grams ^ self.words[k : k + size]) * np.uint64(0x9E3779B97F4A7C15)
+            self.grams = (self.grams ^ self.words[k : k + size]) * np.uint64(STEP)
             self.grams ^= self.grams >> np.uint64(29)
 
     def key(self, start: int, end: int) -> bytes:
         return xxhash.xxh3_128_digest(self.words[start:end].tobytes())
 
     def shingles(self, start: int, end: int) -> np.ndarray:
-        """The set of a paragraph's shingles; fewer words are one shingle."""
+        """A paragraph's shingles, repeats included; fewer words are one shingle."""
         if end - start < SHINGLE:
             return np.array([xxhash.xxh64_intdigest(self.words[start:end].tobytes())], np.uint64)
-        return np.unique(self.grams[start : end - SHINGLE + 1])
+        return self.grams[start : end - SHINGLE + 1]
 
     def windows(self) -> np.ndarray:
-        """The first words of the chosen windows."""
+        """The first words of the chosen windows: of every REACH beginnings in a row the last of the least hash."""
         size = len(self.words) - WINDOW + 1
         if size < 1:
             return np.zeros(0, np.int64)
-        reach = min(REACH, size)
-        # the last of equal ones
-        back = np.lib.stride_tricks.sliding_window_view(self.grams[:size], reach)[:, ::-1].argmin(axis=1)
-        return np.unique(np.arange(len(back)) + reach - 1 - back)
+        reach, of = min(REACH, size), self.grams[:size]
+        least, width = of, 1
+        while width < reach:
+            more = min(width, reach - width)
+            least, width = np.minimum(least[: len(least) - more], least[more:]), width + more
+        # a new choice is made where the least hash changes or comes again
+        new = np.append(True, (least[1:] != least[:-1]) | (least[1:] == of[reach:]))
+        from_ = np.flatnonzero(new)
+        back = np.lib.stride_tricks.sliding_window_view(of, reach)[from_, ::-1].argmin(axis=1)
+        return np.unique(from_ + reach - 1 - back)
 
     def within(self, word: np.ndarray) -> np.ndarray:
         """The line that the words' paragraph begins in; -1 for words in no paragraph."""
@@ -114,7 +135,7 @@ class MinHash:
         self.b = rng.integers(0, 1 << 63, bands * rows, dtype=np.uint64)
 
     def bands(self, sets: list[np.ndarray]) -> np.ndarray:
-        """One row of band hashes for each shingle set."""
+        """One row of band hashes for each list of shingles."""
         starts = np.concatenate(([0], np.cumsum([len(s) for s in sets])[:-1]))
         h = np.concatenate(sets)
         least = np.empty((len(self.a), len(sets)), np.uint64)
@@ -135,12 +156,10 @@ def listed(values: np.ndarray) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * width, pa.int32()), pa.array(values.ravel()))
 
 
-def texts_of(batch: pa.RecordBatch, known: Hashes):
+def texts_of(batch: pa.RecordBatch):
     """``(row, text)`` of a batch's texts that have words."""
-    if len(known) > KNOWN_WORDS:
-        known.clear()
     for k, t in enumerate(batch.column(1)):
-        if (x := Text(t.as_py() or b"", known)).paragraphs:
+        if (x := Text(t.as_py() or b"")).paragraphs:
             yield k, x
 
 
@@ -154,9 +173,8 @@ def each_text(docs: DataFrame, id_col: str, text_col: str, fn, columns: str) ->
     names = ["id", *(x.split()[0] for x in columns.split(","))]
 
     def run(batches):
-        known = Hashes()
         for batch in batches:
-            rows, *rest = fn(batch, texts_of(batch, known))
+            rows, *rest = fn(batch, texts_of(batch))
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int32())), *rest], names=names)
 
     have = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("t"))
@@ -167,7 +185,7 @@ def parts(docs: DataFrame, id_col: str, text_col: str, with_bands: bool = True)
     """``(id, par, n_words, k1, k2, bands)`` of every paragraph; ``bands`` is empty on request."""
 
     def fn(batch, texts):
-        mins, rows, places, keys, sets, bands = MinHash(), [], [], [], [], [np.zeros((0, BANDS), np.uint64)]
+        mins, rows, places, keys, sets, held, bands = MinHash(), [], [], [], [], 0, [np.zeros((0, BANDS), np.uint64)]
         for k, x in texts:
             for line, start, end in x.paragraphs:
                 rows.append(k)
@@ -175,9 +193,12 @@ def parts(docs: DataFrame, id_col: str, text_col: str, with_bands: bool = True)
                 keys.append(x.key(start, end))
                 if with_bands:
                     sets.append(x.shingles(start, end))
-            for at in range(0, len(sets), 256):
-                bands.append(mins.bands(sets[at : at + 256]))
-            sets = []
+                    held += len(sets[-1])
+                    if len(sets) >= 256 or held >= 1 << 18:
+                        bands.append(mins.bands(sets))
+                        sets, held = [], 0
+        if sets:
+            bands.append(mins.bands(sets))
         lists = listed(np.concatenate(bands).view(np.int64)) if with_bands else pa.array([[]] * len(rows), pa.list_(pa.int64()))
         par, n = (pa.array(c.copy()) for c in np.array(places, np.int32).reshape(-1, 2).T)
         return rows, par, n, *halves(keys), lists
@@ -216,15 +237,14 @@ def shingles_of(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str)
     """``(c, h)``: the shingle hashes of the wanted classes, ``wanted`` being (c, id, par)."""
 
     def run(batches):
-        known = Hashes()
         for batch in batches:
             cs, sets, pairs = [], [np.zeros(0, np.int64)], batch.column(2).to_pylist()
-            for k, x in texts_of(batch, known):
+            for k, x in texts_of(batch):
                 need = {p["par"]: p["c"] for p in pairs[k]}
                 for line, start, end in x.paragraphs:
                     if line in need:
                         cs.append(need[line])
-                        sets.append(x.shingles(start, end).view(np.int64))
+                        sets.append(np.unique(x.shingles(start, end)).view(np.int64))
             offsets = np.cumsum([len(s) for s in sets]).astype(np.int32)
             yield pa.RecordBatch.from_arrays([pa.array(cs, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(sets)))], names=["c", "h"])
 

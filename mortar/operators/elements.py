@@ -17,17 +17,19 @@ def literal(values) -> Column:
 
 
 def positions(points: DataFrame, leaves: DataFrame, mesh: MeshSpec, layout: Layout) -> DataFrame:
-    """Adds ``x1 ..`` and ``weight``, the tensor quadrature weight, to owned points of an element set."""
+    """Adds ``x1 ..`` and ``weight``, the tensor quadrature weight, to points of an element set; a ghost lies on its face and weighs nothing."""
     n = layout.order + 1
     nodes, ws = (literal(v) for v in elements.lobatto(layout.order))
     placed = with_geometry(leaves, mesh).select("leaf", "h", *[f"lo{d + 1}" for d in range(mesh.dims)])
     out, weight = points.join(placed, "leaf"), F.lit(1.0)
     for d, name in enumerate(index_names(mesh.dims)):
         at = F.col(name) - layout.ghosts[d] - 1
-        element, k = F.floor(at / n), at % n + 1
+        element = F.floor(at / n)
         wide = F.col("h") * n
-        out = out.withColumn(f"x{d + 1}", F.col(f"lo{d + 1}") + wide * (element + (1 + F.element_at(nodes, k.cast("int"))) / 2))
-        weight = weight * F.element_at(ws, k.cast("int")) * wide / 2
+        inside, k = at.between(0, mesh.cells - 1), F.pmod(at, F.lit(n)) + 1
+        place = F.when(inside, wide * (element + (1 + F.element_at(nodes, k.cast("int"))) / 2)).when(at < 0, 0.0).otherwise(F.col("h") * mesh.cells)
+        out = out.withColumn(f"x{d + 1}", F.col(f"lo{d + 1}") + place)
+        weight = weight * F.when(inside, F.element_at(ws, k.cast("int")) * wide / 2).otherwise(0.0)
     return out.withColumn("weight", weight).drop("h", *[f"lo{d + 1}" for d in range(mesh.dims)])
 
 

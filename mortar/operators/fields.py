@@ -40,6 +40,11 @@ def zerofill(points: DataFrame, layout: Layout) -> DataFrame:
     return points.withColumns({v: F.lit(0.0) for v in layout.variables})
 
 
+def block_key(leaves: DataFrame, dims: int, leaf: int) -> DataFrame:
+    """One row: how many blocks there are, and the node of one."""
+    return leaves.where(F.col("leaf") == leaf).select(F.lit(leaves.count()).alias("n_blocks"), "root", "level", *[f"c{d + 1}" for d in range(dims)])
+
+
 def block(points: DataFrame, leaf: int) -> DataFrame:
     return points.where(F.col("leaf") == leaf)
 
@@ -54,11 +59,11 @@ def closed(points: DataFrame, mesh: MeshSpec, layout: Layout) -> DataFrame:
     return points.where(within(layout.closed(mesh.cells)))
 
 
-def fill_by_coordinates(leaves: DataFrame, mesh: MeshSpec, layout: Layout, values: Mapping[str, Callable[..., Column]]) -> DataFrame:
-    """Owned points with each variable set by a function of the position columns."""
+def fill_by_coordinates(leaves: DataFrame, mesh: MeshSpec, layout: Layout, values: Mapping[str, Callable[..., Column]] | Callable[..., Mapping[str, Column]]) -> DataFrame:
+    """Owned points with each variable set by a function of the position columns, or all by one function that gives a mapping."""
     own = positions(grid(leaves, layout.owned(mesh.cells)), leaves, mesh, layout)
     xs = [F.col(f"x{d + 1}") for d in range(mesh.dims)]
-    filled = own.withColumns({v: values[v](*xs) for v in layout.variables})
+    filled = own.withColumns({v: values[v](*xs) for v in layout.variables} if isinstance(values, Mapping) else dict(values(*xs)))
     return filled.select("leaf", *index_names(mesh.dims), *layout.variables)
 
 

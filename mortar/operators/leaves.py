@@ -79,16 +79,20 @@ def thresholded(totals: DataFrame, split: Column, dims: int, levels: int, base:
     return base.unionByName(children(inner, dims)).join(inner, node(dims), "left_anti")
 
 
-def refine(leaves: DataFrame, keys: DataFrame, dims: int) -> DataFrame:
-    """Replaces the leaves ``keys`` by their children; keys that are no leaves change nothing."""
+def refine(leaves: DataFrame, keys: DataFrame, dims: int, strict: bool = False) -> DataFrame:
+    """Replaces the leaves ``keys`` by their children; keys that are no leaves change nothing, or are refused if ``strict``."""
+    if strict and not keys.select(*node(dims)).join(leaves, node(dims), "left_anti").isEmpty():
+        raise ValueError("only leaves can be refined")
     hit = leaves.join(keys.select(*node(dims)).distinct(), node(dims), "left_semi").select(*node(dims))
     return leaves.select(*node(dims)).join(hit, node(dims), "left_anti").unionByName(children(hit, dims))
 
 
-def coarsen(leaves: DataFrame, parents: DataFrame, dims: int) -> DataFrame:
-    """Replaces complete groups of siblings by the named parents."""
+def coarsen(leaves: DataFrame, parents: DataFrame, dims: int, strict: bool = False) -> DataFrame:
+    """Replaces complete groups of siblings by the named parents; others change nothing, or are refused if ``strict``."""
     full = parent(leaves, dims).groupBy(*node(dims)).agg(F.count("*").alias("_n")).where(F.col("_n") == 2**dims).drop("_n")
     hit = full.join(parents.select(*node(dims)).distinct(), node(dims), "left_semi")
+    if strict and not parents.select(*node(dims)).join(full, node(dims), "left_anti").isEmpty():
+        raise ValueError("only parents of leaves alone can take their place")
     return leaves.select(*node(dims)).join(children(hit, dims), node(dims), "left_anti").unionByName(hit)
 
 
@@ -200,3 +204,18 @@ def split_parts(leaves: DataFrame, parts: int) -> DataFrame:
     first, at = (short + 1) * extra, F.col("leaf") - 1
     part = F.when(at < first, F.floor(at / (short + 1))).otherwise(extra + F.floor((at - first) / max(short, 1)))
     return leaves.withColumn("part", part.cast("int"))
+
+
+def part_range(n: int, parts: int, part: int) -> tuple[int, int]:
+    """The first and last leaf of a part of ``split_parts``, from 1; last is first - 1 if it is empty."""
+    short, extra = divmod(n, parts)
+    first = part * short + min(part, extra) + 1
+    return first, first + short + (part < extra) - 1
+
+
+def remote_neighbours(leaves: DataFrame, mesh: MeshSpec, parts: int) -> DataFrame:
+    """``(part, other, leaf, neighbour)``: leaves that touch a leaf of another part."""
+    placed = split_parts(leaves, parts)
+    near = neighbours(leaves, mesh).select("leaf", "neighbour").distinct()
+    both = near.join(placed.select("leaf", "part"), "leaf").join(placed.select(F.col("leaf").alias("neighbour"), F.col("part").alias("other")), "neighbour")
+    return both.where("part <> other").select("part", "other", "leaf", "neighbour")

@@ -7,12 +7,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mortar.functions.lineage import cut
-from mortar.operators import atlas, exchange, fields, geometry, locate, patched, regrid
+from mortar.operators import atlas, exchange, fields, forest, geometry, locate, patched, regrid
+from mortar.operators import elements as element_ops
 from mortar.operators import leaves as tree
-from mortar.plans import elements, spec, weights
+from mortar.plans import spec, weights
 from mortar.plans.patches import Glue, PatchMesh, both_ways, of_brick
 from mortar.plans.spec import Layout, MeshSpec, Operators, cellcentered, vertexcentered
 from mortar.queries import sql
+from mortar.queries.mesh import touching
 from mortar.sources import meshes
 from mortar.sources.meshes import BRICK3, LEVELS, PERIODIC2
 
@@ -236,6 +238,81 @@ def x16_w16_element_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exchange.fill_ghosts(points, leaves, meshes.UNIT2, ELEMENTS, Operators("element"))
 
 
+def bilinear(x, y):
+    return 1 + x + 2 * x * y
+
+
+@query(f"""{BAL}, split AS (SELECT level, c1, c2 FROM bal WHERE leaf % 5 = 0 AND level < {LEVELS}),
+par AS (SELECT level - 1 AS level, c1 >> 1 AS c1, c2 >> 1 AS c2 FROM bal WHERE level = {LEVELS} GROUP BY ALL HAVING count(*) = 4),
+changed AS (SELECT level, c1, c2 FROM bal ANTI JOIN split USING (level, c1, c2) WHERE (level - 1, c1 >> 1, c2 >> 1) NOT IN (SELECT (level, c1, c2) FROM par)
+  UNION ALL SELECT level + 1, c1 * 2 + a, c2 * 2 + b FROM split, {sql.KIDS} UNION ALL SELECT * FROM par), {sql.balanced('changed', 'fresh')}
+SELECT leaf, CAST(i AS INTEGER) AS i1, CAST(j AS INTEGER) AS i2, round(1 + x + 2 * x * y, 7) AS v1 FROM (
+  SELECT leaf, i.range AS i, j.range AS j, (c1 + ((i.range - 2) // 2 + (i.range - 2) % 2) / 2) / power(2, level) AS x, (c2 + ((j.range - 2) // 2 + (j.range - 2) % 2) / 2) / power(2, level) AS y
+  FROM fresh, range(2, 6) i, range(2, 6) j)""")
+def r08_w16_element_regrid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Linear elements moved to a mesh that is refined and coarsened: interpolated and projected, both exact for bilinear data."""
+    old = meshes.balanced2d(spark, sf_dir)
+    placed = element_ops.positions(fields.grid(old, ELEMENTS.owned(4)), old, meshes.UNIT2, ELEMENTS)
+    points = placed.select("leaf", "i1", "i2", bilinear(F.col("x1"), F.col("x2")).alias("v1"))
+    flag = F.when(F.col("level") == LEVELS, regrid.COARSEN).when(F.col("leaf") % 5 == 0, regrid.REFINE).otherwise(regrid.KEEP)
+    begun = forest.Forest(old, meshes.UNIT2, LEVELS)
+    _, moved, _ = forest.regrid_sets(begun, {"e": forest.FieldSet(points, ELEMENTS, Operators("element"))}, regrid.flag_blocks(old, flag))
+    return moved["e"].points.select("leaf", "i1", "i2", F.round("v1", 7).alias("v1"))
+
+
+# -- regrids of several sets ---------------------------------------------------------------------
+
+
+@query(f"""WITH RECURSIVE {sql.GRADED}, {sql.balanced('leaf', 'bal')}, {sql.values('bal')},
+split AS (SELECT level, c1, c2 FROM bal WHERE leaf % 7 = 0 AND level < {LEVELS}),
+changed AS (SELECT level, c1, c2 FROM bal ANTI JOIN split USING (level, c1, c2) UNION ALL SELECT level + 1, c1 * 2 + a, c2 * 2 + b FROM split, {sql.KIDS}), {sql.balanced('changed', 'fresh')},
+g AS (SELECT leaf, level, CAST(i.range AS INTEGER) AS i1, CAST(j.range AS INTEGER) AS i2, c1 * 4 + i.range - 1 AS x1, c2 * 4 + j.range - 1 AS x2 FROM fresh, range(1, 5) i, range(1, 5) j)
+SELECT g.leaf, g.i1, g.i2, coalesce(s.v1, c.v1) AS v1, round(1 + (g.x1 + 0.5) / (4 << g.level), 7) AS w1, 0.0::DOUBLE AS z1, CAST(1 AS INTEGER) AS generation FROM g
+LEFT JOIN val s ON s.level = g.level AND s.x1 = g.x1 AND s.x2 = g.x2 LEFT JOIN val c ON c.level = g.level - 1 AND c.x1 = g.x1 >> 1 AND c.x2 = g.x2 >> 1""")
+def r08_l15_regrid_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three sets in one regrid: averages, point values of order 2 whose ghosts are filled first, and one that is only resized."""
+    old = meshes.balanced2d(spark, sf_dir)
+    bare, halo = Layout(cellcentered(2), (0, 0)), Layout(cellcentered(2), (1, 1))
+    line = lambda x, y: 1 + x
+    sets = {
+        "v": forest.FieldSet(meshes.points2d(spark, sf_dir, old), bare, Operators("conservative", 1, 2)),
+        "w": forest.FieldSet(fields.fill_by_coordinates(old, meshes.UNIT2, halo, {"v1": line}), halo, Operators("point", 2, 2), {"v1": line}),
+        "z": forest.FieldSet(meshes.points2d(spark, sf_dir, old), bare),
+    }
+    flag = F.when((F.col("leaf") % 7 == 0) & (F.col("level") < LEVELS), regrid.REFINE).otherwise(regrid.KEEP)
+    after, moved, _ = forest.regrid_sets(forest.Forest(old, meshes.UNIT2, LEVELS), sets, regrid.flag_blocks(old, flag))
+    v, z = (moved[k].points.select("leaf", "i1", "i2", F.col("v1").alias(f"{k}1")) for k in "vz")
+    w = moved["w"].points.select("leaf", (F.col("i1") - 1).alias("i1"), (F.col("i2") - 1).alias("i2"), F.round("v1", 7).alias("w1"))
+    return v.join(w, ["leaf", "i1", "i2"]).join(z, ["leaf", "i1", "i2"]).withColumn("generation", F.lit(after.mesh.generation))
+
+
+@query(f"""WITH {sql.GRADED}, n AS (SELECT count(*) AS n FROM leaf), part AS (SELECT leaf, CAST(CASE WHEN leaf - 1 < (n // 5 + 1) * (n % 5) THEN (leaf - 1) // (n // 5 + 1) ELSE n % 5 + (leaf - 1 - (n // 5 + 1) * (n % 5)) // (n // 5) END AS INTEGER) AS part FROM leaf, n),
+{touching('leaf', False)} SELECT DISTINCT p.part, q.part AS other, near.leaf, near.neighbour FROM near JOIN part p USING (leaf) JOIN part q ON q.leaf = near.neighbour WHERE p.part <> q.part""")
+def l29_remote_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tree.remote_neighbours(meshes.leaves2d(spark, sf_dir), meshes.UNIT2, 5)
+
+
+@query(f"WITH {sql.GRADED} SELECT (SELECT count(*) FROM leaf) AS n_blocks, root, level, c1, c2 FROM leaf WHERE leaf = 7")
+def f04_block_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fields.block_key(meshes.leaves2d(spark, sf_dir), 2, 7)
+
+
+GROWN = 8
+
+
+@query(f"""WITH RECURSIVE {sql.cells(GROWN)}, {sql.totals(GROWN)}, big AS (SELECT level, c1, c2 FROM tot WHERE cnt > 48 AND level < {GROWN}),
+{sql.from_inner('big', 'raw')}, need AS (SELECT level, c1, c2 FROM raw
+  UNION SELECT level - 1, CAST((n.c1 >> 1) + x AS BIGINT), CAST((n.c2 >> 1) + y AS BIGINT) FROM need n, (SELECT CAST(p.range - 1 AS INTEGER) AS x, CAST(q.range - 1 AS INTEGER) AS y FROM range(3) p, range(3) q)
+  WHERE level > 0 AND (n.c1 >> 1) + x BETWEEN 0 AND (1 << (level - 1)) - 1 AND (n.c2 >> 1) + y BETWEEN 0 AND (1 << (level - 1)) - 1),
+kin AS (SELECT DISTINCT level - 1 AS level, c1 >> 1 AS c1, c2 >> 1 AS c2 FROM need WHERE level > 0), {sql.from_inner('kin', 'done')}
+SELECT level, count(*) AS n, sum(c1 * 7 + c2 * 3) AS places FROM done GROUP BY level""")
+def l27_growing_mesh(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A mesh that grows with the table: nodes of over 48 line items split, eight levels at most, balanced; counted by level."""
+    totals = tree.occupied(meshes.cells2d(spark, sf_dir, GROWN), 2, GROWN, "cnt")
+    leaves = tree.thresholded(cut(totals), F.col("cnt") > 48, 2, GROWN, tree.roots(spark, meshes.UNIT2))
+    return tree.balance(cut(leaves), meshes.UNIT2, GROWN).groupBy("level").agg(F.count("*").alias("n"), F.sum(F.col("c1") * 7 + F.col("c2") * 3).alias("places"))
+
+
 # -- glued forests --------------------------------------------------------------------------
 
 PAIR = PatchMesh(((1, 1), (1, 1)), both_ways(Glue(0, 0, 1, 1, 0, 0, (0, 1), (False, False))))

@@ -45,6 +45,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Removes a folder, wherever Spark writes."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def unused(df: DataFrame, stem: str) -> str:
     """A column name that ``df`` does not have."""
     name = f"_{stem}"

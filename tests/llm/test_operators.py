@@ -77,6 +77,30 @@ def test_quality_held_out(spark):
     assert all(h == (zlib.crc32(str(int(i)).encode()) % 5 == 0) for i, h in zip(got.doc_id, got.held_out, strict=True) if i == i)
 
 
+def test_quality_of_the_labelled_table(spark):
+    """Held-out labels: nearly all of either kind on the right side of 0.3, and the two kinds apart."""
+    docs, labels = (common.table(spark, "/root/testdata/sf0.1", n) for n in ("documents", "labels"))
+    got = quality.classify(docs, labels).join(labels.select("doc_id", "quality"), "doc_id").where("held_out AND quality IS NOT NULL").toPandas()
+    good, bad = got[got.quality == 1], got[got.quality == 0]
+    assert len(good) > 500 and len(bad) > 100
+    assert good.predicted.mean() > 0.98 and bad.predicted.mean() < 0.02
+    assert (good.score.to_numpy()[:, None] > bad.score.to_numpy()[None, :]).mean() > 0.99
+
+
+def test_quality_sums_the_unlabelled_risk_over_all_rows(spark):
+    """With a sample of a few rows the last steps still see every row: they lower the whole risk, not the sample's."""
+    docs, labels = (common.table(spark, "/root/testdata/sf0.001", n) for n in ("documents", "labels"))
+    rows = quality.features(docs, "doc_id", "text")
+    x = np.array([r["x"] for r in rows.where("NOT held_out").select("x").collect()])
+
+    def mean_score(passes):
+        model = quality.fit(rows, labels, sample=25, passes=passes)
+        return model, float(model.score(x).mean())
+
+    before, after = mean_score(0), mean_score(40)
+    assert before[0].prior == after[0].prior and abs(after[1] - after[0].prior) <= abs(before[1] - before[0].prior) + 0.02
+
+
 def test_quality_ignores_held_out_labels(spark):
     docs = documents(spark, [(k, f"text {k} " * 9) for k in range(60)])
     labels = spark.createDataFrame([(k, 1) for k in range(60)], "doc_id long, quality int")
@@ -194,6 +218,65 @@ def test_em_tells_reliable_patterns():
     assert pii.train(counts, q)[code(1, 1, 2, 1)] > 0.9
 
 
+def test_added_spans_by_brute_force(spark):
+    """EM and a logistic classifier over single candidates, without patterns or counts, add the same spans."""
+    rng = random.Random(13)
+    bits = ["mail bob at example.com", "write to x_y (at) mail [dot] org", "at home. at last", "555-697-3412", "tel 0049 30 123-4567", "version 2001:db8:0:1:1:1:1:1", "card 4111 1111 1111 1111", "4111/1111/1111/1112",
+            "order 1234-5678-9012-3456", "ip 10.1.2.3", "fe80:1:2:3:4:5:6:7", "call +1 (509) 555-6973", "a.b@c.org", "id 123-456-7890", "some words", "plain text here"]
+    texts = [" ".join(rng.choice(bits) for _ in range(rng.randint(1, 8))) for _ in range(300)]
+    each = []
+    for i, t in enumerate(texts):
+        base = brute_spans(t)
+        found = [(s, True) for s in base]
+        for kind in pii.KINDS:
+            last = -1
+            for m in pii.LOOSE[kind].finditer(t):
+                if m.start() >= last and not any(m.start() < e and s < m.end() for _, s, e in base):
+                    found.append(((kind, *m.span()), False))
+                    last = m.end()
+        each += [(i, s, b, *pii.votes(s[0], t, s[1], s[2], b)) for s, b in found]
+    want = {i: set(brute_spans(t)) for i, t in enumerate(texts)}
+    for kind in pii.KINDS:
+        mine = [x for x in each if x[1][0] == kind]
+        v = np.array([x[3] for x in mine])
+        q = 1 / (1 + np.exp(-1.5 * ((v == 1).sum(1) - (v == 0).sum(1)) + 0.5))
+        for _ in range(50):
+            prior = min(max(q.mean(), 0.01), 0.99)
+            odds = np.full(len(v), np.log(prior / (1 - prior)))
+            for k in range(4):
+                yes, no = np.array([1.0, 4.0, 2.0]), np.array([4.0, 1.0, 2.0])
+                for x, w in zip(v[:, k], q, strict=True):
+                    yes[x], no[x] = yes[x] + w, no[x] + 1 - w
+                odds += np.log(yes[v[:, k]] / yes.sum()) - np.log(no[v[:, k]] / no.sum())
+            q = 1 / (1 + np.exp(-odds))
+        x = np.array([[1.0, *[float(a == b) for a in votes for b in (0, 1)], float(shape >> 1 & 1), float(shape & 1)] for *_, votes, shape in mine])
+        w = np.zeros(x.shape[1])
+        for _ in range(200):  # Newton steps of the ridge logistic loss
+            p = 1 / (1 + np.exp(-x @ w))
+            w -= np.linalg.solve((x.T * (p * (1 - p))) @ x / len(x) + 1e-3 * np.eye(len(w)), x.T @ (p - q) / len(x) + 1e-3 * w)
+        for (i, span, *_), p in zip(mine, 1 / (1 + np.exp(-x @ w)), strict=True):
+            if p >= 0.9:
+                want[i].add(span)
+    got = {r["doc_id"]: r["spans"] for r in pii.report(documents(spark, enumerate(texts))).collect()}
+    for i, spans in want.items():
+        assert got[i] == ",".join(f"{k}:{s}:{e}" for k, s, e in sorted(spans, key=lambda x: (x[1], pii.KINDS.index(x[0])))), texts[i]
+    assert sum(len(x) for x in want.values()) > sum(len(brute_spans(t)) for t in texts)
+
+
+def test_candidates_take_linear_time():
+    import time
+
+    def took(n):
+        t = "a@b.co john at example.com " * n
+        base = pii.base_spans(t)
+        began = time.perf_counter()
+        assert len(pii.candidates(t, base)) == n
+        return time.perf_counter() - began
+
+    took(500)
+    assert min(took(16_000) for _ in range(3)) < 12 * min(took(4_000) for _ in range(3))
+
+
 # -- 4 URLs ----------------------------------------------------------------------
 
 
@@ -475,6 +558,25 @@ def test_simhash(spark):
     assert simhash.near_dedup(docs.limit(0)).count() == 0
 
 
+def test_keep_one_of_any_columns(spark):
+    """Columns named like the operator's own, rows that share an id, null ids."""
+    schema = "doc_id string, text string, _rep string, _kept long, _fp long, id string, fp long"
+    long = "one two three four five six seven eight nine ten " * 20
+    rows = [("b", long, "r", 1, 2, "x", 3), ("a", long, "r", 4, 5, "y", 6), ("a", long, "s", 4, 5, "y", 6), ("c", "other words of another text", None, None, None, None, None), (None, "a third text that has no id", "t", 0, 0, "z", 0), (None, "a third text that has no id", "t", 0, 0, "z", 0)]
+    df = spark.createDataFrame(rows, schema)
+    got = [tuple(r) for r in simhash.keep_one(df).collect()]
+    assert simhash.keep_one(df).columns == df.columns and len(got) == 3
+    assert {r[0] for r in got} == {"a", "c", None} and set(got) <= set(rows)
+    assert got == [tuple(r) for r in simhash.keep_one(df.orderBy(F.desc("_rep"))).collect()] or sorted(got, key=str) == sorted((tuple(r) for r in simhash.keep_one(df.orderBy(F.desc("_rep"))).collect()), key=str)
+
+
+def test_shards_of_string_ids(spark):
+    df = spark.createDataFrame([(f"k{n}", "t" * (n % 50), "en") for n in range(400)] + [(None, None, None)], "doc_id string, text string, lang string")
+    got = sharding.kd_shards(df).toPandas()
+    assert len(got) == 401 and sorted(got.shard.unique()) == list(range(8))
+    assert all(sorted(g.slot) == list(range(len(g))) for _, g in got.groupby("shard"))
+
+
 @pytest.mark.parametrize("block", [4, 1024])
 def test_simhash_links_in_a_dense_ball(spark, block):
     """Fingerprints around a few centres: every link of up to 3 bits is found, none beyond."""

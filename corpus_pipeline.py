@@ -2,13 +2,13 @@
 
 ``run`` reads the table, applies the stages in order, and writes each result as Parquet in the
 cluster's shared folder; the next stage reads it again, so an executor that is lost costs
-one stage's tasks and no more.
+one stage's tasks and no more; a stage's folder is removed once the next one is written.
 
 1. quality (operator 1): documents scored under 0.3 go.
 2. near_dedup (operator 10): of each group of linked fingerprints the document with the smallest id stays.
 3. decontaminate (operator 7): documents with a word inside a benchmark window go.
 4. redact (operator 3): spans of personal data are replaced by their kind.
-5. encode (operator 8): one row per document with its token ids and the decoded text.
+5. encode (operator 8): one row per document with its token ids and the decoded text; the other columns end here.
 
 Nulls, empty texts, repeated rows and empty tables are treated as the operators' docstrings say; a
 group of near copies of which all ids are null keeps one row.
@@ -58,7 +58,11 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents")
     place = f"{common.shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    before = None
     for name, stage in STAGES:
         stage(spark, docs, sf_dir).write.parquet(f"{place}/{name}")
         docs = spark.read.parquet(f"{place}/{name}")
+        if before:
+            common.remove(spark, before)
+        before = f"{place}/{name}"
     return docs

@@ -75,10 +75,14 @@ def restrict(n: int, g: int, c: int, step: int, offset: int, order: int) -> Sten
     return out
 
 
+def source_step(step: int, offset: int) -> int:
+    """The step to a coarser source, seen from the target's parent: a child steps out of it on its own side only."""
+    return step if (step > 0) == bool(offset) else 0
+
+
 def prolong(n: int, g: int, c: int, step: int, offset: int, order: int, conservative: bool) -> Stencil:
     """From a coarser source, for a target with child offset ``offset``; ``conservative`` by averages of cells."""
-    across = step if (step > 0) == bool(offset) else 0  # the source's step, seen from the target's parent
-    first, out = g + 1 - n * across, {}
+    first, out = g + 1 - n * source_step(step, offset), {}
     for j in targets(n, g, c, step):
         fine = offset * n + j - g - 1  # in half cells of the parent, from 0
         if conservative and not c:

@@ -4,13 +4,14 @@ conservation, symmetry and refusals."""
 import math
 import random
 from fractions import Fraction
+from itertools import product
 
 import duckdb
 import pytest
 from mortar import queries
 from mortar.functions import keys
 from mortar.operators import elements as element_ops
-from mortar.operators import exchange, fields, geometry, leaves, locate, reduce, regrid
+from mortar.operators import exchange, fields, forest, geometry, leaves, locate, reduce, regrid
 from mortar.plans import elements, transfers, weights
 from mortar.plans.spec import Layout, MeshSpec, Operators, cellcentered, directions, staggers, vertexcentered
 from mortar.sources import meshes
@@ -31,6 +32,24 @@ def duck(data):
     return con
 
 
+@pytest.fixture(scope="module", autouse=True)
+def kept_meshes():
+    """The meshes of a table are derived once for all tests of the module."""
+    patch, held = pytest.MonkeyPatch(), {}
+    for name in ("leaves2d", "balanced2d"):
+        made = getattr(meshes, name)
+
+        def keep(spark, sf_dir, *mesh, _name=name, _made=made):
+            key = _name, sf_dir, mesh
+            if key not in held:
+                held[key] = _made(spark, sf_dir, *mesh)
+            return held[key]
+
+        patch.setattr(meshes, name, keep)
+    yield
+    patch.undo()
+
+
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_query_equals_sql(spark, data, duck, name):
     got = queries.QUERIES[name](spark, data)
@@ -168,6 +187,70 @@ def test_reflecting_and_outflow_walls(spark):
     assert beyond.count() and max(worst) < 1e-12
 
 
+def test_levels_that_read_owned_points_are_one_stage(spark):
+    """Stages by what they read: order 1 needs no ghosts, order 4 does, and either way the ghosts are those of a level at a time."""
+    mesh, layout = MeshSpec(roots=(2, 2), cells=8, periodic=(True, True)), Layout(cellcentered(2), (2, 2))
+    for ops, some in ((Operators("conservative", 1, 2), False), (Operators("point", 4, 4), True)):
+        rows = transfers.tap_rows(mesh, layout, ops)
+        late = transfers.waiting(rows, mesh, layout)
+        assert bool(late) == some and all(g.startswith("prolong") for g in late)
+        owned = layout.owned(8)
+        assert all((r[0] in late) or all(x in o for x, o in zip(r[3:5], owned, strict=True)) for r in rows)
+
+
+def test_symmetric_walls_of_both_dimensions(spark):
+    """Values even about every wall are the same on all planes, corners included, and an odd variable is 0 there."""
+    mesh = MeshSpec(roots=(1, 1), cells=8, reflecting=frozenset(product((0, 1), (0, 1))))
+    layout = Layout(vertexcentered(2), (1, 1), ("v1", "v2"), walls="symmetric", parity={"v2": {0: -1, 1: -1}})
+    ls = small_mesh(spark, mesh, 2)
+    square = lambda x, y: (x * x - x) * (x * x - x) + (y * y - y) * (y * y - y)
+    points = fields.fill_by_coordinates(ls, mesh, layout, {"v1": square, "v2": square})
+    full = exchange.fill_ghosts(points, ls, mesh, layout, Operators("point", 4, 2))
+    n = fields.grid(ls, layout.stored(8)).count()
+    assert full.count() == n == full.select("leaf", "i1", "i2").distinct().count()
+    at = geometry.positions(full, ls, mesh, layout)
+    on = at.where("x1 = 0 OR x1 = 1 OR x2 = 0 OR x2 = 1")
+    worst = on.agg(F.max(F.abs(F.col("v1") - square(F.col("x1"), F.col("x2")))), F.max(F.abs("v2"))).first()
+    assert worst[0] < 0.02 and worst[1] == 0.0
+
+
+def test_refused_regrids_and_stale_points(spark):
+    mesh, layout = MeshSpec(roots=(1, 1), cells=4, periodic=(True, True)), Layout(cellcentered(2), (0, 0))
+    ls = small_mesh(spark, mesh, 2)
+    start = forest.Forest(ls, mesh, 3)
+    points = fields.fill_by_coordinates(ls, mesh, layout, lambda x, y: {"v1": x + y})
+    sets = {"a": forest.FieldSet(points, layout, Operators("conservative", 1, 2))}
+    at = forest.located(locate.uniform_grid(spark, mesh, (3, 3)), start)
+    same, _, changed = forest.regrid_sets(start, sets, regrid.flag_blocks(ls, F.least(F.col("leaf"), F.lit(regrid.KEEP))))
+    assert not changed and same is start
+    after, moved, changed = forest.regrid_sets(start, sets, regrid.flag_blocks(ls, F.least(F.col("leaf") + 1, F.lit(regrid.REFINE))))
+    assert changed and after.scalars().first() == (4 * ls.count(), 3, 1)
+    with pytest.raises(ValueError, match="regrid"):
+        forest.interpolate(at, moved["a"].points, after, layout, 2, [(0, 0)])
+    again = forest.located(locate.uniform_grid(spark, mesh, (3, 3)), after)
+    assert forest.interpolate(again, moved["a"].points, after, layout, 2, [(0, 0)]).count() == 9
+    with pytest.raises(ValueError, match="leaves"):
+        leaves.refine(ls, leaves.children(ls, 2), 2, strict=True)
+    with pytest.raises(ValueError, match="parents"):
+        leaves.coarsen(ls, leaves.children(ls, 2), 2, strict=True)
+    assert [leaves.part_range(11, 3, k) for k in range(3)] == [(1, 4), (5, 8), (9, 11)]
+
+
+def test_glue_refuses_two_levels(spark):
+    from mortar.operators import patched
+    from mortar.queries.exchange import PAIR
+
+    roots = patched.roots(spark, PAIR)
+    both = leaves.numbered(leaves.refine(roots, roots.where("root = 0"), 2), 2, 1)
+    points = fields.grid(both, [range(2, 6)] * 2).withColumn("v1", F.lit(1.0))
+    assert patched.mismatched(both, PAIR).count() == 3
+    with pytest.raises(ValueError, match="two levels"):
+        patched.glued_ghosts(points, both, PAIR, 1, ("v1",))
+    fine = leaves.numbered(patched.balance(both, PAIR, 1), 2, 1)
+    assert fine.count() == 8 and patched.mismatched(fine, PAIR).isEmpty()
+    assert patched.glued_ghosts(points.limit(0).unionByName(fields.grid(fine, [range(2, 6)] * 2).withColumn("v1", F.lit(1.0))), fine, PAIR, 1, ("v1",)).count() == 16
+
+
 def test_regrids_conserve_mass(spark):
     mesh = MeshSpec(roots=(1, 1), cells=4, periodic=(True, True))
     layout, ops = Layout(cellcentered(2), (1, 1)), Operators("conservative", 3, 2)

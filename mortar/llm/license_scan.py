@@ -1,6 +1,6 @@
 """License scans by sparse TF-IDF cosine (operator 6), DataFrame functions only.
 
-Words are runs of letters, digits and dots after A-Z is lowered.  Texts and templates are vectors over the templates'
+Words are runs of a-z, digits and dots between digits, in lower case.  Texts and templates are vectors over the templates'
 words, weighed by term frequency times ln((1 + texts) / (1 + texts with the word)) + 1, counted over all texts; every
 other word of a text is an axis of its own that weighs as a word of no text.  Compared with a template
 are: a file's header (up to its first empty line); the whole file, where it has at most
@@ -21,8 +21,8 @@ name, then the least name.  Directories are
 joined by path: each file's ancestors are listed and equi-joined with the
 directories that have a license, and the longest wins.
 
-Cosines are computed within a row, so no text or word is shuffled; the driver sees one count for each
-word of the templates, and the literal tables grow with the templates alone.
+Cosines are computed within a row, so no text or word is shuffled; texts are read twice, once to count. The driver sees one
+count for each word of the templates, and the literal tables grow with the templates alone.
 
 Cases.  Null and empty texts name no license.  A null path has no directory.  Repeated rows
 give one row each.  Empty tables are fine.  Other columns are not read.
@@ -90,7 +90,7 @@ LOWER = {k: k + 32 for k in range(65, 91)}
 
 
 def words(text: Column) -> Column:
-    return F.regexp_extract_all(common.lower_ascii(text), F.lit(WORD), 0)
+    return F.regexp_extract_all(F.lower(text), F.lit(WORD), 0)
 
 
 def bound(value: Column, body) -> Column:
@@ -133,10 +133,9 @@ def cosine(unit: Column, template: Column, idf: Column) -> Column:
     return F.when(shares, dot / (F.sqrt(own + other) * template["norm"]))
 
 
-def best(numbers: Column, header: Column, template: Column, idf: Column, threshold: float) -> Column:
+def best(numbers: Column, distinct: Column, header: Column, template: Column, idf: Column, threshold: float) -> Column:
     """``(c, part)``: the greatest cosine of a text's units with a template, and the unit's share of the text."""
-    held = F.array_distinct(F.filter(numbers, lambda w: F.get(template["x"], w) > 0))
-    enough = F.aggregate(held, F.lit(0.0), lambda s, w: s + F.pow(F.get(template["x"], w), F.lit(2.0))) >= F.pow(template["norm"] * threshold, F.lit(2.0)) * (1 - 1e-9)
+    enough = F.aggregate(distinct, F.lit(0.0), lambda s, w: s + F.pow(F.get(template["x"], w), F.lit(2.0))) >= F.pow(template["norm"] * threshold, F.lit(2.0)) * (1 - 1e-9)
     whose = lambda value: F.filter(F.transform(numbers, lambda w, k: F.when(F.array_contains(template["must"], w), value(w, k))), lambda k: k.isNotNull())
     over = lambda k: F.filter(F.sequence(F.greatest(k - template["n"] + 1, F.lit(0)), k), lambda s: s % template["step"] == 0)
     placed = lambda w, k: F.transform(F.filter(template["places"], lambda p: p["w"] == w), lambda p: F.greatest(k - p["at"], F.lit(0)))
@@ -165,22 +164,24 @@ def scan(files: DataFrame, templates: DataFrame | None = None, id_col: str = "do
     known = [(name, ws) for name, text in given if (ws := re.findall(WORD, (text or "").translate(LOWER)))]
     vocabulary = sorted({w for _, ws in known for w in ws})
     literal = lambda value, kind: F.from_json(F.lit(json.dumps(value)), kind)
-    numbered, tells = literal(vocabulary, "array<string>"), literal(telling(known), "array<string>")
-    t = F.col("t")
-    read = files.select(F.col(id_col).alias("id"), F.col(path_col).cast("string").alias("path"), F.monotonically_increasing_id().alias("row"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("t"))
-    # one pass over the texts; the row numbers are fixed by the checkpoint, which holds the texts that have a telling word
-    held = read.select("id", "path", "row", bound(words(t), lambda ws: F.array_intersect(ws, numbered)).alias("held"), "t")
-    rows = common.cut(held.withColumn("t", F.when(F.arrays_overlap("held", tells), t)))
-    counts = rows.select(F.explode("held").alias("w")).groupBy("w").count().collect()
-    vectors, idf = weighed(known, vocabulary, {r["w"]: r["count"] for r in counts}, rows.count(), threshold)
+    numbered, t = literal(vocabulary, "array<string>"), F.col("t")
+    read = files.select(F.col(id_col).alias("id"), F.col(path_col).cast("string").alias("path"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("t"))
+    held = F.array_intersect(words(t), numbered)
+    # one pass counts, and sends a count for each word of the templates; one scores
+    counts = {r["w"]: r["count"] for r in read.select(F.explode(F.array_append(held, F.lit(""))).alias("w")).groupBy("w").count().collect()}
+    n = counts.pop("", 0)  # every text has the empty word
+    vectors, idf = weighed(known, vocabulary, counts, n, threshold)
+    musts = literal(sorted({vocabulary[k - 1] for v in vectors for k in v["must"]}), "array<string>")
     kind = "array<struct<license:string,n:int,x:array<double>,norm:double,must:array<int>,step:int,places:array<struct<w:int,at:int>>,tells:array<boolean>>>"
     header = F.size(words(F.element_at(F.split(t, "\\n[ \\t\\r]*\\n", 2), 1)))
     numbers = F.transform(words(t), lambda w: F.array_position(numbered, w).cast("int"))
-    one = lambda ns, size, x: lambda p: F.struct(best(ns, size, p, x, threshold).alias("b"), p["license"].alias("license"))
-    every = bound(numbers, lambda ns: bound(header, lambda size: bound(literal(idf, "array<double>"), lambda x: F.transform(literal(vectors, kind), one(ns, size, x)))))
-    found = rows.where(t.isNotNull()).select("row", "path", F.filter(every, lambda m: m["b"].isNotNull()).alias("found"))
+    one = lambda ns, few, size, x: lambda p: F.struct(best(ns, few, size, p, x, threshold).alias("b"), p["license"].alias("license"))
+    scored = lambda ns: bound(F.array_distinct(ns), lambda few: bound(header, lambda size: bound(literal(idf, "array<double>"), lambda x: F.transform(literal(vectors, kind), one(ns, few, size, x)))))
+    every = F.when(F.arrays_overlap(held, musts), F.filter(bound(numbers, scored), lambda m: m["b"].isNotNull()))
+    rows = common.cut(read.select("id", "path", F.monotonically_increasing_id().alias("row"), every.alias("found")))
+    found = rows.where(F.size("found") > 0).select("row", "path", "found")
     least = F.array_min(F.transform("found", lambda m: F.struct((-F.round(m["b"]["c"], 9)).alias("c"), m["license"].alias("license"), (-m["b"]["part"]).alias("part"))))
-    own = common.cut(found.where(F.size("found") > 0).withColumn("b", least).select("row", "path", (-F.col("b.part")).alias("part"), F.col("b.license").alias("license"), (-F.col("b.c")).alias("cosine")))
+    own = common.cut(found.withColumn("b", least).select("row", "path", (-F.col("b.part")).alias("part"), F.col("b.license").alias("license"), (-F.col("b.c")).alias("cosine")))
 
     named = F.coalesce(F.upper(F.regexp_extract("path", "([^/]*)$", 1)).rlike("^(LICENSE|LICENCE|COPYING)"), F.lit(False))
     votes = own.withColumn("d", parent(F.col("path"))).where((F.col("d") != "") & (named | (F.col("part") >= 0.5))).groupBy("d", "license").agg(F.count("*").alias("n"), F.max(named).alias("file"))

@@ -7,9 +7,11 @@ from __future__ import annotations
 
 from typing import Protocol
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from mortar.plans.spec import MeshSpec
+
 
 class Chart(Protocol):
     def map(self, x: list[Column]) -> list[Column]: ...
@@ -32,6 +34,25 @@ class Polar:
         return [[[zero, -s], [-s, -x[0] * c]], [[zero, c], [c, -x[0] * s]]]
 
 
+def chart_locate(query: DataFrame, invert, mesh: MeshSpec, outside: str = "mark") -> DataFrame:
+    """``(pid, x1 ..)`` of physical points as logical ones, by ``invert(columns)``, which gives logical columns.
+
+    A chart folds the topology itself: a point that it puts outside the mesh's closed box is null, or refused on request."""
+    dims = mesh.dims
+    xs, inside = invert([F.col(f"x{d + 1}") for d in range(dims)]), F.lit(True)
+    for x, (lo, hi) in zip(xs, mesh.extents, strict=True):
+        inside = inside & x.between(lo, hi) & ~F.isnan(x)
+    out = query.select("pid", *[F.when(inside, x).alias(f"x{d + 1}") for d, x in enumerate(xs)])
+    if outside == "error" and not out.where(F.col("x1").isNull()).isEmpty():
+        raise ValueError("the chart puts a point outside the mesh")
+    return out
+
+
+def from_plane(x: list[Column]) -> list[Column]:
+    """The inverse of ``Polar``."""
+    return [F.hypot(x[0], x[1]), F.atan2(x[1], x[0])]
+
+
 def inverse(j: list[list[Column]]) -> list[list[Column]]:
     """K[a][k], the derivative of logical a along physical k; one or two dimensions by cofactors, three likewise."""
     n = len(j)

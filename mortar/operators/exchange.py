@@ -81,7 +81,9 @@ def wall_rows(mesh: MeshSpec, layout: Layout, ops: Operators, d: int) -> list[tu
         for i in beyond(mesh, layout, d, step):
             plane = c and i == (g + n + 1 if side else g + 1)
             if (d, side) in mesh.reflecting and plane:
-                out += [(step, True, i, s, float(w), False, True) for s, w in weights.wall_plane(n, g, ops.order_along(1), side)]
+                # bounded, the value stays between the rows on either side of the wall, which are one by symmetry
+                order = 2 if ops.bounded else ops.order_along(1)
+                out += [(step, True, i, s, float(w), False, True) for s, w in weights.wall_plane(n, g, order, side)]
             elif (d, side) in mesh.reflecting:
                 out.append((step, True, i, (2 * (g + n) if side else 2 * g) + 1 + c - i, 1.0, True, False))
             elif (d, side) in mesh.outflow:
@@ -189,21 +191,49 @@ def leaving(regions: DataFrame, leaves: DataFrame, mesh: MeshSpec, *known: str)
     return out.drop("root", *[f"c{d + 1}" for d in range(mesh.dims)])
 
 
-def fill_ghosts(points: DataFrame, leaves: DataFrame, mesh: MeshSpec, layout: Layout, ops: Operators, boundary: Mapping | None = None, region_hook: Callable | None = None) -> DataFrame:
-    """Owned points with all ghosts that have a source, a wall, or a hook beyond an outer face.
+@dataclass(frozen=True)
+class GhostPlan:
+    """What a fill needs besides the points; it is of one mesh and generation, one layout and one operator family."""
 
-    ``boundary`` has a function of position by variable, or ``Directed`` or ``Relative`` ones; ``region_hook`` is a pandas function of
-    one block's region.  Transfers that read owned points alone are one stage; those that read ghosts follow by level."""
+    mesh: MeshSpec
+    layout: Layout
+    ops: Operators
+    late: list[str]
+    taps: DataFrame
+    transfers: DataFrame
+    regions: DataFrame | None
+
+
+def plan_ghosts(leaves: DataFrame, mesh: MeshSpec, layout: Layout, ops: Operators) -> GhostPlan:
+    """The plan of a fill, to be made once for many fills over the same leaves."""
     mesh.without_seam()
-    dims, names, spark = mesh.dims, index_names(mesh.dims), points.sparkSession
-    columns = ["leaf", *names, *layout.variables]
     rows = plans.tap_rows(mesh, layout, ops)
-    late, taps = plans.waiting(rows, mesh, layout), plans.taps(spark, mesh, layout, ops, rows=rows)
-    plan = plans.ghost_transfers(leaves, mesh)
+    late, taps = plans.waiting(rows, mesh, layout), plans.taps(leaves.sparkSession, mesh, layout, ops, rows=rows)
+    each = plans.ghost_transfers(leaves, mesh)
     if late:
-        plan = cut(plan.withColumn("stage", F.when(F.col("grp").isin(late), F.col("stage")).otherwise(0)))
+        each = cut(each.withColumn("stage", F.when(F.col("grp").isin(late), F.col("stage")).otherwise(0)))
     else:
-        plan = plan.withColumn("stage", F.lit(0))
+        each = each.withColumn("stage", F.lit(0))
+    regions = None
+    if not all(mesh.periodic) and layout.centering[0] != "element":
+        regions = cut(leaving(plans.outer_regions(leaves, mesh), leaves, mesh))
+    return GhostPlan(mesh, layout, ops, late, taps, each, regions)
+
+
+def fill_ghosts(
+    points: DataFrame, leaves: DataFrame, mesh: MeshSpec, layout: Layout, ops: Operators, boundary: Mapping | None = None, region_hook: Callable | None = None, made: GhostPlan | None = None,
+) -> DataFrame:
+    """Owned points with all ghosts that have a source, a wall, or a hook beyond an outer face.
+
+    ``boundary`` has a function of position by variable, or ``Directed`` or ``Relative`` ones; ``region_hook`` is a pandas function of
+    one block's region.  Transfers that read owned points alone are one stage; those that read ghosts follow by level.
+    ``made`` is a plan of these leaves, if there is one."""
+    made = made or plan_ghosts(leaves, mesh, layout, ops)
+    if (made.mesh, made.layout, made.ops) != (mesh, layout, ops):
+        raise ValueError("the plan is of another mesh, generation, layout or operators")
+    dims, names = mesh.dims, index_names(mesh.dims)
+    columns = ["leaf", *names, *layout.variables]
+    late, taps, plan, regions = made.late, made.taps, made.transfers, made.regions
     held = wall_planes(points.select(*columns), leaves, mesh, layout, ops, boundary or {})
     if layout.walls == "symmetric":
         held = cut(held)
@@ -212,9 +242,6 @@ def fill_ghosts(points: DataFrame, leaves: DataFrame, mesh: MeshSpec, layout: La
         if boundary or region_hook or mesh.reflecting or mesh.outflow:
             raise ValueError("an element set's outer faces are the scheme's own")
         return filled
-    regions = None
-    if not all(mesh.periodic):
-        regions = cut(leaving(plans.outer_regions(leaves, mesh), leaves, mesh))
     if boundary or region_hook:
         free = F.lit(False)
         for d in range(dims):
@@ -223,16 +250,16 @@ def fill_ghosts(points: DataFrame, leaves: DataFrame, mesh: MeshSpec, layout: La
                     free = free | (F.col(f"_out{d + 1}") & (F.col(f"d{d + 1}") == sign))
         ds = [f"d{d + 1}" for d in range(dims)]
         where = region_points(regions.where(free).select("leaf", *ds), mesh, layout).select("leaf", *ds, *names)
-        made = by_region(where, leaves, mesh, layout, region_hook) if region_hook else hooked(where, held, leaves, mesh, layout, boundary)
-        filled = filled.unionByName(made)
+        outer = by_region(where, leaves, mesh, layout, region_hook) if region_hook else hooked(where, held, leaves, mesh, layout, boundary)
+        filled = filled.unionByName(outer)
     walled = bool(mesh.reflecting or mesh.outflow)
     if walled:
         got = walls(regions, filled, mesh, layout, ops)
         filled = cut(filled.unionByName(got.join(filled, ["leaf", *names], "left_anti")))
     levels = sorted(r["stage"] for r in plan.where("stage > 0").select("stage").distinct().collect()) if late else []
     for level in levels:
-        made = apply(plan.where(F.col("stage") == level), taps, filled, dims, layout.variables)
-        filled = cut(filled.unionByName(made))
+        more = apply(plan.where(F.col("stage") == level), taps, filled, dims, layout.variables)
+        filled = cut(filled.unionByName(more))
         if walled:
             got = walls(regions.where(F.col("level") == level), filled, mesh, layout, ops)
             filled = cut(filled.unionByName(got.join(filled, ["leaf", *names], "left_anti")))

@@ -333,6 +333,32 @@ def l27_x14_glued_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return patched.balance(graded.unionByName(other), PAIR, LEVELS)
 
 
+# -- charts and plans ----------------------------------------------------------------------
+
+
+@query(f"""WITH {sql.GRADED}, pt AS (SELECT range AS pid, (range % 30 + 0.35) / 25 AS x, (range // 30 + 0.35) / 25 AS y FROM range(900)),
+lg AS (SELECT pid, sqrt(x * x + y * y) AS r, atan2(y, x) AS t FROM pt)
+SELECT pid, leaf FROM lg LEFT JOIN leaf ON r <= 1 AND t <= 1 AND floor(r * (1 << level)) = c1 AND floor(t * (1 << level)) = c2""")
+def p12_p04_chart_locate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Points of the plane through polar coordinates to leaves of the unit square; those outside it have none."""
+    leaves = meshes.leaves2d(spark, sf_dir)
+    plane = locate.affine_grid(spark, (0.35 / 25, 0.35 / 25), ((0.04, 0.0), (0.0, 0.04)), (30, 30))
+    logical = atlas.chart_locate(plane, atlas.from_plane, meshes.UNIT2)
+    return locate.locate(logical, leaves, meshes.UNIT2, LEVELS).select("pid", "leaf")
+
+
+@query(f"{BAL} {sampled(CELLS, '2 + x').replace('SELECT leaf', 'SELECT 1 AS turn, leaf', 1)} UNION ALL {sampled(CELLS, '3 - y').replace('SELECT leaf', 'SELECT 2 AS turn, leaf', 1)}")
+def j05_plan_of_two_fills(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One plan, two fields."""
+    leaves, out = meshes.balanced2d(spark, sf_dir), []
+    made = exchange.plan_ghosts(leaves, UNIT8, CELLS, POINT4)
+    for turn, f in enumerate((lambda x, y: 2 + x, lambda x, y: 3 - y), 1):
+        points = fields.fill_by_coordinates(leaves, UNIT8, CELLS, {"v1": f})
+        full = exchange.fill_ghosts(points, leaves, UNIT8, CELLS, POINT4, {"v1": f}, made=made)
+        out.append(full.select(F.lit(turn).alias("turn"), "leaf", "i1", "i2", F.round("v1", 7).alias("v1")))
+    return out[0].unionByName(out[1])
+
+
 # -- grids, regions, refusals, weights --------------------------------------------------------
 
 

@@ -41,8 +41,8 @@ from . import common
 
 BLOCK_BYTES, FOLD_BYTES, CACHE_WORDS = 2 << 20, 2048, 450_000
 
-#: A pair's value is BIAS + rank, or something greater where the pair has no rank; tokens are not negative.
-BIAS = -(1 << 40)
+#: A pair's value is BIAS + rank, or null or something greater where the pair has no rank; tokens are not negative.
+BIAS = -(1 << 33)
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -64,13 +64,13 @@ def bound(value: Column, body: Callable[[Column], Column]) -> Column:
 def displaced(pairs: dict[tuple[int, int], int], n: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
     """The pairs' ranks as rows of one array that are shifted into each other's gaps: ``(shift, cells)``.
 
-    ``cells[shift[a] + b]`` holds BIAS + (a << bits) + rank for a pair (a, b) that has a rank, and
-    another token's mark otherwise.
+    ``cells[shift[a] + b]`` holds BIAS + (a << bits) + rank for a pair (a, b) that has a rank; else it is 0, which stands
+    for null, or another token's.
     """
     rows: dict[int, list[int]] = {}
     for a, b in pairs:
         rows.setdefault(a, []).append(b)
-    size = 2 * len(pairs) + 2 * n
+    size = 3 * len(pairs) // 2 + n
     taken, shift = np.zeros(size + n, bool), np.zeros(n + 1, np.int64)
     rng, near = np.random.default_rng(1), 0
     for a, row in sorted(rows.items(), key=lambda x: (-len(x[1]), x[0])):
@@ -91,7 +91,7 @@ def displaced(pairs: dict[tuple[int, int], int], n: int, bits: int) -> tuple[np.
                 pass
         taken[at + bs] = True
         shift[a] = at
-    cells = np.full(int(np.flatnonzero(taken)[-1]) + 1 if pairs else 1, BIAS + (((1 << bits) - 1) << bits), np.int64)
+    cells = np.zeros(int(np.flatnonzero(taken)[-1]) + 1 if pairs else 1, np.int64)
     for (a, b), rank in pairs.items():
         cells[shift[a] + b] = BIAS + (a << bits) + rank
     return shift, cells
@@ -107,7 +107,9 @@ class States:
 
     def __init__(self, pairs: dict[tuple[int, int], int], ranks: dict[bytes, int]) -> None:
         self.end = max(ranks.values(), default=-1) + 1
-        self.bits = (self.end + 1).bit_length()  # at most 20
+        self.bits = (self.end + 1).bit_length()
+        if self.bits > 16:
+            raise ValueError("the literal table holds tokens of 16 bits")
         self.none = BIAS + (1 << self.bits)
         self.single = np.array([ranks.get(bytes([k]), self.end) for k in range(256)], np.int64)
         of = lambda a, b: BIAS + pairs[a, b] if (a, b) in pairs else self.none
@@ -126,7 +128,7 @@ class States:
 
     def tokens(self, states: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
         """The tokens of all states in a row, and how many each has."""
-        flat = states.flatten().to_numpy(zero_copy_only=False)
+        flat = states.flatten().fill_null(self.none).to_numpy(zero_copy_only=False)
         return flat[(flat >= 0) & (flat != self.end)], (np.diff(states.offsets.to_numpy()) - 3) // 2
 
 
@@ -141,8 +143,9 @@ class Merges:
                     pairs[a, b] = rank
         self.states = States(pairs, ranks)
         self.bits = self.states.bits
-        numbers = lambda x: F.from_json(F.lit(json.dumps(x.tolist())), "array<long>")
-        self.shift, self.cells = map(numbers, displaced(pairs, self.states.end, self.bits))
+        shift, cells = displaced(pairs, self.states.end, self.bits)
+        numbers = lambda x: F.from_json(F.lit(json.dumps(x, separators=(",", ":"))), "array<long>")
+        self.shift, self.cells = numbers(shift.tolist()), numbers([x or None for x in cells.tolist()])
 
     def fold(self, states: Column) -> Column:
         """The states after all merges."""
@@ -215,6 +218,7 @@ def encode(
     """One row per row of ``docs``: id and ``tokens``, an array of ids."""
     kind = docs.schema[id_col].dataType.simpleString()
     common.small_batches(docs.sparkSession)
+    common.short_plans(docs.sparkSession)
     merges = Merges(ranks)
     sent = docs.sparkSession.sparkContext.broadcast((ranks, merges.states))
 

@@ -64,6 +64,11 @@ def small_batches(spark: SparkSession, size: str = "8m") -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
 
 
+def short_plans(spark: SparkSession, size: str = "100k") -> None:
+    """Plans of the session are described in ``size`` characters at most, so that literal tables do not fill the driver's records."""
+    spark.conf.set("spark.sql.maxPlanStringLength", size)
+
+
 def lower_ascii(text: Column) -> Column:
     """A-Z to lower case, all else as it is."""
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

@@ -2,9 +2,11 @@
 
 Encoding is one narrow stage, without a shuffle:
 
+0. The first ``SAMPLE_ROWS`` rows of one partition (``SAMPLE_CHARS`` characters of each) give the commonest words, at most
+   ``KNOWN_WORDS``; they are folded as in step 2 once for all tasks and sent to them.  A word that is not among them is folded by each task that meets it.
 1. A Python function splits texts by the tokenizer's pattern and gives, for each block
    of about ``BLOCK_BYTES`` of text, the distinct words that are new to the task as arrays of bytes' tokens, and each
-   text's words as numbers.  After ``CACHE_WORDS`` words the numbers start anew.
+   text's words as numbers.  After ``CACHE_WORDS`` new words the numbers start anew.
 2. Higher-order functions fold the ranked merges over each distinct word's array: every
    step merges the leftmost pair of least rank, until no pair has a rank.  The state carries
    the ranks of all pairs, so a step looks up only the two pairs beside the merge.
@@ -27,19 +29,21 @@ from __future__ import annotations
 import base64
 import heapq
 import json
-from collections import defaultdict
-from collections.abc import Callable
-from itertools import islice
+import pickle
+from collections import Counter, defaultdict
+from collections.abc import Callable, Iterable
+from itertools import chain, count, islice
 
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
 
 BLOCK_BYTES, FOLD_BYTES, CACHE_WORDS = 2 << 20, 2048, 450_000
+SAMPLE_ROWS, SAMPLE_CHARS, KNOWN_WORDS = 6000, 4000, 250_000
 
 #: A pair's value is BIAS + rank, or null or something greater where the pair has no rank; tokens are not negative.
 BIAS = -(1 << 33)
@@ -158,7 +162,8 @@ class Merges:
             def at(least: Column, p: Column) -> Column:
                 new = least.bitwiseAND((1 << bits) - 1)
                 left, right = F.get(state, p - 4), F.get(state, p + 2)
-                return F.concat(F.slice(state, F.lit(1), p - 3), F.array(beside(left, new), new, beside(new, right)), F.slice(state, p + 3, rest))
+                parts = F.slice(state, F.lit(1), p - 3), F.array(beside(left, new), new, beside(new, right)), F.slice(state, p + 3, rest)
+                return F.flatten(F.array(*parts))  # concat walks its arguments as a lazy list, which takes longer than the rest of a step
 
             place = lambda least: bound(F.array_position(state, least).cast("int"), lambda p: at(least, p))
             return bound(F.array_min(state), lambda least: F.when(least < BIAS + (1 << bits), place(least)).otherwise(state))
@@ -211,22 +216,74 @@ def merge_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     return out
 
 
+def common_words(texts: Iterable[str], ranks: dict[bytes, int], pattern: str, fold_bytes: int) -> list[str]:
+    """The commonest words of ``texts`` that are folded, at most ``KNOWN_WORDS``."""
+    split, counts = regex.compile(pattern).findall, Counter()
+    for t in texts:
+        counts.update(split(t))
+    return [w for w, _ in counts.most_common() if (b := w.encode()) not in ranks and len(b) <= fold_bytes][:KNOWN_WORDS]
+
+
+def sampled_words(docs: DataFrame, text_col: str, pattern: str, fold_bytes: int, rows: int, sent, block: int = 4096) -> list[bytes]:
+    """Pickled lists of the common words of the middle partition's first ``rows`` rows, read and counted by one task: the driver holds no text."""
+    texts = docs.select(F.substring(F.col(text_col).cast("string"), 1, SAMPLE_CHARS)).rdd
+
+    def task(part):
+        words = common_words((t for (t,) in islice(part, rows) if t), sent.value[0], pattern, fold_bytes)
+        return [pickle.dumps(words[k : k + block]) for k in range(0, len(words), block)]
+
+    parts = texts.getNumPartitions()
+    return docs.sparkSession.sparkContext.runJob(texts, task, [parts // 2]) if parts and rows else []
+
+
+def folded_words(spark: SparkSession, words: list[bytes], merges: Merges, sent) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of all words of the pickled lists in a row, and how many each has."""
+    if not words:
+        return np.zeros(0, np.int32), np.zeros(0, np.int64)
+
+    def begin(batch: pa.RecordBatch) -> pa.RecordBatch:
+        states = [one_row(sent.value[1].begin([w.encode() for w in pickle.loads(x.as_py())])) for x in batch.column(1)]
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.concat_arrays(states)], names=["k", "words"])
+
+    def end(batch: pa.RecordBatch) -> pa.RecordBatch:
+        got = [sent.value[1].tokens(x.values) for x in batch.column(1)]
+        columns = [batch.column(0), pa.array([v.astype(np.int32).tobytes() for v, _ in got]), pa.array([n.astype(np.int64).tobytes() for _, n in got])]
+        return pa.RecordBatch.from_arrays(columns, names=["k", "ids", "sizes"])
+
+    rows = spark.createDataFrame([(k, bytearray(x)) for k, x in enumerate(words)], "k int, words binary")
+    states = common.map_rows(rows, begin, "k int, words array<array<long>>")
+    found = sorted(common.map_rows(states.withColumn("words", merges.fold(F.col("words"))), end, "k int, ids binary, sizes binary").collect())
+    ids, sizes = (b"".join(bytes(r[c]) for r in found) for c in ("ids", "sizes"))
+    return np.frombuffer(ids, np.int32), np.frombuffer(sizes, np.int64)
+
+
 def encode(
     docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str = "doc_id", text_col: str = "text",
-    block_bytes: int = BLOCK_BYTES, cache_words: int = CACHE_WORDS, fold_bytes: int = FOLD_BYTES,
+    block_bytes: int = BLOCK_BYTES, cache_words: int = CACHE_WORDS, fold_bytes: int = FOLD_BYTES, sample_rows: int = SAMPLE_ROWS,
 ) -> DataFrame:
     """One row per row of ``docs``: id and ``tokens``, an array of ids."""
     kind = docs.schema[id_col].dataType.simpleString()
     common.small_batches(docs.sparkSession)
     common.short_plans(docs.sparkSession)
     merges = Merges(ranks)
-    sent = docs.sparkSession.sparkContext.broadcast((ranks, merges.states))
+    context = docs.sparkSession.sparkContext
+    sent = context.broadcast((ranks, merges.states))
+    sample = sampled_words(docs, text_col, pattern, fold_bytes, sample_rows, sent)
+    known, known_ids = context.broadcast(sample), context.broadcast(folded_words(docs.sparkSession, sample, merges, sent))
+    common.trim()  # the driver's share: the tables were made in pieces
 
     def words(batches):
         (ranks, start), split, id_type = sent.value, regex.compile(pattern).findall, None
         index: defaultdict[str, int] = defaultdict()  # the words of this epoch, numbered as they come
         index.default_factory = index.__len__
-        sent_words, fresh = 0, True
+
+        def anew() -> int:
+            index.clear()
+            index.update(zip(chain.from_iterable(map(pickle.loads, known.value)), count(), strict=False))
+            return len(index)
+
+        sent_words = n_known = anew()
+        fresh = True
         ids, codes, counts, held = [], [], [], 0
 
         def block() -> pa.RecordBatch:
@@ -251,14 +308,15 @@ def encode(
                 held += len(text)
                 if held >= block_bytes:
                     yield block()
-                    sent_words, fresh = len(index), len(index) > cache_words
+                    sent_words, fresh = len(index), len(index) - n_known > cache_words
                     if fresh:
-                        index.clear()
-                        sent_words = 0
+                        sent_words = anew()
                     ids, codes, counts, held = [], [], [], 0
                     pa.default_memory_pool().release_unused()
         if ids:
             yield block()
+        index.clear()
+        common.trim()
 
     def together(batches):
         start = sent.value[1]
@@ -267,7 +325,8 @@ def encode(
             for k in range(batch.num_rows):
                 ids, folded, done, kinds, packed, counts, fresh = (batch.column(c)[k] for c in range(7))
                 if fresh.as_py():
-                    values, first, size = values[:0], first[:0], size[:0]
+                    values, size = known_ids.value
+                    first = np.cumsum(size) - size
                 # the new words' ids go behind those of the epoch's words so far
                 is_done = np.frombuffer(kinds.as_py(), bool)
                 new_first, new_size = np.zeros(len(is_done), np.int64), np.zeros(len(is_done), np.int64)
@@ -287,6 +346,8 @@ def encode(
                 tokens = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(chunks)))
                 yield pa.RecordBatch.from_arrays([ids.values, tokens], names=["id", "tokens"])
                 pa.default_memory_pool().release_unused()
+        del values, first, size
+        common.trim()
 
     blocks = docs.select(id_col, F.col(text_col).cast("string").alias("t")).mapInArrow(words, f"ids array<{kind}>, words array<array<long>>, done array<array<int>>, is_done binary, codes binary, counts array<int>, fresh boolean")
     folded = blocks.withColumn("words", merges.fold(F.col("words")))

@@ -2,6 +2,7 @@
 repeated rows, empty tables, extra columns with clashing names."""
 
 import hashlib
+import pickle
 import random
 import re
 from collections import defaultdict
@@ -496,6 +497,28 @@ def test_bpe_equals_tiktoken(spark):
     assert bpe.digests(documents(spark, []), ranks, public_tokenizers.PATTERN).count() == 0
 
 
+def test_common_words_are_folded_once_for_all_tasks(spark):
+    import public_tokenizers
+    import tiktoken
+
+    ranks = bpe.load_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    coder = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    rng = random.Random(5)
+    texts = [" ".join("".join(rng.choice("aeiothnrsé中") for _ in range(rng.randint(1, 12))) for _ in range(40)) for _ in range(30)] + [None, "", "x" * 9000]
+    want = [coder.encode_ordinary(t or "") for t in texts]
+    docs = documents(spark, enumerate(texts)).repartition(3)
+    merges, sent = bpe.Merges(ranks), spark.sparkContext.broadcast((ranks, bpe.Merges(ranks).states))
+    words = bpe.common_words([t for t in texts if t], ranks, public_tokenizers.PATTERN, 30)
+    assert words and all(w.encode() not in ranks and len(w.encode()) <= 30 for w in words)
+    ids, sizes = bpe.folded_words(spark, [pickle.dumps(words[:50]), pickle.dumps(words[50:])], merges, sent)
+    assert [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])] == [coder.encode_ordinary(w) for w in words]
+    sampled = bpe.sampled_words(docs.coalesce(1), "text", public_tokenizers.PATTERN, 30, 100, sent)
+    assert {w for x in sampled for w in pickle.loads(x)} == set(words)
+    for rows in (0, 7, 100):  # none, some or all words are known beforehand
+        got = bpe.encode(docs, ranks, public_tokenizers.PATTERN, block_bytes=500, cache_words=60, sample_rows=rows).collect()
+        assert {r["doc_id"]: r["tokens"] for r in got} == dict(enumerate(want))
+
+
 def test_heap_merges_equal_the_library():
     import public_tokenizers
     import tiktoken

@@ -224,8 +224,10 @@ def window_parts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def equal_windows(docs: DataFrame, listed_lines: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``(id, word, par, head)``: windows that two documents have, less those that begin and end in ``listed_lines`` (id, par)."""
-    each = window_parts(docs, id_col, text_col)
-    shared = each.groupBy("k1", "k2").agg(F.min(F.struct("id", "word", "par")).alias("head"), F.max("id").alias("last")).where("head.id <> last").drop("last")
+    # both sides read the same columns of the same exchange, so that the windows are made and shuffled once
+    each = window_parts(docs, id_col, text_col).where("k1 is not null and k2 is not null").repartition("k1", "k2")
+    shared = each.groupBy("k1", "k2").agg(F.min(F.struct("id", "word", "par", "p1", "p2")).alias("head"), F.max("id").alias("last")).where("head.id <> last")
+    shared = shared.select("k1", "k2", F.struct("head.id", "head.word", "head.par").alias("head"))
     found = each.join(shared, ["k1", "k2"]).drop("k1", "k2")
     # a document's lines are one row, as many as it has itself
     by_doc = listed_lines.groupBy("id").agg(F.collect_set("par").alias("pars"))

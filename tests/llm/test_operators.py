@@ -434,6 +434,15 @@ def test_cosines_of_licenses(spark):
     assert {n for n, _ in want.values()} == {None, "A", "B", "C"}
 
 
+def test_windows_are_made_and_shuffled_once(spark):
+    words = " ".join(f"w{k}" for k in range(90))
+    lines = spark.createDataFrame([], "id long, par int")
+    got = para_dedup.equal_windows(documents(spark, [(1, "a " + words), (2, "b " + words), (3, "c d e")]), lines, "doc_id", "text")
+    assert {r["id"] for r in got.collect()} == {1, 2}
+    plan = got._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert plan.count("MapInArrow") == 1 and "ReusedExchange" in plan
+
+
 # -- 7 benchmark ---------------------------------------------------------------------------
 
 
